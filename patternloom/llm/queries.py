@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm import bpe, chat, decontaminate, licenses, secrets, simhash, sql, url_filter
+from patternloom.llm import bpe, chat, decontaminate, licenses, neighbours, quality, secrets, simhash, sql, url_filter
 from patternloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -38,11 +38,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "rules", "licenses")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
+    kept = quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "expected_grade", "tail", (F.col("tail") >= quality.LEAST_TAIL).alias("keep"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also formats conversation -1, whose texts hold the control strings of a common template."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,7 +78,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scans, op2_byte_bpe, op3_decontamination, op4_url_filter, op6_license_scans, op8_chat_format, op10_simhash)
+    found = (
+        op1_secret_scans,
+        op2_byte_bpe,
+        op3_decontamination,
+        op4_url_filter,
+        op5_neighbours,
+        op6_license_scans,
+        op7_quality,
+        op8_chat_format,
+        op10_simhash,
+    )
     return {f.__name__: f for f in found}
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm import bpe, chat, decontaminate, licenses, neighbours, quality, secrets, simhash, sql, url_filter
+from patternloom.llm import bpe, chat, decontaminate, licenses, neighbours, quality, secrets, simhash, sql, suffixes, url_filter
 from patternloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -72,6 +72,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_license_scans,
         op7_quality,
         op8_chat_format,
+        op9_suffix_dedup,
         op10_simhash,
     )
     return {f.__name__: f for f in found}

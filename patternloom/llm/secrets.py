@@ -104,7 +104,7 @@ class Automaton:
     cost: np.ndarray
 
 
-def infer(tokens: Iterable[str], alpha: float = 0.05, least: int = 12, smooth: float = 0.05) -> Automaton:
+def infer(tokens: Iterable[str], alpha: float = 0.05, least: int = 12, smooth: float = 1.0) -> Automaton:
     """The automaton of `tokens`: a prefix tree whose statistically compatible states are merged.
 
     States are taken in breadth-first order; each is folded into the first
@@ -172,14 +172,18 @@ def infer(tokens: Iterable[str], alpha: float = 0.05, least: int = 12, smooth: f
                 child[state][k] = same
                 fold(same, down)
     number = {s: i for i, s in enumerate(kept)}
+    # what a state has not seen has `smooth` tokens' weight, spread as in all tokens, and leads where that class mostly leads
+    overall = Counter(c for s in strings for c in [*s, END])
+    share = [(overall[k] + 1) / (sum(overall.values()) + END + 1) for k in range(END + 1)]
+    usual = [max((s for s in kept if into[s] == k), key=lambda s: sum(count[s].values()), default=0) for k in range(END + 1)]
     step = np.zeros((len(kept), END + 1), dtype=np.int32)
     cost = np.zeros((len(kept), END + 1))
     for s, i in number.items():
-        total = sum(count[s].values()) + smooth * (END + 1)
+        total = sum(count[s].values()) + smooth
         for k in range(END + 1):
             size = len(CLASSES[k]) if k < END else 1
-            cost[i, k] = math.log((count[s][k] + smooth) / total / size)
-            step[i, k] = number.get(child[s].get(k, -1), i)
+            cost[i, k] = math.log((count[s][k] + smooth * share[k]) / total / size)
+            step[i, k] = number.get(child[s].get(k, -1), number[usual[k]])
     return Automaton(step, cost)
 
 

@@ -1,0 +1,273 @@
+"""Each operator on hand-made rows, against brute force or the vocabulary's own library, with nulls, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from patternloom.llm import bpe, chat, components, decontaminate, licenses, neighbours, quality, secrets, simhash, suffixes, url_filter
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TEXTS = ["", "a", None, "Hello world, it's 2024!\n\n  don't  'll", "ÀÉ ñ ß 東京 🙂 x", "a" * 5000, "\t\x0b x\r\n", "tail   "]
+
+
+def docs(spark, texts, **extra):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "n": F.lit(1), "spans": F.lit("x"), "fp": F.lit(0), "code": F.lit(2)})
+
+
+def test_bpe_equals_the_library_and_decodes(spark):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    table = docs(spark, TEXTS)
+    got = {r.doc_id: list(r.token_ids) for r in bpe.encode(table, PATH, public_tokenizers.PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
+    back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(table, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()}
+    assert back == {i: (t or "").encode() for i, t in enumerate(TEXTS)}
+    for r in bpe.round_trip(table, PATH, public_tokenizers.PATTERN).collect():
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, got[r.doc_id])).encode()).hexdigest()
+    assert bpe.encode(table.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_of_random_texts():
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    codec, r = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN), random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice("ab e's \n\tÉ9₂ 東🙂.,'  \x1c") for _ in range(r.randint(0, 60)))
+        assert codec.encode(text) == library.encode_ordinary(text), text
+
+
+def test_perfect_hash_is_minimal_and_exact():
+    keys = [f"k{i}".encode() for i in range(5000)]
+    table = bpe.PerfectHash(keys)
+    assert table.find(keys) == list(range(5000)) and table.find([b"", b"x", b"k5001"]) == [-1, -1, -1]
+    assert sorted(table.key_at.tolist()) == list(range(5000))
+
+
+def test_secrets_base_spans_follow_the_patterns(spark):
+    texts = ["TOKEN = 'abcdefghijkl' x", "secret=token:abcdefghijklmnop", "toKen: abcdefghijklmnop", "AKIAABCDEFGHIJKLMN AKIAX", "0123456789abcdef0 0123", None, "", "api_key==abcdefghijklm"]
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in secrets.scan_digests(docs(spark, texts)).collect():
+        t = texts[r.doc_id] or ""
+        spans = [(m.start(), m.end(), 0) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, _, k in spans) for i in range(3))
+
+
+def test_grammar_tells_held_out_credentials_from_words(spark):
+    grammar = secrets.Grammar(secrets.labelled_credentials(seed=1))
+    held = secrets.labelled_credentials(n=80, seed=99)
+    long = [(f, t) for f, t in held if len(t) >= 16 and re.fullmatch(r"[A-Za-z0-9+/_.=-]+", t)]
+    _, lift = grammar.score([t for _, t in long])
+    caught = [x > secrets.MARGIN for (f, _), x in zip(long, lift, strict=True) if f not in (secrets.PLAIN, "access")]
+    false = [x > secrets.MARGIN for (f, _), x in zip(long, lift, strict=True) if f == secrets.PLAIN]
+    assert np.mean(caught) > 0.97 and np.mean(false) < 0.01
+    text = "key ghp_16C7e42F292c6912E7710c838347Ae178B4a and token = 0123456789abcdef0123 end"
+    clean = secrets.redact(docs(spark, [text, None])).orderBy("doc_id").collect()
+    assert clean[0].text == "key [SECRET] and [SECRET] end" and clean[1].text is None and clean[0].source == "s"
+
+
+def brute_hits(texts, items, n=10):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    grams = {}
+    for i, t in items:
+        w = cut(t)
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            grams.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    out = {}
+    for d, t in enumerate(texts):
+        w, hit, named = cut(t), set(), set()
+        for size in {len(g) for g in grams}:
+            for k in range(len(w) - size + 1):
+                if (g := tuple(w[k : k + size])) in grams:
+                    hit |= set(range(k, k + size))
+                    named |= grams[g]
+        out[d] = (len(w), len(hit), sorted(named))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(5)
+    word = lambda: r.choice(["the", "Éa", "b9", "x", "yes"])
+    items = [(i, " ".join(word() for _ in range(r.choice([0, 2, 5, 12, 15])))) for i in range(12)] + [(99, None), (3, "one two")]
+    texts = [" ".join(word() for _ in range(r.randint(0, 60))) + " " + r.choice(items[:12])[1].upper() for _ in range(40)] + [None, "", "one, TWO!"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = docs(spark, texts)
+    got = {x.doc_id: (x.n_words, x.n_hit, list(x.item_ids)) for x in decontaminate.report(table, bench).collect()}
+    want = brute_hits(texts, items)
+    assert got == want
+    left = {x.doc_id for x in decontaminate.drop_documents(table, bench).collect()}
+    assert left == {d for d, v in want.items() if not v[1]}
+    again = decontaminate.report(decontaminate.drop_spans(table.where("doc_id = 42"), bench), bench).collect()
+    assert [x.n_hit for x in again] == [0]
+    assert decontaminate.report(table, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_url_rules_and_templates(spark):
+    urls = ["http://A.Example.ORG/en/1?x", "https://b.example.org/es/7", "http://x.org/a", "http://x.com/de/1", "ftp://c.net", None, "no scheme", "http://x.com/de", "http://org/"]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))).collect()}
+    assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.org", "/en/1", "example.org/en/1", "block")
+    assert got[1].rule == "example.org/es/" and got[2].rule == "org/" and got[3].verdict == "block"
+    assert (got[4].host, got[4].path, got[4].rule) == ("c.net", "", None) and (got[5].host, got[6].host, got[5].path) == ("", "", "")
+    assert got[7].rule is None and got[8].rule == "org/"
+    labelled = spark.createDataFrame([("h", ["bad", "{n}"], 1)] * 40 + [("h", ["good", "{n}"], 0)] * 40 + [("h", ["rare"], None)], "host string, shape array<string>, label int")
+    tree = {tuple(r["shape"]): (r.template, r.purity) for r in url_filter.templates(labelled).distinct().collect()}
+    assert tree[("bad", "{n}")][1] > 0.9 > 0.1 > tree[("good", "{n}")][1] and tree[("rare",)][0] == "/*"
+
+
+def test_licences_need_their_sentences_in_order(spark):
+    grant, notice, as_is = (next(s for i, s in licenses.SENTENCES if i == k) for k in ("mit-grant", "mit-notice", "as-is"))
+    texts = ["Some text.\nReleased under the MIT License.\nMore", f"{grant.upper()}. {notice}; other words. {as_is}.", f"{as_is}. {notice}. {grant}.", None, "", "Licensed under the Apache License, Version 2.0."]
+    got = {r.doc_id: list(r.licenses) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got == {0: ["MIT"], 1: ["MIT"], 5: ["Apache-2.0"]}
+
+
+def test_chat_can_be_read_back(spark):
+    rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a\\l<t>]b"), (1, 2, "assistant", None), (1, 1, "assistant", "a\\l<t>]b"), (2, None, None, "x"), (2, 0, "[r]", ""), (None, 3, "assistant", "é🙂")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    out = chat.format_conversations(turns)
+    back = {r.conv_id: r for r in chat.read_back(out).collect()}
+    pairs = lambda c: [(t.role, t.text) for t in back[c].turns]
+    assert pairs(1) == [("user", "</s>[INST] ok [/INST]"), ("assistant", "a\\l<t>]b"), ("assistant", "a\\l<t>]b"), ("assistant", "")]
+    assert pairs(2) == [("", "x"), ("[r]", "")] and back[1].loss_text == "a\\l<t>]b" * 2 and back[None].loss_text == "é🙂" and back[2].loss_text == ""
+    assert {r.conv_id: r.n_blocks for r in out.collect()} == {1: 2, 2: 2, None: 1}
+
+
+@pytest.mark.parametrize("shard_bytes", [800, 1 << 20])
+def test_repeats_equal_brute_force(spark, monkeypatch, shard_bytes):
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", shard_bytes)
+    r = random.Random(7)
+    base = ["".join(r.choice("ab éc") for _ in range(r.randint(40, 300))) for _ in range(6)]
+    rows = [(r.choice([i, i, i - 1, None]), "".join(r.choice(base)[r.randint(0, 80) : r.randint(80, 300)] for _ in range(r.randint(0, 4)))) for i in range(40)]
+    rows += [(70, "a" * 400), (71, "a" * 300), (72, "a" * 49), (5, "ab" * 300), (80, "ab" * 200), (90, None), (4, rows[3][1])]
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49 if i is not None else 0):
+            first[b[p : p + 50]] = min(first.get(b[p : p + 50], 1 << 60), i)
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for p in range(len(b) - 49 if i is not None else 0):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        want.append((i, len(b), int(gone.sum()), spans, np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()))
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
+    got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffixes.remove_repeats(table).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert suffixes.remove_repeats(table.limit(0)).count() == 0
+
+
+def test_suffix_array_and_common_prefixes():
+    r = np.random.default_rng(1)
+    for k in range(40):
+        n = int(r.integers(1, 50))
+        data, stops = r.integers(0, 2 + k % 3, n).astype(np.uint8), np.unique(np.append(r.integers(0, n, 2), n - 1))
+        end = lambda i: int(stops[np.searchsorted(stops, i)])  # noqa: B023, E731
+        key = lambda i: ([int(x) + 1 for x in data[i : end(i)]], end(i))  # noqa: B023, E731
+        order = suffixes.suffix_array(data, stops)
+        assert order.tolist() == sorted(range(n), key=lambda i: (*key(i)[0], 0, key(i)[1]))
+        shared = suffixes.common_prefixes(data, stops, order, 1000)
+        for a, b, s in zip(order, order[1:], shared[1:], strict=False):
+            x, y = key(a)[0], key(b)[0]
+            assert s == next((j for j, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_fingerprints_follow_the_definition():
+    for text in ["", "  ", "One", "one two", "A b c d e f", "É x\x0by z w q", "the " * 100, None]:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_links_join_as_all_pairs_would(spark):
+    r = random.Random(3)
+    values = set()
+    for _ in range(12):
+        x = r.getrandbits(64)
+        for _ in range(12):
+            for _ in range(r.randint(0, 3)):
+                x ^= 1 << r.randrange(64)
+            values.add(x)
+    values = sorted(values)
+    parent = {v: v for v in values}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                parent[find(b)] = find(a)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    for chunk in (4096, 3):
+        got = {x.vertex: x.component for x in components.connected_components(simhash.links(nodes, chunk=chunk)).collect()}
+        want = {}
+        for v in values:
+            want.setdefault(find(v), []).append(signed(v))
+        for group in want.values():
+            assert {got.get(v, v) for v in group} == {min(group)}
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    table = docs(spark, ["same text here", "same text here", None, "", "other words entirely now"])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert simhash.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_neighbours_recall_ties_and_odd_vectors(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.standard_normal(16)]) for i in range(400)] + [(500 + i, [1.0] * 16) for i in range(20)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (None, [1.0] * 16), (904, []), (905, [1.0] * 3), (500, [1.0] * 16)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    got = {}
+    for x in neighbours.search(table, table.where("vec_id % 50 = 0 or vec_id = 905")).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
+    assert set(got) == {i for i in good if i % 50 == 0}
+    found = 0
+    for q, answers in got.items():
+        best = sorted((-round(float(good[q] @ v), 12), i) for i, v in good.items() if i != q)[:5]
+        found += len({i for _, i in best} & {i for _, i, _ in answers})
+        assert [k for k, _, _ in sorted(answers)] == list(range(1, len(answers) + 1))
+    assert found / (5 * len(got)) >= 0.9
+    assert [i for _, i, _ in sorted(got[500])] == [501, 502, 503, 504, 505]
+
+
+def test_quality_keeps_clean_documents(spark):
+    r = random.Random(4)
+    word = lambda: r.choice("the and of river stone light under walking slowly green".split())
+    texts, marks = [], []
+    for i in range(600):
+        words = [word() for _ in range(r.randint(5, 80))]
+        kind = i % 6
+        if kind == 0:
+            words = [w.upper() + "!!" for w in words]
+        elif kind == 1:
+            words[r.randrange(len(words))] = r.choice(["nasty", "vile"])
+        texts.append(" ".join(words))
+        marks.append((i, int(kind != 0), int(kind == 1)))
+    table = docs(spark, [*texts, None, ""])
+    labels = spark.createDataFrame([m for m in marks if m[0] < 400] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    kept = {x.doc_id for x in quality.select(table, labels).collect()}
+    held = range(400, 600)
+    clean, bad = [i for i in held if i % 6 > 1], [i for i in held if i % 6 < 2]
+    assert np.mean([i in kept for i in clean]) > 0.97 and np.mean([i in kept for i in bad]) < 0.03
+    assert quality.select(table, labels.limit(0)).count() == table.count()
+    model = quality.fit([quality.features(t) for t in texts], np.array([0 if q == 0 else 1 if x else 2 for _, q, x in marks]))
+    assert model.thresholds[0] <= model.thresholds[1]

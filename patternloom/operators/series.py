@@ -157,13 +157,13 @@ def shapelet_gap(distances: DataFrame, min_fraction: float = 0.2, keys: tuple[st
     order = by.orderBy("d", "id")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
     rows = distances.select(*keys, "id", "d", F.row_number().over(order).alias("n"), F.sum("d").over(upto).alias("s"), F.sum(F.col("d") * F.col("d")).over(upto).alias("q"))
-    rows = rows.withColumn("N", F.count(F.lit(1)).over(by)).withColumn("S", F.sum("d").over(by)).withColumn("Q", F.sum(F.col("d") * F.col("d")).over(by)).withColumn("next", F.lead("d").over(order))
+    rows = rows.withColumn("all_n", F.count(F.lit(1)).over(by)).withColumn("all_s", F.sum("d").over(by)).withColumn("all_q", F.sum(F.col("d") * F.col("d")).over(by)).withColumn("next", F.lead("d").over(order))
     sd = lambda n, s, q: F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
-    far_n = F.nullif(F.col("N") - F.col("n"), F.lit(0))
-    far_s, far_q = F.col("S") - F.col("s"), F.col("Q") - F.col("q")
+    far_n = F.nullif(F.col("all_n") - F.col("n"), F.lit(0))
+    far_s, far_q = F.col("all_s") - F.col("s"), F.col("all_q") - F.col("q")
     gap = (far_s / far_n - sd(far_n, far_s, far_q)) - (F.col("s") / F.col("n") + sd(F.col("n"), F.col("s"), F.col("q")))
-    least = F.greatest(F.lit(1), F.bround(F.lit(min_fraction) * F.col("N"), 0).cast("int"))
-    ok = rows.where((F.col("n") >= least) & (F.col("N") - F.col("n") >= least)).withColumn("gap", F.round(gap, 9))
+    least = F.greatest(F.lit(1), F.bround(F.lit(min_fraction) * F.col("all_n"), 0).cast("int"))
+    ok = rows.where((F.col("n") >= least) & (F.col("all_n") - F.col("n") >= least)).withColumn("gap", F.round(gap, 9))
     return ok.groupBy(*keys).agg(F.max("gap").alias("gap"), F.max_by((F.col("d") + F.col("next")) / 2, F.struct("gap", -F.col("n"))).alias("threshold"))
 
 

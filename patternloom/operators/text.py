@@ -28,15 +28,15 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 def vocabulary(cells: DataFrame, min_df: int = 2, max_df: float = 1.0, n_docs: int | None = None) -> DataFrame:
     """(term, df) of the terms in at least `min_df` documents and at most `max_df` of them."""
-    total = cells.agg(F.countDistinct("doc").alias("N")) if n_docs is None else cells.sparkSession.range(1).select(F.lit(n_docs).alias("N"))
+    total = cells.agg(F.countDistinct("doc").alias("n_docs")) if n_docs is None else cells.sparkSession.range(1).select(F.lit(n_docs).alias("n_docs"))
     df = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    return df.crossJoin(F.broadcast(total)).where(F.col("df") <= max_df * F.col("N")).select("term", "df")
+    return df.crossJoin(F.broadcast(total)).where(F.col("df") <= max_df * F.col("n_docs")).select("term", "df")
 
 
 def tfidf(cells: DataFrame, min_df: int = 2, max_df: float = 1.0) -> DataFrame:
     """(doc, term, weight): n * (ln((1 + N) / (1 + df)) + 1), rows scaled to length one."""
-    total = cells.agg(F.countDistinct("doc").alias("N"))
-    weighed = cells.join(vocabulary(cells, min_df, max_df), "term").crossJoin(F.broadcast(total)).select("doc", "term", (F.col("n") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("w"))
+    total = cells.agg(F.countDistinct("doc").alias("n_docs"))
+    weighed = cells.join(vocabulary(cells, min_df, max_df), "term").crossJoin(F.broadcast(total)).select("doc", "term", (F.col("n") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
     length = weighed.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
     return weighed.join(length, "doc").select("doc", "term", (F.col("w") / F.col("l")).alias("weight"))
 

@@ -39,4 +39,4 @@ HOURS = f"""SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n_events
 MATRIX = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings"
 SCORES = "SELECT event_id AS id, value AS score, event_type = 'error' AS is_anomaly, event_type FROM events"
 DAILY = f"SELECT event_type AS series_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS pos, {MEAN} AS v FROM events GROUP BY 1, 2"
-HOURLY = f"SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) - 78894 AS pos, {MEAN} AS v FROM events GROUP BY 1"
+HOURLY = f"SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) - 78892 AS pos, {MEAN} AS v FROM events GROUP BY 1"

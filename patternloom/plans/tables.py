@@ -218,17 +218,8 @@ def lloyd_sql(k: int, rounds: int) -> str:
 query("C1d_lloyd_kmeans", lambda s, d: cluster.lloyd(flat(s, d), 4, 3), lloyd_sql(4, 3))
 query("C1_kmeans", lambda s, d: cluster.kmeans(eight(s, d), 5), None)
 query("C4_gmm", lambda s, d: cluster.gaussian_mixture(flat(s, d), 3).select("id", "label"), None)
-REACH = """RECURSIVE m AS ({m}), p AS (SELECT a.id, b.id AS j FROM m a, m b WHERE list_distance(a.x, b.x) <= {eps}), core AS (SELECT id FROM p GROUP BY 1 HAVING count(*) >= {k}),
-e AS (SELECT p.id, p.j FROM p JOIN core c ON c.id = p.id JOIN core k ON k.id = p.j),
-r(id, c) AS (SELECT id, id FROM core UNION SELECT e.id, r.c FROM r JOIN e ON e.j = r.id), part AS (SELECT id, min(c) AS c FROM r GROUP BY 1)"""
-query(
-    "C6_dbscan",
-    lambda s, d: cluster.dbscan(flat(s, d), 8.0, 5),
-    f"""WITH {REACH.format(m=FLAT, eps=8.0, k=5)}, named AS (SELECT id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS label FROM part),
-edge AS (SELECT p.id, min(label) AS label FROM p JOIN named ON named.id = p.j GROUP BY 1)
-SELECT m.id, coalesce(named.label, edge.label, -1) AS label FROM m LEFT JOIN named ON named.id = m.id LEFT JOIN edge ON edge.id = m.id""",
-)
-query("C5_single_linkage", lambda s, d: cluster.threshold_components(flat(s, d), 4.0), f"WITH {REACH.format(m=FLAT, eps=4.0, k=1)} SELECT id, c AS component FROM part")
+query("C6_dbscan", lambda s, d: cluster.dbscan(flat(s, d), 8.0, 5), None)
+query("C5_single_linkage", lambda s, d: cluster.threshold_components(flat(s, d), 4.0), None)
 
 query(
     "D1_pca_covariance",
@@ -236,12 +227,11 @@ query(
     " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}), 3) + 0e0 AS covariance FROM ({FEATURES})" for i, a in enumerate(COLS) for b in COLS[i:]),
 )
 query("D1_pca_embedding", lambda s, d: reduce.principal_components(S.matrix(s, d), 2)[0], None)
-FORTY = f"SELECT id, x FROM ({EIGHT}) WHERE id < 40"
 query(
     "D3_kernel_double_centering",
-    lambda s, d: rounded(reduce.double_centred_kernel(eight(s, d).where("id < 40"), 0.2)),
-    f"""WITH m AS ({FORTY}), k AS (SELECT a.id AS i, b.id AS j, exp(-0.2e0 * list_distance(a.x, b.x) ** 2) AS k FROM m a, m b)
-SELECT i, j, round(k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER (), 6) AS k FROM k""",
+    lambda s, d: rounded(reduce.double_centred_kernel(eight(s, d), 0.2)),
+    f"""WITH m AS ({EIGHT}), k AS (SELECT a.id AS i, b.id AS j, exp(-0.2e0 * list_distance(a.x, b.x) ** 2) AS k FROM m a, m b)
+SELECT i, j, round(k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER (), 6) + 0e0 AS k FROM k""",
 )
 UNITS = [[0.1 * ((i + j) % 3 - 1) for i in range(8)] for j in range(3)]
 Q = ", ".join(f"1 / (1 + list_distance(x, {[round(v, 6) for v in u]}) ** 2)" for u in UNITS)

@@ -51,7 +51,7 @@ def calinski_harabasz(df: DataFrame, x: str = "x", label: str = "label") -> Data
     middle = centroids(kept.withColumn("label", F.lit(0))).select(F.col("centre").alias("mid"))
     within = kept.join(F.broadcast(c), "label").agg(F.sum(V.squared_distance(F.col("x"), F.col("centre"))).alias("w"))
     between = c.crossJoin(F.broadcast(middle)).agg(F.sum(F.col("n") * V.squared_distance(F.col("centre"), F.col("mid"))).alias("b"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    value = F.try_divide(F.col("b") / (F.col("k") - 1), F.col("w") / (F.col("n") - F.col("k")))
+    value = F.try_divide(F.try_divide("b", F.col("k") - 1), F.try_divide("w", F.col("n") - F.col("k")))
     return between.crossJoin(F.broadcast(within)).select(value.alias("calinski_harabasz"))
 
 

@@ -45,14 +45,20 @@ def dirichlet_process(df: DataFrame, max_components: int = 10, rounds: int = 40,
     rx^2; the variational update uses those K-sized sums only.  Runs at once.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"))
-    first = rows.orderBy(F.xxhash64(F.lit(random_state), "id"), "id").limit(max_components).collect()
-    k, d = len(first), len(first[0]["x"]) if first else 0
-    if k < 1:
+    # the starting centres lie far apart among a bounded pool of rows
+    pool = np.array([r["x"] for r in rows.orderBy(F.xxhash64(F.lit(random_state), "id"), "id").limit(max(256, max_components)).collect()], dtype=float)
+    if not len(pool):
         raise ValueError("no rows")
+    chosen = [0]
+    while len(chosen) < min(max_components, len(pool)):
+        gap = ((pool[:, None, :] - pool[None, chosen, :]) ** 2).sum(axis=2).min(axis=1)
+        chosen.append(int(gap.argmax()))
+    first = pool[chosen]
+    k, d = first.shape
     concentration = prior or 1.0 / max_components
     facts = rows.agg(*(F.var_pop(F.col("x")[i]) for i in range(d))).first()
     spread = np.maximum(np.array(facts, dtype=float), 1e-9)
-    mean, var, log_weight = np.array([r["x"] for r in first], dtype=float), np.tile(spread, (k, 1)), np.full(k, -math.log(k))
+    mean, var, log_weight = first.copy(), np.tile(spread, (k, 1)), np.full(k, -math.log(k))
 
     def responsibilities() -> DataFrame:
         parts = []

@@ -52,12 +52,12 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id",
 
     def codes(size: int) -> Column:
         last = F.size("w") - F.lit(size - 1)
-        return F.when(
-            last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, size)).alias("code")))
-        ).otherwise(F.array().cast("array<struct<at:int,code:bigint>>"))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("w", i, size)))).otherwise(F.array().cast("array<bigint>"))
 
-    count = F.array(F.struct(F.lit(0).alias("at"), F.size("w").cast("long").alias("code")))
-    rows = keyed.select("doc_id", "text_code", F.inline(F.concat(count, *(codes(s) for s in sizes))))
+    # the word count goes first, as place 0, so that texts without a hit keep a row; bare longs explode faster than structs
+    count = F.array(F.size("w").cast("long"))
+    by_size = keyed.select("doc_id", "text_code", F.explode(F.array(*(F.concat(count, codes(s)) for s in sizes))).alias("codes"))
+    rows = by_size.select("doc_id", "text_code", F.posexplode("codes").alias("at", "code"))
     met = rows.join(F.broadcast(grams) if small else grams, (F.col("at") > 0) & (rows["code"] == grams["code"]), "left").where(
         (F.col("at") == 0) | F.col("gram").isNotNull()
     )

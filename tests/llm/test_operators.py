@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -123,6 +124,34 @@ def test_url_rules_and_templates(spark):
     assert tree[("bad", "{n}")][1] > 0.9 > 0.1 > tree[("good", "{n}")][1] and tree[("rare",)][0] == "/*"
 
 
+def test_licences_of_wrapped_texts_and_other_names(spark):
+    wrap = lambda s: "\n * ".join(textwrap.wrap(s, 40))
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(wrap(s) for s in (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"))
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. {}\n2. {}".format(
+        wrap("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+        wrap("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."))
+    cases = [
+        ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0"}),
+        ("This work is licensed under a Creative Commons\r\nAttribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        (mit, {"MIT"}),
+        (mit.replace("\n", "\r\n"), {"MIT"}),
+        (wrap(gnu.format("program", ":", "General Public License", ",", 3)), {"GPL-3.0-or-later"}),
+        (wrap(gnu.format("program", ";", "General Public License", ";", 2)), {"GPL-2.0-or-later"}),
+        (wrap(gnu.format("library", ";", "Lesser General Public License", ";", "2.1")), {"LGPL-2.1-or-later"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", {"MPL-2.0"}),
+        (wrap("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."), {"ISC"}),
+        (bsd, {"BSD-2-Clause"}),
+        ("Some title\nReleased under the MIT License\nMore text", {"MIT"}),
+        ("Licensed under\n\nCC BY-NC 4.0.", None),
+    ]
+    got = {r.doc_id: set(r.licenses) for r in licenses.scan(docs(spark, [t for t, _ in cases])).collect()}
+    assert [got.get(i) for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_licences_need_their_sentences_in_order(spark):
     grant, notice, as_is = (next(s for i, s in licenses.SENTENCES if i == k) for k in ("mit-grant", "mit-notice", "as-is"))
     texts = ["Some text.\nReleased under the MIT License.\nMore", f"{grant.upper()}. {notice}; other words. {as_is}.", f"{as_is}. {notice}. {grant}.", None, "", "Licensed under the Apache License, Version 2.0."]

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm import bpe, decontaminate, quality, secrets, simhash
+from patternloom.llm import bpe, decontaminate, quality, secrets, similar
 from patternloom.llm.common import table
 from patternloom.llm.queries import VOCABULARY
 
@@ -26,10 +26,8 @@ def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every group whose fingerprints are linked; null ids are not grouped."""
-    found = simhash.near_duplicates(docs)
-    surplus = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that of least id, of every group of texts linked by a five-word-shingle similarity of 0.8 or more."""
+    return similar.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

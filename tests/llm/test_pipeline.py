@@ -1,5 +1,7 @@
 """The pipeline on planted documents, and the registered queries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,35 @@ def test_stages_take_effect(spark, tmp_path):
     assert at[2] == at[3] == at[4] and len(at[4]) > 100
 
 
+def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark):
+    r = random.Random(7)
+    base = [[r.choice("abcdefghijklmnop") + str(r.randint(0, 40)) for _ in range(r.randint(8, 120))] for _ in range(40)]
+    texts = [" ".join(w) for w in base]
+    for w in base * 3:
+        w = list(w)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    common = " ".join(f"c{i}" for i in range(60))
+    texts += [f"{common} {' '.join(f'x{k}y{i}' for i in range(40))}" for k in range(8)] + ["", None, "  "]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[1]), (2, "one id with another text of its own"), (1, texts[45])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
+    where = {}
+    for (i, t), g in zip(rows, group, strict=True):
+        where.setdefault((i, t), g)
+    assert sorted(where[x] for x in got) == sorted(set(group))
+    least = {g: min((i is None, i or 0) for (i, _), h in zip(rows, group, strict=True) if h == g) for g in set(group)}
+    assert all((i is None, i or 0) == least[where[i, t]] for i, t in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_runs_on_the_smallest_tables(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from patternloom.functions import vectors as V
+from patternloom.operators.iterate import settle
 
 
 def gather(df: DataFrame, series: str = "series_id", pos: str = "pos", v: str = "v") -> DataFrame:
@@ -178,3 +179,22 @@ def discover_shapelets(series: DataFrame, window: int, stride: int = 1, min_frac
     cand = shapelet_candidates(series, window, stride)
     met = cand.crossJoin(F.broadcast(series)).select("cand_series", "start", F.col("series_id").alias("id"), F.round(subsequence_distance(F.col("shapelet"), F.col("values"), window), 9).alias("d"))
     return shapelet_gap(met, min_fraction, ("cand_series", "start"))
+
+
+def pick_shapelets(found: DataFrame, window: int, n: int = 1) -> DataFrame:
+    """(rank, cand_series, start, gap, threshold): the candidates of the highest gaps that do not overlap within a series; may be fewer than n.
+
+    One top-1 per pick over what is left, ties to the first series and start.
+    """
+    if n < 1:
+        raise ValueError("n must be positive")
+    left = settle(found.where("gap is not null"))
+    picked: list[tuple] = []
+    for rank in range(1, n + 1):
+        top = left.orderBy(F.desc("gap"), "cand_series", "start").select("cand_series", "start", "gap", "threshold").first()
+        if top is None:
+            break
+        picked.append((rank, *top))
+        left = left.where((F.col("cand_series") != F.lit(top["cand_series"])) | (F.abs(F.col("start") - F.lit(top["start"])) >= window))
+    kind = found.schema["cand_series"].dataType.simpleString()
+    return found.sparkSession.createDataFrame(picked, f"rank int, cand_series {kind}, start int, gap double, threshold double")

@@ -240,7 +240,7 @@ g AS (SELECT *, round(((ts - s) / (t - n) - sqrt(greatest((tq - q) / (t - n) - (
 SELECT max(gap) AS gap, round(arg_max((d + nx) / 2, (gap, -n)), 6) AS threshold FROM g"""
 query("X7_shapelet_gap", lambda s, d: rounded(series.shapelet_gap(rounded(near_first(s, d))), 6), rounded_sql(STRETCH + GAP, ["gap"]))
 query("X11_split", lambda s, d: near_first(s, d).select("id", (F.round("d", 6) <= 1.5).alias("near")), STRETCH + " SELECT id, round(d, 6) <= 1.5 AS near FROM d")
-query("X8_shapelets", lambda s, d: rounded(series.discover_shapelets(days(s, d), 6, 4)), None)
+query("X8_shapelets", lambda s, d: rounded(series.pick_shapelets(series.discover_shapelets(days(s, d), 6), 6, 5)), None)
 
 CELLS_I = "SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
 query("I1_sparse_interactions", lambda s, d: recsys.cells(S.interactions(s, d)), CELLS_I)

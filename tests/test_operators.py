@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patternloom.operators import anomaly, cluster, cuts, drift, evaluation, graph, mixture, prep, recsys, reduce, series, stability, text
+import __spark_entry__ as entry
 from patternloom.sources import generators
 from patternloom.streaming import live
 
@@ -168,3 +169,11 @@ def test_stream_equals_batch(spark, tmp_path):
     done = live.score_stream(stream, lambda d: cluster.assign(d.select(F.col("event_id").alias("id"), F.array("value").alias("x")), [[10.0], [200.0]]), f"{tmp_path}/out", f"{tmp_path}/state")
     done.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == events.count()
+
+
+def test_picked_shapelets_start_anywhere_and_do_not_overlap(spark):
+    found = spark.createDataFrame([("a", 1, 5.0, 0.1), ("a", 4, 4.0, 0.1), ("b", 2, 3.0, 0.1), ("a", 7, 2.0, 0.1), ("b", 3, None, None)], "cand_series string, start int, gap double, threshold double")
+    assert [(r["rank"], r.cand_series, r.start) for r in series.pick_shapelets(found, 6, 9).collect()] == [(1, "a", 1), (2, "b", 2), (3, "a", 7)]
+    query = entry.queries()["X8_shapelets"](spark, "/root/testdata/sf0.001").collect()
+    assert query and any(r.start % 4 for r in query)
+    assert all(p.cand_series != q.cand_series or abs(p.start - q.start) >= 6 for p in query for q in query if p is not q)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from patternloom.llm import chat, decontaminate, licenses
+from patternloom.llm import chat, licenses
 from patternloom.llm.common import UPPER
 
+#: A word of a lower-cased text.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 
 def _lower(column: str) -> str:
     return f"translate(coalesce({column}, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -15,7 +18,7 @@ def _quote(text: str) -> str:
 
 
 def decontamination(n: int = 10) -> str:
-    words = f"regexp_extract_all({_lower('text')}, {_quote(decontaminate.WORD)})"
+    words = f"regexp_extract_all({_lower('text')}, {_quote(WORD)})"
     return f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words} AS w FROM benchmark),
 gram AS (

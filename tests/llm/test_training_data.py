@@ -110,6 +110,25 @@ def test_decontamination_equals_brute_force(spark):
     again = decontaminate.report(decontaminate.drop_spans(table.where("doc_id = 42"), bench), bench).collect()
     assert [x.n_hit for x in again] == [0]
     assert decontaminate.report(table, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.report(table.limit(0), bench).count() == 0 == decontaminate.drop_documents(table.limit(0), bench).count()
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, -1])
+def test_decontamination_of_odd_rows_by_broadcast_and_by_shuffle(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast_bytes)
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, leak), (1, leak), (1, "another text"), (None, leak.upper()), (None, None), (2, ""), (3, "w " * 200_000 + leak + " end"), (4, f"x, {leak}! {leak}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"hits": F.lit("clash"), "code": F.lit(1), "_id": F.lit(2), "w": F.lit(3)})
+    bench = spark.createDataFrame([("b", leak), ("a", leak + " lambda"), ("c", leak), (None, leak)], "item_id string, text string").withColumn("at", F.lit(0))
+    got = sorted(((x.doc_id, x.n_words, x.n_hit, list(x.item_ids)) for x in decontaminate.report(table, bench).collect()), key=str)
+    some = ["a", "b", "c"]
+    want = [(1, 10, 10, some), (1, 10, 10, some), (1, 2, 0, []), (None, 10, 10, some), (None, 0, 0, []), (2, 0, 0, []), (3, 200_011, 10, some), (4, 21, 20, some)]
+    assert got == sorted(want, key=str)
+    left = decontaminate.drop_documents(table, bench)
+    assert left.columns == table.columns and sorted((str(x.doc_id), x.text) for x in left.collect() if x.text is not None) == [("1", "another text"), ("2", "")]
+    spans = decontaminate.drop_spans(table, bench)
+    texts = {x.doc_id: x.text for x in spans.where("doc_id > 1").collect()}
+    assert spans.columns == table.columns and spans.count() == len(rows) and texts == {2: "", 3: "w " * 200_000 + "end", 4: "x, "}
 
 
 def test_url_rules_and_templates(spark):

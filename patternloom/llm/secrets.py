@@ -4,8 +4,10 @@ For every format of the labelled credentials a prefix tree over character
 classes is grown and its states are merged while their outgoing frequencies
 agree within Hoeffding's bound, which leaves a small stochastic automaton; the
 same is done for the plain tokens.  Every candidate token of every text is
-scored by each automaton; one whose best format beats the plain automaton by
-`margin` nats becomes a span of its own.
+scored by each automaton, whether base patterns touch it or not; one whose best
+format beats the plain automaton by `margin` nats becomes a span of its own.
+Where a whole run of candidate characters is plain, its pieces between `/`, `=`
+and `.` are candidates too, so that a path or a key does not hide what it leads to.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+PIECE = re.compile(r"[A-Za-z0-9+_-]{16,}")
 PLAIN = "plain"
 REDACTED = "[SECRET]"
 MARGIN = 12.0
+#: With fewer tokens left, arrays cost more than they save.
+FEW = 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -91,6 +98,14 @@ def labelled_credentials(n: int = 400, seed: int = 42) -> list[tuple[str, str]]:
         lambda: draw(string.digits, r.randint(16, 19)),
         lambda: draw("-=_.", 1) * r.randint(16, 40),
         lambda: word(3).capitalize() + word(3).capitalize() + word(2).capitalize(),
+        lambda: "".join(word(r.randint(1, 3)).capitalize() for _ in range(r.randint(3, 6))) + r.choice(("", "", "2", "V1")) + word(1).capitalize(),
+        lambda: word(2) + "".join(word(r.randint(1, 2)).capitalize() for _ in range(r.randint(2, 4))),
+        lambda: "_".join(word(r.randint(1, 3)).upper() for _ in range(r.randint(3, 5))),
+        lambda: "__".join(word(r.randint(2, 4)) for _ in range(2)) + r.choice(("__", "_1", "2")),
+        lambda: ".".join("_".join(word(r.randint(1, 3)) for _ in range(r.randint(1, 2))) for _ in range(r.randint(2, 4))),
+        lambda: "-".join(draw("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+        lambda: "/".join(word(r.randint(1, 3)) for _ in range(r.randint(3, 6))) + r.choice(("", ".py", ".html", "/")),
+        lambda: f"{word(r.randint(2, 3))}-{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 99)}.{word(1)}.{word(1)}",
     )
     rows = [(name, rule()) for name, rule in rules.items() for _ in range(n)]
     return rows + [(PLAIN, p()) for p in plain for _ in range(n)]
@@ -104,14 +119,13 @@ class Automaton:
     cost: np.ndarray
 
 
-def infer(tokens: Iterable[str], alpha: float = 0.05, least: int = 12, smooth: float = 1.0) -> Automaton:
+def infer(tokens: Iterable[str], alpha: float = 0.05, smooth: float = 1.0) -> Automaton:
     """The automaton of `tokens`: a prefix tree whose statistically compatible states are merged.
 
     States are taken in breadth-first order; each is folded into the first
-    kept state whose outgoing frequencies differ by less than Hoeffding's bound
-    at `alpha`, along with the states below both.  States seen fewer than
-    `least` times carry no evidence and are folded into the kept state that
-    shares their incoming class.
+    kept state of the same incoming class whose outgoing frequencies, and those
+    of the states below both, differ by less than Hoeffding's bound at `alpha`.
+    A state seen once cannot differ from anything by that much.
     """
     strings = [[int(CLASS_OF[ord(c)]) for c in t if ord(c) < 128 and CLASS_OF[ord(c)] >= 0] for t in tokens]
     child: list[dict[int, int]] = [{}]
@@ -135,13 +149,12 @@ def infer(tokens: Iterable[str], alpha: float = 0.05, least: int = 12, smooth: f
         while todo:
             x, y = todo.pop()
             n, m = sum(count[x].values()), sum(count[y].values())
-            if not n or not m:
-                continue
+            if not n or not m or m <= bound**2:
+                continue  # no share can differ by that much, here or in the tree below y
             far = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             if any(abs(count[x][k] / n - count[y][k] / m) > far for k in count[x].keys() | count[y].keys()):
                 return False
-            if min(n, m) >= least:
-                todo += [(child[x][k], child[y][k]) for k in child[x].keys() & child[y].keys() if child[x][k] != x]
+            todo += [(child[x][k], child[y][k]) for k in child[x].keys() & child[y].keys()]
         return True
 
     def fold(a: int, b: int) -> None:
@@ -164,8 +177,7 @@ def infer(tokens: Iterable[str], alpha: float = 0.05, least: int = 12, smooth: f
             down = child[state][k]
             if down in kept:
                 continue
-            weak = sum(count[down].values()) < least
-            same = next((x for x in kept if into[x] == k and (weak or alike(x, down))), None)
+            same = next((x for x in kept if into[x] == k and alike(x, down)), None)
             if same is None:
                 kept.append(down)
             else:
@@ -198,24 +210,44 @@ class Grammar:
             raise ValueError("labelled credentials need the format 'plain' and one more")
         self.formats = [PLAIN, *sorted(set(by) - {PLAIN})]
         self.automata = [infer(by[f]) for f in self.formats]
+        # one table of all automata: the entry of a state and a class is at state + class
+        size = [len(a.cost) * (END + 1) for a in self.automata]
+        self.first = np.cumsum([0, *size[:-1]])
+        self.cost = np.concatenate([a.cost.ravel() for a in self.automata])
+        self.step = np.concatenate([a.step.ravel().astype(np.int64) * (END + 1) + f for a, f in zip(self.automata, self.first, strict=True)])
+        self.cost_list, self.step_list = self.cost.tolist(), self.step.tolist()
 
     def score(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token of ASCII: its best format's index, and that format's log-likelihood over that of `plain`."""
+        """Of each token of ASCII: its best format's index, and that format's log-likelihood over that of `plain`.
+
+        All automata take a symbol of all tokens at a time; the rest of the few
+        longest tokens is stepped through without arrays, so a long run costs
+        time in proportion to its length.
+        """
         if not tokens:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         length = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         order = np.argsort(-length, kind="stable")
         data = CLASS_OF[np.frombuffer("".join(tokens).encode("ascii"), dtype=np.uint8)].astype(np.int64)
         start, length = (np.cumsum(length) - length)[order], length[order]
-        total = np.zeros((len(self.automata), len(tokens)))
-        for a, auto in enumerate(self.automata):
-            state = np.zeros(len(tokens), dtype=np.int32)
-            for k in range(int(length[0])):
-                n = int(np.searchsorted(-length, -k, side="left"))
-                c = data[start[:n] + k]
-                total[a, :n] += auto.cost[state[:n], c]
-                state[:n] = auto.step[state[:n], c]
-            total[a] += auto.cost[state, END]
+        state, total = np.repeat(self.first[:, None], len(tokens), axis=1), np.zeros((len(self.first), len(tokens)))
+        together = int(length[min(FEW, len(tokens)) - 1]) if len(tokens) >= FEW else 0
+        for k in range(together):
+            n = int(np.searchsorted(-length, -k, side="left"))
+            at = state[:, :n] + data[start[:n] + k]
+            total[:, :n] += self.cost[at]
+            state[:, :n] = self.step[at]
+        cost, step = self.cost_list, self.step_list
+        for i in range(int(np.searchsorted(-length, -together, side="left"))):
+            rest = data[start[i] + together : start[i] + length[i]].tolist()
+            for a in range(len(self.first)):
+                at, sum_ = int(state[a, i]), 0.0
+                for c in rest:
+                    sum_ += cost[at + c]
+                    at = step[at + c]
+                state[a, i] = at
+                total[a, i] += sum_
+        total += self.cost[state + END]
         best = total[1:].argmax(axis=0) + 1
         lift = total[best, np.arange(len(tokens))] - total[0]
         back = np.empty_like(order)
@@ -223,18 +255,28 @@ class Grammar:
         return best[back], lift[back]
 
 
-def grammar_spans(text: str, grammar: Grammar, taken: list[tuple[int, int, int]], margin: float) -> list[tuple[int, int, int]]:
-    """Candidate tokens that score as a credential and touch no base span."""
-    found = [m.span() for m in CANDIDATE.finditer(text)]
-    if taken:
-        found = [(a, b) for a, b in found if not any(a < e and s < b for s, e, _ in taken)]
-    _, lift = grammar.score([text[a:b] for a, b in found])
-    return [(a, b, 3) for (a, b), x in zip(found, lift.tolist(), strict=True) if x > margin]
+def grammar_spans(text: str, grammar: Grammar, margin: float) -> list[tuple[int, int, int]]:
+    """Candidate tokens that score as a credential: whole runs, and pieces of the runs that do not."""
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    _, lift = grammar.score([text[a:b] for a, b in runs])
+    found = [r for r, x in zip(runs, lift.tolist(), strict=True) if x > margin]
+    pieces = [m.span() for r, x in zip(runs, lift.tolist(), strict=True) if x <= margin for m in PIECE.finditer(text, *r) if m.span() != r]
+    if pieces:
+        _, lift = grammar.score([text[a:b] for a, b in pieces])
+        found += [r for r, x in zip(pieces, lift.tolist(), strict=True) if x > margin]
+    return [(a, b, 3) for a, b in found]
 
 
 def _spans(text: str, grammar: Grammar, margin: float) -> list[tuple[int, int, int]]:
+    """Base spans, and grammar spans that no base span covers, by start, then kind."""
     base = base_spans(text)
-    return sorted(base + grammar_spans(text, grammar, base, margin), key=lambda s: (s[0], s[2]))
+    added = grammar_spans(text, grammar, margin)
+    if base and added:
+        # in order of start, the furthest end so far is that of a span that starts no later
+        starts = sorted((s, e) for s, e, _ in base)
+        first, ends = [s for s, _ in starts], list(accumulate((e for _, e in starts), max))
+        added = [(a, b, k) for a, b, k in added if not (i := bisect_right(first, a)) or ends[i - 1] < b]
+    return sorted(base + added, key=lambda s: (s[0], s[2]))
 
 
 def _digest(spans: list[tuple[int, int, int]]) -> str:
@@ -282,7 +324,11 @@ def scan_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, text_col: str = "text", labelled: Iterable[tuple[str, str]] | None = None, margin: float = MARGIN, mark: str = REDACTED) -> DataFrame:
-    """`docs` with every secret in `text_col` replaced by `mark`; other columns and null texts stay as they are."""
+    """`docs` with every secret in `text_col` replaced by `mark`, overlapping ones by one mark.
+
+    Other columns and null texts stay as they are; so do repeated rows and null
+    ids; an empty table gives an empty table.
+    """
     require(docs, text_col)
     grammar, at = _shared(docs, labelled), docs.columns.index(text_col)
 

@@ -1,9 +1,15 @@
 """Each operator on hand-made rows, against brute force or the vocabulary's own library, with nulls, repeats and clashing names."""
 
+import argparse
+import collections
+import decimal
+import doctest
 import hashlib
+import inspect
 import random
 import re
 import textwrap
+import typing
 
 import numpy as np
 import public_tokenizers
@@ -76,6 +82,65 @@ def test_grammar_tells_held_out_credentials_from_words(spark):
     assert clean[0].text == "key [SECRET] and [SECRET] end" and clean[1].text is None and clean[0].source == "s"
 
 
+@pytest.fixture(scope="module")
+def grammar():
+    return secrets.Grammar(secrets.labelled_credentials())
+
+
+def test_automata_score_as_a_walk_through_them(grammar):
+    tokens = ["A" * 40, "ghp_0123456789abcdef01AbCdEfGhIjKl", "plain-looking-words", "x9/Z" * 700, *(f"tok_{i}_{'ab1' * i}" for i in range(30))]
+    best, lift = grammar.score(tokens)
+    for t, b, x in zip(tokens, best, lift, strict=True):
+        totals = []
+        for a in grammar.automata:
+            at, total = 0, 0.0
+            for c in [*(int(secrets.CLASS_OF[ord(c)]) for c in t), secrets.END]:
+                total += a.cost[at, c]
+                at = a.step[at, c]
+            totals.append(total)
+        assert abs(max(totals[1:]) - totals[0] - x) < 1e-6 * abs(x) + 1e-9 and abs(totals[b] - max(totals[1:])) < 1e-9
+    for a in grammar.automata:  # of every state, classes and the end sum to one
+        sizes = [*map(len, secrets.CLASSES), 1]
+        assert np.allclose((np.exp(a.cost) * sizes).sum(1), 1)
+
+
+def test_merging_finds_the_states_of_a_known_automaton():
+    r = random.Random(2)
+    # (a b)* in pairs: two states, told apart by what follows
+    auto = secrets.infer("".join("0" + "g" for _ in range(r.randint(1, 9))) for _ in range(500))
+    zero, g = (next(k for k, c in enumerate(secrets.CLASSES) if x in c) for x in "0g")
+    at = int(auto.step[0, zero])
+    assert np.exp(auto.cost[at, g]) * len(secrets.CLASSES[g]) > 0.97 and auto.step[at, g] != at
+    after = int(auto.step[at, g])
+    assert np.exp(auto.cost[after, secrets.END]) > 0.05 and int(auto.step[after, zero]) in (at, 0) or len(auto.cost) < 25
+
+
+def test_secrets_around_base_spans_in_paths_and_in_long_runs(spark, grammar):
+    key = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    texts = ["ghp_0123456789abcdef01AbCdEfGhIjKl", f"see https://host.example.com/some/path/{key} there", f"GH={key}", f"token = {key}.", "k " + "x9/Z" * 60_000 + " end", None, ""]
+    rows = [(0, texts[0]), *enumerate(texts), (None, texts[0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit("clash"), "kind": F.lit(1)})
+    clean = secrets.redact(table)
+    assert clean.columns == table.columns
+    got = {(r.doc_id, r.text) for r in clean.collect()}
+    assert (0, "[SECRET]") in got and (None, "[SECRET]") in got and (4, "k [SECRET] end") in got and (5, None) in got and (6, "") in got
+    assert clean.count() == len(rows) and not any(t and ("16C7e42F" in t or "AbCdEf" in t) for _, t in got)
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(table).collect()}
+    assert spans[0] == [("grammar", 0, 34), ("hex", 4, 22)] and [k for k, _, _ in spans[3]].count("assign") == 1 and spans[5] == spans[6] == []
+    assert secrets.scan(table.limit(0)).count() == secrets.redact(table.limit(0)).count() == secrets.scan_digests(table.limit(0)).count() == 0
+    assert secrets.scan_digests(table).count() == len(rows)
+
+
+def test_secrets_leave_source_code_alone(grammar):
+    """Text that the rules of the training rows did not make: modules of the standard library."""
+    runs = flagged = 0
+    for module in (argparse, collections, decimal, doctest, inspect, typing):
+        text = inspect.getsource(module)
+        runs += len(secrets.CANDIDATE.findall(text))
+        flagged += len(secrets.grammar_spans(text, grammar, secrets.MARGIN))
+    assert runs > 500 and flagged / runs < 0.02
+
+
 def brute_hits(texts, items, n=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     grams = {}

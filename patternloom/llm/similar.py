@@ -1,11 +1,19 @@
-"""Near copies by exact similarity of word shingles.
+"""Near copies: SimHash links completed to an exact similarity of word shingles.
 
 A text is the set of its shingles; two texts are linked when the sets' Jaccard
-similarity reaches a threshold.  Candidates come from prefixes: in one fixed
-order of all shingles, two such sets share one of their first
-`n - ceil(threshold * n) + 1` shingles, so no pair is missed.  Shingles that a
-sample of the texts repeats come last in that order, which keeps common
+similarity reaches a threshold.  Fingerprints near each other, found by
+SimHash's pivot tables, are candidates, but at a similarity of 0.8 fingerprints
+lie some ten bits apart, further than any radius that can be searched.  The
+rest comes from prefixes: in one fixed order of all shingles, two such sets
+share one of their first `n - ceil(threshold * n) + 1` shingles.  Shingles that
+a sample of the texts repeats come last in that order, which keeps common
 passages out of the prefixes; the sample sways the cost, never the result.
+
+Candidates are never listed as pairs.  Every shingle of a prefix names one hub
+among its texts, and the components of texts and hubs are families: no link
+leaves one.  A family's sets meet in chunks of bounded size, two at a time;
+there a text is compared with all that no link has reached yet, so a group of
+copies costs little more than its size.
 """
 
 from __future__ import annotations
@@ -14,17 +22,23 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import cut, require
+from patternloom.llm import simhash
+from patternloom.llm.common import cut, pieces, require
 from patternloom.llm.components import connected_components
 
 SEED = 42
-SAMPLE = 4_000
-COMMON = 100_000
+#: Texts sampled for common shingles, and the most shingles that count as common.
+SAMPLE, COMMON = 4_000, 100_000
+#: Bytes of shingle sets in one chunk of a family.
+CHUNK_BYTES = 8 << 20
+#: Bytes of (text, family) rows up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def shingles(text: str | None, n_words: int) -> np.ndarray:
@@ -59,8 +73,8 @@ def common(texts: DataFrame, n_words: int) -> np.ndarray:
     return np.array([r["t"] for r in reversed(found)], dtype=np.int64).view(np.uint64)
 
 
-def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(src, dst) links that join the texts (v long, text) as all pairs of a similarity of `threshold` or more would."""
+def families(texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
+    """(v, family, n): the distinct texts (v long, text) that may have a link, and their numbers of shingles."""
     late = common(texts, n_words)
     by_value = np.argsort(late)
     late_sorted = late[by_value]
@@ -73,30 +87,71 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
         order = np.argsort(rank, kind="stable")  # s is sorted, so ties stay in the order of hashes
         return s[order][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
 
-    rows = cut(mapped(texts, n_words, prefix))
-    tokens = rows.groupBy("v").agg(F.first("n").alias("n"), F.first("s").alias("s")).select("v", "n", F.explode("s").alias("t"))
-    a, b = tokens.select("t", F.col("v").alias("src"), F.col("n").alias("m")), tokens.select("t", F.col("v").alias("dst"), "n")
-    alike = (F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9) & (F.col("src") < F.col("dst"))
-    pairs = cut(a.join(b, "t").where(alike).select("src", "dst").distinct())
-    wanted = cut(pairs.select(F.explode(F.array("src", "dst")).alias("v")).distinct())
-    some = texts.join(wanted, "v", "left_semi").dropDuplicates(["v"])
-    sets = cut(mapped(some, n_words, lambda s: s).select("v", "s"))
-
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(sets.toDF("src", "x"), "src").join(sets.toDF("dst", "y"), "dst")
-        same = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(same >= F.lit(threshold) * (F.size("x") + F.size("y") - same) - 1e-9).select("src", "dst"))
-
-    # a pair whose ends are joined already needs no comparison, so few pairs a text go first
-    found, left, most, few = pairs.limit(0), pairs, 1, 2 * wanted.count()
-    while left.count() > few:
-        near = left.groupBy("dst").agg(F.slice(F.sort_array(F.collect_list("src")), 1, most).alias("s"))
-        batch = cut(near.select(F.explode("s").alias("src"), "dst"))
-        found = found.union(verified(batch))
-        group = connected_components(found)
-        named = left.join(batch, ["src", "dst"], "left_anti").join(group.toDF("src", "g"), "src", "left").join(group.toDF("dst", "h"), "dst", "left")
-        left, most = cut(named.where(F.coalesce("g", "src") != F.coalesce("h", "dst")).select("src", "dst")), 4 * most
-    return found.union(verified(left))
+    rows = cut(mapped(texts, n_words, prefix).dropDuplicates(["v"]))
+    tokens = rows.select("v", F.explode("s").alias("t"))
+    hubs = tokens.groupBy("t").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").select("t", "hub")
+    shared = tokens.join(hubs, "t").where("v != hub").select(F.col("v").alias("src"), F.col("hub").alias("dst"))
+    prints = cut(simhash.fingerprints(texts, "v", "text", n_words).distinct())
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("v"))
+    equal = prints.join(first, "fp").select(F.col("doc_id").alias("src"), F.col("v").alias("dst"))
+    near = simhash.links(first.select("fp")).toDF("a", "b")
+    near = near.join(first.toDF("a", "src"), "a").join(first.toDF("b", "dst"), "b").select("src", "dst")
+    found = connected_components(shared.distinct().union(equal).union(near)).toDF("v", "family")
+    return found.join(rows.select("v", "n"), "v")
+
+
+def compare(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """(i, j) links that join the `sets` of shingles as all pairs of a similarity of `threshold` or more would."""
+    size = np.array([len(s) for s in sets])
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    open_, found = np.arange(len(sets)), []
+    while len(open_) > 1:
+        queue, open_ = [open_[0]], open_[1:]
+        while queue and len(open_):
+            at = queue.pop()
+            fit = open_[np.minimum(size[open_], size[at]) >= threshold * np.maximum(size[open_], size[at]) - 1e-9]
+            if not len(fit):
+                continue
+            has = np.zeros(len(kinds), dtype=np.int64)
+            has[flat[start[at] : start[at] + size[at]]] = 1
+            ends = np.cumsum(size[fit])
+            place = np.arange(ends[-1]) + np.repeat(start[fit] - ends + size[fit], size[fit])
+            both = np.add.reduceat(has[flat[place]], ends - size[fit])
+            new = fit[both >= threshold * (size[fit] + size[at] - both) - 1e-9]
+            found += [(int(i), int(at)) for i in new]
+            queue += new.tolist()
+            open_ = np.setdiff1d(open_, new, assume_unique=True)
+    return found
+
+
+def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(src, dst) links that join the texts (v long, text) as all pairs of a similarity of `threshold` or more would.
+
+    A family of many chunks costs a task for every two of them, which exact
+    links within it cannot do without.
+    """
+    named = cut(families(texts, n_words, threshold))
+    n_rows, n_shingles = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = named.groupBy("family").agg(F.ceil(F.sum("n") * 8 / F.lit(CHUNK_BYTES)).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")
+    dealt = named.join(sizes, "family").select("v", "family", "chunks", own.alias("own"))
+    small = n_rows * 48 <= BROADCAST_BYTES
+    some = texts.join(F.broadcast(dealt) if small else dealt, "v", "left_semi").dropDuplicates(["v"])
+    sets = mapped(some, n_words, lambda s: s).select("v", "s").join(F.broadcast(dealt) if small else dealt, "v")
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own != other")
+    task = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))
+    # families of one chunk share groups of about a chunk's size, two chunks of a large one are a group of their own
+    group = F.when(F.col("chunks") > 1, task).otherwise(F.pmod("family", F.lit(pieces(8 * n_shingles, CHUNK_BYTES))))
+
+    def within(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in frame.groupby("task"):
+            v = part["v"].to_numpy()
+            out += [(v[i], v[j]) for i, j in compare([x.view(np.uint64) for x in part["s"]], threshold)]
+        return pd.DataFrame(out, columns=["src", "dst"])
+
+    return met.select("v", "s", task.alias("task"), group.alias("group")).groupBy("group").applyInPandas(within, "src long, dst long").distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared `spark.checkpoint.dir`; a local folder only where that is unset."""
+    """A reliable checkpoint in the session's shared `spark.checkpoint.dir`.
+
+    Only where that is unset and the master is local, as in tests, a local
+    folder is made; a cluster without a shared folder raises RuntimeError.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints", str(os.getpid())))
     return df.checkpoint(eager=True)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternloom.operators.iterate import settle
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,16 +24,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the shared folder.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is
-    unset (tests, a laptop) a local one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints", str(os.getpid())))
-    return df.checkpoint(eager=True)
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder that the session names."""
+    return settle(df)
+
+
+def set_aside(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with all columns but `keep` under names that clash with no other, and the way back to the columns of `df`."""
+    safe = {c: f"__{i}" for i, c in enumerate(df.columns) if c not in keep}
+    names = df.columns
+    return df.withColumnsRenamed(safe), lambda out: out.select(*(F.col(safe.get(c, c)).alias(c) for c in names))
 
 
 def partitions(spark: SparkSession) -> int:

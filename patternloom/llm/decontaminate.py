@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import UPPER, cut, require
+from patternloom.llm.common import UPPER, cut, require, set_aside
 
 #: Runs of ASCII letters, digits and everything beyond ASCII, A-Z not yet lower-cased.
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
@@ -148,7 +148,8 @@ def _same(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Colu
 def drop_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows in which a window of `items` occurs; all columns and other rows stay, repeated and null ones too."""
     found = _found(docs, items, n, id_col, text_col)
-    return docs.join(found, _same(docs, found, id_col, text_col), "left_anti")
+    bare, back = set_aside(docs, id_col, text_col)
+    return back(bare.join(found, _same(bare, found, id_col, text_col), "left_anti"))
 
 
 def drop_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,5 +166,5 @@ def drop_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "do
     # the parts are bound once per text, not once per word
     kept = F.element_at(F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(p)), gone), lambda i: F.element_at(p, i)), "")), 1)
     text = F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(F.concat(head, kept))
-    joined = docs.join(found, _same(docs, found, id_col, text_col), "left")
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    bare, back = set_aside(docs, id_col, text_col)
+    return back(bare.join(found, _same(bare, found, id_col, text_col), "left").withColumn(text_col, text))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.llm import simhash
-from patternloom.llm.common import cut, pieces, require
+from patternloom.llm.common import cut, pieces, require, set_aside
 from patternloom.llm.components import connected_components
 
 SEED = 42
@@ -166,5 +166,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = connected_components(links(docs.select(F.xxhash64(text).alias("v"), text.alias("text")), n_words, threshold))
     named = rows.distinct().join(groups.withColumnRenamed("vertex", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.v").alias("_first"))
-    kept = docs.withColumn("_v", F.xxhash64(text)).join(first, (F.col("_v") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_v"]).select(*docs.columns)
+    bare, back = set_aside(docs, id_col, text_col)
+    kept = bare.withColumn("_v", F.xxhash64(text)).join(first, (F.col("_v") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return back(kept.dropDuplicates([id_col, "_v"]))

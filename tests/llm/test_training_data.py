@@ -382,5 +382,32 @@ def test_quality_keeps_clean_documents(spark):
     clean, bad = [i for i in held if i % 6 > 1], [i for i in held if i % 6 < 2]
     assert np.mean([i in kept for i in clean]) > 0.97 and np.mean([i in kept for i in bad]) < 0.03
     assert quality.select(table, labels.limit(0)).count() == table.count()
-    model = quality.fit([quality.features(t) for t in texts], np.array([0 if q == 0 else 1 if x else 2 for _, q, x in marks]))
-    assert model.thresholds[0] <= model.thresholds[1]
+    odd = table.withColumns({"tail": F.lit("mine"), "set": F.lit(1)})
+    odd = odd.union(odd.where("doc_id < 3")).union(odd.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long"))).union(odd.where("doc_id = 3").withColumn("text", F.repeat("text", F.lit(20_000))))
+    left = quality.keep(odd, labels)
+    assert left.columns == odd.columns and {x.tail for x in left.collect()} == {"mine"}
+    assert left.where("doc_id = 2").count() == 2 and left.where("doc_id is null").count() == 1 and left.where("doc_id in (0, 1)").count() == 0
+    assert quality.keep(odd.limit(0), labels).count() == 0
+    few = quality.train(table, labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade")), max_bytes=20_000)
+    assert few.thresholds[0] < few.thresholds[1] and few.weights.any()
+
+
+def test_ordinal_fit_is_the_maximum():
+    r = np.random.default_rng(3)
+    sets = [np.flatnonzero(r.random(12) < 0.3) for _ in range(400)]
+    grades = np.clip(np.round([0.8 * (0 in s) - 0.9 * (1 in s) + 1 + r.normal(0, 0.7) for s in sets]), 0, 2).astype(np.int64)
+    model = quality.fit(sets, grades, slope=1e-9)
+    x = np.array([[k in s for k in range(12)] for s in sets], dtype=float)
+
+    def gain(w, theta):
+        tail = np.hstack([np.ones((400, 1)), 1 / (1 + np.exp(theta[None] - (x @ w)[:, None])), np.zeros((400, 1))])
+        at = np.arange(400)
+        return np.log(tail[at, grades] - tail[at, grades + 1]).sum() - 0.15 * (w**2).sum()
+
+    w, theta = model.weights[:12], model.thresholds
+    best = gain(w, theta)
+    for _ in range(300):
+        d, e = r.normal(0, 0.02, 12), r.normal(0, 0.02, 2)
+        assert gain(w + d, theta + e) < best
+    assert not model.weights[12:].any() and theta[0] < theta[1]
+    assert quality.fit([], np.zeros(0, dtype=np.int64)).tails("x")[-1] > 0.99 and quality.fit(sets, np.full(400, 2)).tails("")[-1] > 0.99

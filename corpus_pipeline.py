@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver
 writes it and hands it to the next.  All but the last return the columns of
 `docs`, whatever they are, with `doc_id` and `text` among them.
+
+In every stage null and empty texts count as texts without words, very long
+ones are read whole, null ids are ids like any other, and an empty table gives
+an empty one.  Only the near-dedup stage drops repeated rows.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the rated ones among them, keeps."""
-    return quality.select(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    """Documents that the quality classifier, trained on the rated ones among them, keeps; all of them where none is rated."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of least id, of every group of texts linked by a five-word-shingle similarity of 0.8 or more."""
+    """One row, that of least id, of every group of texts linked by a five-word-shingle similarity of 0.8 or more.
+
+    The groups are found by SimHash fingerprints and completed by exact
+    comparison; rows that repeat an id with another text are rows of their own.
+    """
     return similar.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs, told apart by id and text."""
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,7 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, token_ids) of every document."""
+    """(doc_id, n_tokens, token_ids) of every row; other columns are left out."""
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 

@@ -2,18 +2,19 @@
 
 A text is the set of its shingles; two texts are linked when the sets' Jaccard
 similarity reaches a threshold.  Fingerprints near each other, found by
-SimHash's pivot tables, are candidates, but at a similarity of 0.8 fingerprints
-lie some ten bits apart, further than any radius that can be searched.  The
-rest comes from prefixes: in one fixed order of all shingles, two such sets
-share one of their first `n - ceil(threshold * n) + 1` shingles.  Shingles that
-a sample of the texts repeats come last in that order, which keeps common
-passages out of the prefixes; the sample sways the cost, never the result.
-
-Candidates are never listed as pairs.  Every shingle of a prefix names one hub
-among its texts, and the components of texts and hubs are families: no link
-leaves one.  A family's sets meet in chunks of bounded size, two at a time;
-there a text is compared with all that no link has reached yet, so a group of
-copies costs little more than its size.
+SimHash's pivot tables, are the first candidates, but at a similarity of 0.8
+fingerprints lie some ten bits apart, further than any radius that can be
+searched.  The rest comes from prefixes: in one fixed order of all shingles, two
+such sets share one of their first `n - ceil(threshold * n) + 1` shingles.
+Shingles that a sample of the texts repeats come last in that order, which
+keeps common passages out of the prefixes; the sample sways the cost, never
+the result.
+
+Texts that share a shingle of their prefixes are a cell.  While cells hold many
+pairs of texts that no link joins yet, every cell compares its texts with one
+hub only, in later rounds the text with most links; so a large group of copies
+is joined at a cost near its size.  What no link has joined then is compared
+pair by pair.
 """
 
 from __future__ import annotations
@@ -22,23 +23,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.llm import simhash
-from patternloom.llm.common import cut, pieces, require, set_aside
+from patternloom.llm.common import cut, require, set_aside
 from patternloom.llm.components import connected_components
 
 SEED = 42
 #: Texts sampled for common shingles, and the most shingles that count as common.
-SAMPLE, COMMON = 4_000, 100_000
-#: Bytes of shingle sets in one chunk of a family.
-CHUNK_BYTES = 8 << 20
-#: Bytes of (text, family) rows up to which they are broadcast.
+SAMPLE, COMMON = 4_000, 1_000_000
+#: Bytes of ids up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Open pairs for each text up to which they are compared one by one, and the most rounds of hubs before that.
+OPEN_PAIRS, HUB_ROUNDS = 64, 6
 
 
 def shingles(text: str | None, n_words: int) -> np.ndarray:
@@ -68,13 +68,13 @@ def common(texts: DataFrame, n_words: int) -> np.ndarray:
     """Shingles that several texts of a sample have, the rarest first."""
     every = max(1, texts.count() // SAMPLE)
     sample = texts.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).dropDuplicates(["v"])
-    rows = mapped(sample, n_words, lambda s: s).select(F.explode("s").alias("t")).groupBy("t").count().where("count > 3")
-    found = rows.orderBy(F.desc("count"), "t").limit(COMMON).collect()
-    return np.array([r["t"] for r in reversed(found)], dtype=np.int64).view(np.uint64)
+    rows = mapped(sample, n_words, lambda s: s).select(F.explode("s").alias("t")).groupBy("t").count().where("count > 1")
+    found = rows.orderBy(F.desc("count"), "t").limit(COMMON).select("t").toPandas()
+    return found["t"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
-def families(texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
-    """(v, family, n): the distinct texts (v long, text) that may have a link, and their numbers of shingles."""
+def cells(texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
+    """(t, v, n): the distinct texts v of `n` shingles by the shingles t that several prefixes share."""
     late = common(texts, n_words)
     by_value = np.argsort(late)
     late_sorted = late[by_value]
@@ -88,70 +88,63 @@ def families(texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
         return s[order][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
 
     rows = cut(mapped(texts, n_words, prefix).dropDuplicates(["v"]))
-    tokens = rows.select("v", F.explode("s").alias("t"))
-    hubs = tokens.groupBy("t").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").select("t", "hub")
-    shared = tokens.join(hubs, "t").where("v != hub").select(F.col("v").alias("src"), F.col("hub").alias("dst"))
+    tokens = rows.select("v", "n", F.explode("s").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
+    return cut(tokens.join(shared, "t", "left_semi").select("t", "v", "n"))
+
+
+def near_prints(texts: DataFrame, n_words: int) -> DataFrame:
+    """(src, dst) texts v of equal fingerprints, or of fingerprints that SimHash links."""
     prints = cut(simhash.fingerprints(texts, "v", "text", n_words).distinct())
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("v"))
     equal = prints.join(first, "fp").select(F.col("doc_id").alias("src"), F.col("v").alias("dst"))
     near = simhash.links(first.select("fp")).toDF("a", "b")
     near = near.join(first.toDF("a", "src"), "a").join(first.toDF("b", "dst"), "b").select("src", "dst")
-    found = connected_components(shared.distinct().union(equal).union(near)).toDF("v", "family")
-    return found.join(rows.select("v", "n"), "v")
-
-
-def compare(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """(i, j) links that join the `sets` of shingles as all pairs of a similarity of `threshold` or more would."""
-    size = np.array([len(s) for s in sets])
-    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum(size) - size
-    open_, found = np.arange(len(sets)), []
-    while len(open_) > 1:
-        queue, open_ = [open_[0]], open_[1:]
-        while queue and len(open_):
-            at = queue.pop()
-            fit = open_[np.minimum(size[open_], size[at]) >= threshold * np.maximum(size[open_], size[at]) - 1e-9]
-            if not len(fit):
-                continue
-            has = np.zeros(len(kinds), dtype=np.int64)
-            has[flat[start[at] : start[at] + size[at]]] = 1
-            ends = np.cumsum(size[fit])
-            place = np.arange(ends[-1]) + np.repeat(start[fit] - ends + size[fit], size[fit])
-            both = np.add.reduceat(has[flat[place]], ends - size[fit])
-            new = fit[both >= threshold * (size[fit] + size[at] - both) - 1e-9]
-            found += [(int(i), int(at)) for i in new]
-            queue += new.tolist()
-            open_ = np.setdiff1d(open_, new, assume_unique=True)
-    return found
+    return equal.where("src != dst").union(near)
 
 
-def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(src, dst) links that join the texts (v long, text) as all pairs of a similarity of `threshold` or more would.
+def _bounded(ids: DataFrame, n: int) -> DataFrame:
+    """`ids`, marked for broadcast while their number of rows allows it."""
+    return F.broadcast(ids) if 64 * n <= BROADCAST_BYTES else ids
 
-    A family of many chunks costs a task for every two of them, which exact
-    links within it cannot do without.
-    """
-    named = cut(families(texts, n_words, threshold))
-    n_rows, n_shingles = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    sizes = named.groupBy("family").agg(F.ceil(F.sum("n") * 8 / F.lit(CHUNK_BYTES)).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")
-    dealt = named.join(sizes, "family").select("v", "family", "chunks", own.alias("own"))
-    small = n_rows * 48 <= BROADCAST_BYTES
-    some = texts.join(F.broadcast(dealt) if small else dealt, "v", "left_semi").dropDuplicates(["v"])
-    sets = mapped(some, n_words, lambda s: s).select("v", "s").join(F.broadcast(dealt) if small else dealt, "v")
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or own != other")
-    task = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))
-    # families of one chunk share groups of about a chunk's size, two chunks of a large one are a group of their own
-    group = F.when(F.col("chunks") > 1, task).otherwise(F.pmod("family", F.lit(pieces(8 * n_shingles, CHUNK_BYTES))))
-
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in frame.groupby("task"):
-            v = part["v"].to_numpy()
-            out += [(v[i], v[j]) for i, j in compare([x.view(np.uint64) for x in part["s"]], threshold)]
-        return pd.DataFrame(out, columns=["src", "dst"])
-
-    return met.select("v", "s", task.alias("task"), group.alias("group")).groupBy("group").applyInPandas(within, "src long, dst long").distinct()
+
+def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(src, dst) links that join the texts (v long, text) as all pairs of a similarity of `threshold` or more would."""
+    shared = cells(texts, n_words, threshold)
+    first = near_prints(texts, n_words)
+    wanted = cut(shared.select("v").union(first.select("src")).union(first.select("dst")).distinct())
+    n_texts = wanted.count()
+    some = texts.join(_bounded(wanted, n_texts), "v", "left_semi").dropDuplicates(["v"])
+    sets = cut(mapped(some, n_words, lambda s: s).select("v", "s"))
+    fit = F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(sets.toDF("src", "x"), "src").join(sets.toDF("dst", "y"), "dst")
+        same = F.size(F.array_intersect("x", "y"))
+        return cut(both.where(same >= F.lit(threshold) * (F.size("x") + F.size("y") - same) - 1e-9).select("src", "dst"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+    seen = cut(ordered(first))
+    found = verified(seen)
+    for r in range(HUB_ROUNDS + 1):
+        group = connected_components(found).toDF("v", "c")
+        named = shared.join(group, "v", "left").select("t", "v", "n", F.coalesce("c", "v").alias("c"))
+        open_ = named.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("q")).where("k * k > q")
+        named = cut(named.join(open_.withColumn("pairs", (F.col("k") * F.col("k") - F.col("q")) / 2).select("t", "pairs"), "t"))
+        left = named.groupBy("t").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        if left <= OPEN_PAIRS * n_texts or r == HUB_ROUNDS:
+            break
+        degree = found.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+        best = F.struct(F.coalesce("d", F.lit(0)) if r else F.lit(0), F.xxhash64(F.lit(r // 2), "v"))
+        hubs = named.join(degree, "v", "left").groupBy("t").agg(F.max_by(F.struct("v", "n", "c"), best).alias("h"))
+        met = named.join(hubs, "t").select(F.col("v").alias("src"), F.col("n").alias("m"), "c", F.col("h.v").alias("dst"), F.col("h.n").alias("n"), F.col("h.c").alias("hc"))
+        pairs = cut(ordered(met.where((F.col("c") != F.col("hc")) & fit)).join(seen, ["src", "dst"], "left_anti"))
+        found, seen = cut(found.union(verified(pairs))), cut(seen.union(pairs))
+    a, b = named.select("t", F.col("v").alias("src"), F.col("n").alias("m"), "c"), named.select("t", F.col("v").alias("dst"), "n", F.col("c").alias("hc"))
+    rest = a.join(b, "t").where((F.col("src") < F.col("dst")) & (F.col("c") != F.col("hc")) & fit).select("src", "dst").distinct()
+    return found.union(verified(cut(rest.join(seen, ["src", "dst"], "left_anti"))))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -163,9 +156,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     require(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("v"))
+    counted = cut(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies")))
+    n_rows, most = counted.agg(F.count(F.lit(1)), F.max("copies")).first()
     groups = connected_components(links(docs.select(F.xxhash64(text).alias("v"), text.alias("text")), n_words, threshold))
-    named = rows.distinct().join(groups.withColumnRenamed("vertex", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    named = counted.join(groups.withColumnRenamed("vertex", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.v").alias("_first"))
     bare, back = set_aside(docs, id_col, text_col)
-    kept = bare.withColumn("_v", F.xxhash64(text)).join(first, (F.col("_v") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return back(kept.dropDuplicates([id_col, "_v"]))
+    same = (F.col("_v") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    kept = bare.withColumn("_v", F.xxhash64(text)).join(_bounded(cut(first), n_rows), same, "left_semi")
+    # without repeated rows there is nothing left to drop, and no need to move the texts
+    return back(kept.dropDuplicates([id_col, "_v"]) if (most or 0) > 1 else kept)

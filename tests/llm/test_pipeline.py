@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patternloom.llm import queries
+from patternloom.llm import queries, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,9 @@ def test_stages_take_effect(spark, tmp_path):
     assert at[2] == at[3] == at[4] and len(at[4]) > 100
 
 
-def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark):
+@pytest.mark.parametrize("open_pairs", [64, -1])
+def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark, monkeypatch, open_pairs):
+    monkeypatch.setattr(similar, "OPEN_PAIRS", open_pairs)
     r = random.Random(7)
     base = [[r.choice("abcdefghijklmnop") + str(r.randint(0, 40)) for _ in range(r.randint(8, 120))] for _ in range(40)]
     texts = [" ".join(w) for w in base]

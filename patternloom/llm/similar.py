@@ -14,7 +14,9 @@ Texts that share a shingle of their prefixes are a cell.  While cells hold many
 pairs of texts that no link joins yet, every cell compares its texts with one
 hub only, in later rounds the text with most links; so a large group of copies
 is joined at a cost near its size.  What no link has joined then is compared
-pair by pair.
+pair by pair.  Pairs are compared by bitmaps of their shingles first, a
+sixteenth of the sets' size: a bit that one side alone has is a shingle that
+the other lacks, which bounds the similarity from above.
 """
 
 from __future__ import annotations
@@ -52,16 +54,36 @@ def shingles(text: str | None, n_words: int) -> np.ndarray:
     return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[n_words - 1 :], strict=True)], dtype=np.uint64))
 
 
-def mapped(texts: DataFrame, n_words: int, pick) -> DataFrame:
-    """(v, n, s): of every row (v, text) the number of its shingles and those that `pick` takes."""
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of the shingles' hashes modulo four times the next power of two of their number, at least 64."""
+    size = max(64, 4 << (len(s) - 1).bit_length()) if len(s) else 64
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(s % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def bound(x: bytes, y: bytes, m: int, n: int) -> float:
+    """An upper bound of the similarity of sets of `m` and `n` shingles by their bitmaps; the longer one is folded."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    both = min(m - int(np.bitwise_count(a & ~b).sum()), n - int(np.bitwise_count(b & ~a).sum()))
+    return both / (m + n - both)
+
+
+def mapped(texts: DataFrame, n_words: int, pick, with_bits: bool = False) -> DataFrame:
+    """(v, n, s, bits): of every row (v, text) the number of its shingles, those that `pick` takes, and their bitmap or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, n_words) for t in b.column(1).to_pylist()]
             taken = pa.array([pick(s).view(np.int64) for s in sets], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int32()), taken], names=["v", "n", "s"])
+            bits = pa.array([bitmap(s) if with_bits else None for s in sets], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int32()), taken, bits], names=["v", "n", "s", "bits"])
 
-    return texts.select("v", "text").mapInArrow(run, "v long, n int, s array<long>")
+    return texts.select("v", "text").mapInArrow(run, "v long, n int, s array<long>, bits binary")
 
 
 def common(texts: DataFrame, n_words: int) -> np.ndarray:
@@ -73,8 +95,8 @@ def common(texts: DataFrame, n_words: int) -> np.ndarray:
     return found["t"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
-def cells(texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
-    """(t, v, n): the distinct texts v of `n` shingles by the shingles t that several prefixes share."""
+def cells(texts: DataFrame, n_words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(v, n, bits) of the distinct texts, and (t, v) of them by the shingles t that several prefixes share."""
     late = common(texts, n_words)
     by_value = np.argsort(late)
     late_sorted = late[by_value]
@@ -87,10 +109,10 @@ def cells(texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
         order = np.argsort(rank, kind="stable")  # s is sorted, so ties stay in the order of hashes
         return s[order][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
 
-    rows = cut(mapped(texts, n_words, prefix).dropDuplicates(["v"]))
-    tokens = rows.select("v", "n", F.explode("s").alias("t"))
+    rows = cut(mapped(texts, n_words, prefix, with_bits=True).dropDuplicates(["v"]))
+    tokens = rows.select("v", F.explode("s").alias("t"))
     shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
-    return cut(tokens.join(shared, "t", "left_semi").select("t", "v", "n"))
+    return rows.select("v", "n", "bits"), cut(tokens.join(shared, "t", "left_semi").select("t", "v"))
 
 
 def near_prints(texts: DataFrame, n_words: int) -> DataFrame:
@@ -110,41 +132,57 @@ def _bounded(ids: DataFrame, n: int) -> DataFrame:
 
 def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(src, dst) links that join the texts (v long, text) as all pairs of a similarity of `threshold` or more would."""
-    shared = cells(texts, n_words, threshold)
-    first = near_prints(texts, n_words)
-    wanted = cut(shared.select("v").union(first.select("src")).union(first.select("dst")).distinct())
-    n_texts = wanted.count()
-    some = texts.join(_bounded(wanted, n_texts), "v", "left_semi").dropDuplicates(["v"])
-    sets = cut(mapped(some, n_words, lambda s: s).select("v", "s"))
-    fit = F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9
-
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(sets.toDF("src", "x"), "src").join(sets.toDF("dst", "y"), "dst")
+    facts, shared = cells(texts, n_words, threshold)
+    n_texts = facts.count()
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The distinct unordered pairs (src, dst) whose sizes and bitmaps allow the similarity, with that bound."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                m, n, x, y = (b.column(c).to_pylist() for c in ("m", "n", "x", "y"))
+                yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(map(bound, x, y, m, n), pa.float64())], names=["src", "dst", "most"])
+
+        once = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        sized = once.join(facts.toDF("src", "m", "x"), "src").join(facts.toDF("dst", "n", "y"), "dst")
+        fit = F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9
+        return sized.where(fit).mapInArrow(run, "src long, dst long, most double").where(F.col("most") >= threshold - 1e-9)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of `pairs` that have the similarity; only their texts are cut into shingles again."""
+        ends = cut(pairs.select(F.explode(F.array("src", "dst")).alias("v")).distinct())
+        some = texts.join(_bounded(ends, n_texts), "v", "left_semi").dropDuplicates(["v"])
+        sets = mapped(some, n_words, lambda s: s).select("v", "s")
+        both = pairs.join(sets.toDF("src", "x"), "src").join(sets.toDF("dst", "y"), "dst")
         same = F.size(F.array_intersect("x", "y"))
         return cut(both.where(same >= F.lit(threshold) * (F.size("x") + F.size("y") - same) - 1e-9).select("src", "dst"))
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-
-    seen = cut(ordered(first))
+    seen = cut(likely(near_prints(texts, n_words)).select("src", "dst"))
     found = verified(seen)
     for r in range(HUB_ROUNDS + 1):
         group = connected_components(found).toDF("v", "c")
-        named = shared.join(group, "v", "left").select("t", "v", "n", F.coalesce("c", "v").alias("c"))
+        named = shared.join(group, "v", "left").select("t", "v", F.coalesce("c", "v").alias("c"))
+        # a cell's open pairs are all of its pairs less those within a component
         open_ = named.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("q")).where("k * k > q")
-        named = cut(named.join(open_.withColumn("pairs", (F.col("k") * F.col("k") - F.col("q")) / 2).select("t", "pairs"), "t"))
-        left = named.groupBy("t").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        open_ = cut(open_.select("t", ((F.col("k") * F.col("k") - F.col("q")) / 2).alias("pairs")))
+        left = open_.agg(F.sum("pairs")).first()[0] or 0
+        named = cut(named.join(open_.select("t"), "t"))
         if left <= OPEN_PAIRS * n_texts or r == HUB_ROUNDS:
             break
         degree = found.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
         best = F.struct(F.coalesce("d", F.lit(0)) if r else F.lit(0), F.xxhash64(F.lit(r // 2), "v"))
-        hubs = named.join(degree, "v", "left").groupBy("t").agg(F.max_by(F.struct("v", "n", "c"), best).alias("h"))
-        met = named.join(hubs, "t").select(F.col("v").alias("src"), F.col("n").alias("m"), "c", F.col("h.v").alias("dst"), F.col("h.n").alias("n"), F.col("h.c").alias("hc"))
-        pairs = cut(ordered(met.where((F.col("c") != F.col("hc")) & fit)).join(seen, ["src", "dst"], "left_anti"))
+        hubs = named.join(degree, "v", "left").groupBy("t").agg(F.max_by(F.struct("v", "c"), best).alias("h"))
+        met = named.join(hubs, "t").where(F.col("c") != F.col("h.c")).select(F.col("v").alias("src"), F.col("h.v").alias("dst"))
+        near = likely(met).join(seen, ["src", "dst"], "left_anti")
+        # of each component the likeliest pair goes first; the others may not be needed any more
+        of = near.join(group.toDF("src", "c"), "src", "left").select("src", "dst", "most", F.coalesce("c", "src").alias("c"))
+        of = of.join(group.toDF("dst", "hc"), "dst", "left").select("src", "dst", "most", "c", F.coalesce("hc", "dst").alias("hc"))
+        each = of.select("src", "dst", "most", F.explode(F.array("c", "hc")).alias("c")).groupBy("c").agg(F.max_by(F.struct("src", "dst"), F.struct("most", "src", "dst")).alias("p"))
+        pairs = cut(each.select("p.*").distinct())
         found, seen = cut(found.union(verified(pairs))), cut(seen.union(pairs))
-    a, b = named.select("t", F.col("v").alias("src"), F.col("n").alias("m"), "c"), named.select("t", F.col("v").alias("dst"), "n", F.col("c").alias("hc"))
-    rest = a.join(b, "t").where((F.col("src") < F.col("dst")) & (F.col("c") != F.col("hc")) & fit).select("src", "dst").distinct()
-    return found.union(verified(cut(rest.join(seen, ["src", "dst"], "left_anti"))))
+    a, b = named.toDF("t", "src", "c"), named.toDF("t", "dst", "hc")
+    rest = a.join(b, "t").where((F.col("src") < F.col("dst")) & (F.col("c") != F.col("hc"))).select("src", "dst")
+    return found.union(verified(cut(likely(rest).select("src", "dst").join(seen, ["src", "dst"], "left_anti"))))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:

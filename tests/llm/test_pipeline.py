@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert at[2] == at[3] == at[4] and len(at[4]) > 100
 
 
+def test_bitmaps_bound_the_similarity_from_above():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        x, y = (np.unique(r.integers(0, 2000, r.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        y = np.unique(np.concatenate([y, x[: r.integers(0, len(x) + 1)]]))
+        both = len(np.intersect1d(x, y))
+        assert similar.bound(similar.bitmap(x), similar.bitmap(y), len(x), len(y)) >= both / (len(x) + len(y) - both)
+    assert similar.bound(similar.bitmap(x), similar.bitmap(x), len(x), len(x)) == 1
+
+
 @pytest.mark.parametrize("open_pairs", [64, -1])
 def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark, monkeypatch, open_pairs):
     monkeypatch.setattr(similar, "OPEN_PAIRS", open_pairs)

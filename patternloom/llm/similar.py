@@ -35,8 +35,8 @@ from patternloom.llm.common import cut, require, set_aside
 from patternloom.llm.components import connected_components
 
 SEED = 42
-#: Texts sampled for common shingles, and the most shingles that count as common.
-SAMPLE, COMMON = 4_000, 1_000_000
+#: One text in so many is sampled for common shingles; the most shingles that count as common.
+SAMPLE, COMMON = 8, 1_000_000
 #: Bytes of ids up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Open pairs for each text up to which they are compared one by one, and the most rounds of hubs before that.
@@ -88,8 +88,7 @@ def mapped(texts: DataFrame, n_words: int, pick, with_bits: bool = False) -> Dat
 
 def common(texts: DataFrame, n_words: int) -> np.ndarray:
     """Shingles that several texts of a sample have, the rarest first."""
-    every = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).dropDuplicates(["v"])
+    sample = texts.where(F.pmod(F.xxhash64("v"), F.lit(SAMPLE)) == 0).dropDuplicates(["v"])
     rows = mapped(sample, n_words, lambda s: s).select(F.explode("s").alias("t")).groupBy("t").count().where("count > 1")
     found = rows.orderBy(F.desc("count"), "t").limit(COMMON).select("t").toPandas()
     return found["t"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
@@ -111,8 +110,8 @@ def cells(texts: DataFrame, n_words: int, threshold: float) -> tuple[DataFrame,
 
     rows = cut(mapped(texts, n_words, prefix, with_bits=True).dropDuplicates(["v"]))
     tokens = rows.select("v", F.explode("s").alias("t"))
-    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
-    return rows.select("v", "n", "bits"), cut(tokens.join(shared, "t", "left_semi").select("t", "v"))
+    shared = cut(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"))
+    return rows.select("v", "n", "bits"), cut(tokens.join(_bounded(shared, shared.count()), "t", "left_semi").select("t", "v"))
 
 
 def near_prints(texts: DataFrame, n_words: int) -> DataFrame:
@@ -127,7 +126,7 @@ def near_prints(texts: DataFrame, n_words: int) -> DataFrame:
 
 def _bounded(ids: DataFrame, n: int) -> DataFrame:
     """`ids`, marked for broadcast while their number of rows allows it."""
-    return F.broadcast(ids) if 64 * n <= BROADCAST_BYTES else ids
+    return F.broadcast(ids) if 32 * n <= BROADCAST_BYTES else ids
 
 
 def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from patternloom.functions import vectors as V
 from patternloom.operators.graph import neighbours
+from patternloom.operators.iterate import settle
+from patternloom.operators.order import quantiles, ranked
+from patternloom.operators.prep import numeric, scale
+from patternloom.operators.reduce import reconstruction_error
 
 
 def zscore(df: DataFrame, column: str) -> DataFrame:
@@ -42,7 +47,7 @@ def robust_distances_2d(df: DataFrame, a: str, b: str, id_col: str, fraction: fl
     """As `mahalanobis_2d`, by the rows of least distance: each step refits on the closest `fraction`, which a quantile cut picks."""
     now = mahalanobis_2d(df, a, b)
     for _ in range(steps):
-        cut = now.agg(F.percentile(F.round("distance", 9), F.lit(fraction)).alias("_cut"))
+        cut = quantiles(now.select(F.round("distance", 9).alias("_cut")), ["_cut"], [fraction]).select(F.col("_cut")[0].alias("_cut"))
         core = now.crossJoin(F.broadcast(cut)).where(F.round("distance", 9) <= F.col("_cut"))
         f = core.agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), F.covar_pop(a, a).alias("_saa"), F.covar_pop(a, b).alias("_sab"), F.covar_pop(b, b).alias("_sbb"))
         da, db = F.col(a) - F.col("_ma"), F.col(b) - F.col("_mb")
@@ -59,12 +64,11 @@ def mean_ensemble(df: DataFrame, members: Sequence[str]) -> DataFrame:
 def average_rank(df: DataFrame, column: str, into: str) -> DataFrame:
     """`df` with the average rank of `column` over the row count, equal values sharing theirs.
 
-    Ranks come from one row per distinct value, so the single ordered pass is
-    over values and not over rows.
+    Ranks come from one row per distinct value; those are put in order by ranges.
     """
-    per = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    ranks = per.select("_v", ((upto - F.col("_c")) + (F.col("_c") + 1) / 2.0).alias("_r"), F.sum("_c").over(W.partitionBy(F.lit(1))).alias("_n"))
+    per = settle(df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    total = per.agg(F.sum("_c").alias("_n"))
+    ranks = ranked(per, "_v", weight="_c", into="_b").crossJoin(F.broadcast(total)).select("_v", (F.col("_b") + (F.col("_c") + 1) / 2.0).alias("_r"), "_n")
     return df.join(ranks, F.col(column) == F.col("_v")).withColumn(into, F.col("_r") / F.col("_n")).drop("_v", "_r", "_n")
 
 
@@ -84,14 +88,43 @@ def _average_path(n: float) -> float:
     return 0.0 if n <= 1 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
-def isolation_forest(df: DataFrame, columns: Sequence[str], id_col: str = "row_id", n_trees: int = 100, sample: int = 256, random_state: int = 0) -> DataFrame:
-    """(id, score): 2^(-mean path / expected path) over `n_trees` trees, higher is odder.
+@dataclass
+class Forest:
+    """Isolation trees, each as arrays over its nodes: column (-1 for a leaf), cut, child below, child above, path length of a leaf."""
 
-    Each tree takes the `sample` rows of least hash, found by one bounded
-    top-k; the trees (under 2 * sample nodes each) are grown on the driver and
-    broadcast, and rows are scored in Arrow batches without a shuffle.
-    """
-    rows = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
+    columns: list[str]
+    trees: list[tuple]
+    expected: float
+
+    def score(self, df: DataFrame, id_col: str = "row_id") -> DataFrame:
+        """(id, score): 2^(-mean path / expected path), higher is odder; rows with a null or NaN have no score.
+
+        The trees have under 2 * sample nodes each and are broadcast; rows are
+        scored in Arrow batches without a shuffle, on streams too.
+        """
+        numeric(df, self.columns)
+        names, expected = [f"c{i}" for i in range(len(self.columns))], self.expected
+        rows = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(n) for c, n in zip(self.columns, names, strict=True))).na.drop(subset=names)
+        forest = df.sparkSession.sparkContext.broadcast([tuple(np.asarray(v) for v in t) for t in self.trees])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x, total = b[names].to_numpy(), np.zeros(len(b))
+                for column, cut, low, high, path in forest.value:
+                    at = np.zeros(len(x), dtype=np.int64)
+                    while (inner := column[at] >= 0).any():
+                        i = np.flatnonzero(inner)
+                        at[i] = np.where(x[i, column[at[i]]] < cut[at[i]], low[at[i]], high[at[i]])
+                    total += path[at]
+                yield pd.DataFrame({"id": b["id"], "score": 2.0 ** (-total / max(1, len(forest.value)) / expected)})
+
+        return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, score double")
+
+
+def fit_forest(df: DataFrame, columns: Sequence[str], id_col: str = "row_id", n_trees: int = 100, sample: int = 256, random_state: int = 0) -> Forest:
+    """Trees over samples of the rows of least hash, found by one bounded top-k and grown on the driver.  Fits at once."""
+    numeric(df, columns)
+    rows = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).na.drop(subset=[f"c{i}" for i in range(len(columns))])
     keyed = rows.withColumn("_h", F.xxhash64(F.lit(random_state), "id"))
     pool = keyed.orderBy("_h", "id").limit(min(sample * n_trees, 25_600)).drop("_h", "id").toPandas().to_numpy()
     r, trees = np.random.default_rng(random_state), []
@@ -113,19 +146,51 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], id_col: str = "row_i
             nodes.append((c, at, -1, -1, 0.0))
             here, left = len(nodes) - 1, x[:, c] < at
             stack += [(x[~left], level + 1, here, 1), (x[left], level + 1, here, 0)]
-        trees.append(tuple(np.array(v) for v in zip(*nodes, strict=True)))
-    forest = df.sparkSession.sparkContext.broadcast(trees)
-    expected = _average_path(size) or 1.0
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, total = b[list(columns)].to_numpy(), np.zeros(len(b))
-            for column, cut, low, high, path in forest.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                while (inner := column[at] >= 0).any():
-                    i = np.flatnonzero(inner)
-                    at[i] = np.where(x[i, column[at[i]]] < cut[at[i]], low[at[i]], high[at[i]])
-                total += path[at]
-            yield pd.DataFrame({"id": b["id"], "score": 2.0 ** (-total / max(1, len(forest.value)) / expected)})
-
-    return rows.mapInPandas(score, f"id {dict(rows.dtypes)['id']}, score double")
+        trees.append(tuple(np.array(v).tolist() for v in zip(*nodes, strict=True)))
+    return Forest(list(columns), trees, _average_path(size) or 1.0)
+
+
+def isolation_forest(df: DataFrame, columns: Sequence[str], id_col: str = "row_id", n_trees: int = 100, sample: int = 256, random_state: int = 0) -> DataFrame:
+    """(id, score) of the rows by a forest fitted on them."""
+    return fit_forest(df, columns, id_col, n_trees, sample, random_state).score(df, id_col)
+
+
+def flagged(scores: DataFrame, contamination: float, score: str = "score") -> DataFrame:
+    """`scores` with `is_anomaly`: at or over the quantile that leaves a share of `contamination`."""
+    if not 0 < contamination < 0.5:
+        raise ValueError("contamination must lie between 0 and 0.5")
+    cut = quantiles(scores, [score], [1 - contamination]).select(F.col(score)[0].alias("_cut"))
+    return scores.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col(score) >= F.col("_cut")).drop("_cut")
+
+
+def reconstruction_scores(df: DataFrame, columns: Sequence[str], d: int, id_col: str = "row_id") -> DataFrame:
+    """(id, score): the mean squared error of each standardised row after projection on `d` principal components."""
+    x = scale(df, columns).select(F.col(id_col).alias("id"), F.array(*columns).alias("x"))
+    return reconstruction_error(x, d).withColumnRenamed("error", "score")
+
+
+def one_class_scores(df: DataFrame, columns: Sequence[str], nu: float = 0.04, gamma: float | None = None, n_features: int = 64, rounds: int = 25, random_state: int = 0, id_col: str = "row_id") -> DataFrame:
+    """(id, score): how far each row lies outside the region that holds all but a share `nu` of the rows.
+
+    An approximation of the one-class support vector machine with an rbf
+    kernel (`gamma`, by default one over the number of columns): random Fourier
+    features of the standardised rows, and subgradient steps on its linear
+    objective; each step is one aggregate of `n_features` sums.  Runs at once.
+    """
+    if not 0 < nu < 1:
+        raise ValueError("nu must lie between 0 and 1")
+    r, d = np.random.default_rng(random_state), len(columns)
+    lines, shift = r.standard_normal((n_features, d)) * math.sqrt(2 * (gamma or 1 / d)), r.uniform(0, 2 * math.pi, n_features)
+    x = F.array(*columns)
+    parts = [math.sqrt(2 / n_features) * F.cos(V.dot(x, F.array(*map(F.lit, a.tolist()))) + float(b)) for a, b in zip(lines, shift, strict=True)]
+    rows = settle(scale(df, columns).select(F.col(id_col).alias("id"), F.array(*parts).alias("z")))
+    n = rows.count()
+    w, rho = np.array(rows.agg(*(F.avg(F.col("z")[i]) for i in range(n_features))).first(), dtype=float), 0.0
+    height = lambda w: V.dot(F.col("z"), F.array(*map(F.lit, w.tolist())))
+    for t in range(rounds):
+        # the best offset for given weights is their nu quantile; a sketch of it is good enough for a step
+        rho = rows.select(height(w).alias("h")).approxQuantile("h", [nu], 0.001)[0]
+        out = rows.where(height(w) < rho).agg(*(F.sum(F.col("z")[i]) for i in range(n_features))).first()
+        w = w - (w - np.array([v or 0.0 for v in out]) / (nu * n)) / (t + 2)
+    rho = rows.select(height(w).alias("h")).approxQuantile("h", [nu], 0.0005)[0]
+    return rows.select("id", (F.lit(rho) - height(w)).alias("score"))

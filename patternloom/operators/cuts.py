@@ -8,42 +8,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from patternloom.operators.order import quantiles, ranked
+
 #: Makes the median absolute deviation of a normal sample its standard deviation.
 MAD_SCALE = 1.4826
 
 
+def checked(df: DataFrame, score: str = "score") -> DataFrame:
+    """`df`, once it is known to have two scores at least, all finite; else ValueError."""
+    value = F.col(score).cast("double")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    n, good = df.agg(F.count(F.lit(1)), F.count(F.when(finite, True))).first()
+    if n < 2:
+        raise ValueError("at least two scores are needed")
+    if good < n:
+        raise ValueError(f"{n - good} scores are null or not finite")
+    return df
+
+
 def quantile_threshold(df: DataFrame, contamination: float = 0.05, score: str = "score") -> DataFrame:
     if not 0 < contamination < 1:
         raise ValueError("contamination must lie between 0 and 1")
-    return df.agg(F.percentile(F.col(score), F.lit(1 - contamination)).alias("threshold"))
+    return quantiles(checked(df, score), [score], [1 - contamination]).select(F.col(score)[0].alias("threshold"))
 
 
 def mad_threshold(df: DataFrame, n_deviations: float = 3.0, score: str = "score") -> DataFrame:
     """Median plus `n_deviations` scaled median absolute deviations; with none, plus population deviations."""
     if n_deviations <= 0:
         raise ValueError("n_deviations must be positive")
-    middle = df.agg(F.percentile(F.col(score), F.lit(0.5)).alias("m"), F.stddev_pop(score).alias("sd"))
-    away = df.select(score).crossJoin(F.broadcast(middle))
-    mad = away.agg(F.percentile(F.abs(F.col(score) - F.col("m")), F.lit(0.5)).alias("mad"), F.first("m").alias("m"), F.first("sd").alias("sd"))
+    df = checked(df, score)
+    middle = quantiles(df, [score], [0.5]).select(F.col(score)[0].alias("m"))
+    away = df.select(score).crossJoin(F.broadcast(middle)).select(F.abs(F.col(score) - F.col("m")).alias("mad"))
+    mad = quantiles(away, ["mad"], [0.5]).select(F.col("mad")[0].alias("mad"))
     spread = F.when(F.col("mad") > 0, MAD_SCALE * F.col("mad")).otherwise(F.col("sd"))
-    return mad.select((F.col("m") + n_deviations * spread).alias("threshold"))
-
-
-def ranked(df: DataFrame, score: str = "score", id_col: str = "id") -> DataFrame:
-    """`df` with `rn`, the place from 0 in order of (score, id), without one task sorting all rows.
-
-    Rows are dealt out by ranges of score; a row's place is its place in its
-    range plus the rows of all ranges before.
-    """
-    parts = df.repartitionByRange(score, id_col).withColumn("_part", F.spark_partition_id())
-    counted = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    place = F.row_number().over(W.partitionBy("_part").orderBy(score, id_col)) - 1
-    return parts.withColumn("_at", place).join(F.broadcast(before), "_part").withColumn("rn", (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+    return df.agg(F.stddev_pop(score).alias("sd")).crossJoin(middle).crossJoin(mad).select((F.col("m") + n_deviations * spread).alias("threshold"))
 
 
 def knee_threshold(df: DataFrame, score: str = "score", id_col: str = "id") -> DataFrame:
     """The score furthest below the straight line from the least to the greatest in sorted order, the first on ties."""
+    df = checked(df, score)
     facts = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.count(score).alias("n"))
     gap = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("rn") / (F.col("n") - 1) - F.col(score)
     return ranked(df, score, id_col).crossJoin(F.broadcast(facts)).agg(F.max_by(F.col(score), F.struct(F.round(gap, 9), -F.col("rn"))).alias("threshold"))
@@ -53,6 +56,7 @@ def otsu_threshold(df: DataFrame, n_bins: int = 128, score: str = "score") -> Da
     """The right edge of the bin at which the variance between the two sides is greatest, the lowest on ties."""
     if n_bins < 2:
         raise ValueError("n_bins must be at least 2")
+    df = checked(df, score)
     facts = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.count(score).alias("n"))
     width = (F.col("hi") - F.col("lo")) / n_bins
     spot = F.least(F.floor((F.col(score) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(n_bins - 1))
@@ -81,6 +85,12 @@ def compare_thresholds(df: DataFrame, contamination: float = 0.05, n_deviations:
     return hits.select("strategy", "threshold", "n_flagged", (F.col("n_flagged") / F.col("n")).alias("flagged_fraction"))
 
 
+def choice(df: DataFrame, threshold: DataFrame, strategy: str, score: str = "score") -> DataFrame:
+    """(strategy, threshold, n_flagged, flagged_fraction) of one row (threshold): what a rule would flag."""
+    hits = df.select(score).crossJoin(F.broadcast(threshold)).groupBy("threshold").agg(F.count_if(F.col(score) >= F.col("threshold")).alias("n_flagged"), F.count(F.lit(1)).alias("n"))
+    return hits.select(F.lit(strategy).alias("strategy"), "threshold", "n_flagged", (F.col("n_flagged") / F.col("n")).alias("flagged_fraction"))
+
+
 def evaluate_threshold(df: DataFrame, threshold: float, score: str = "score", truth: str = "is_anomaly") -> DataFrame:
     """precision (null if none flagged), recall (null if none true), f1 (null if either is, 0 if both are 0), n_flagged."""
     flag, true = (F.col(score) >= threshold).cast("long"), F.col(truth).cast("long")

@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from patternloom.functions import vectors as V
+from patternloom.operators import cluster, evaluation
+from patternloom.operators.order import quantiles, ranked
 
 
 def batches(df: DataFrame, batch_size: int, *order: str) -> DataFrame:
     """`df` with `batch`, consecutive runs of `batch_size` rows in the given order; the last may be short."""
-    from patternloom.operators.cuts import ranked
-
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    first, second = (*order, order[0])[:2]
-    return ranked(df, first, second).withColumn("batch", F.floor(F.col("rn") / batch_size).cast("int")).drop("rn")
+    return ranked(df, *order, into="batch").withColumn("batch", F.floor(F.col("batch") / batch_size).cast("int"))
 
 
 def population_stability(reference: DataFrame, batches: DataFrame, column: str, key: str = "batch", n_bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
     """(key, psi) of every batch against the reference: bins by the reference's quantiles, shares floored at `epsilon`, 0 with fewer than two edges."""
     if n_bins < 2:
         raise ValueError("n_bins must be at least 2")
-    cut = F.array(*(F.lit(i / n_bins) for i in range(n_bins + 1)))
-    edges = reference.agg(F.array_distinct(F.transform(F.percentile(column, cut), lambda q: F.round(q, 9))).alias("edges"))
+    cut = quantiles(reference, [column], [i / n_bins for i in range(n_bins + 1)])
+    edges = cut.select(F.array_distinct(F.transform(column, lambda q: F.round(q, 9))).alias("edges"))
     inner = F.filter(F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))), lambda e: e <= F.round(F.col(column), 9))
     one = F.broadcast(edges)
     base = reference.crossJoin(one).groupBy(F.size(inner).alias("bin")).agg(F.count(F.lit(1)).alias("e"))
@@ -53,6 +53,35 @@ def step_centres(centres: list[list[float]], weights: list[float], sums: dict[in
     return new, total
 
 
+def mini_batch_kmeans(df: DataFrame, k: int, x: str = "x", batch: str = "batch", id_col: str = "id") -> tuple[list[list[float]], DataFrame]:
+    """The centres after all batches in order, from the first k rows of the first, and (id, label) of every row by them.
+
+    Each batch is one aggregate; k centres are the state.  Runs at once.
+    """
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    order = [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()]
+    if not order:
+        raise ValueError("there are no batches")
+    centres = [list(r[x]) for r in df.where(F.col(batch) == order[0]).orderBy(id_col).limit(k).collect()]
+    weights = [0.0] * len(centres)
+    for b in order:
+        now = df.where(F.col(batch) == b).select(F.col(id_col).alias("id"), F.col(x).alias("x"))
+        d2 = F.transform(cluster.centre_array(centres), lambda c: F.round(V.squared_distance(F.col("x"), c), 9))
+        near = now.withColumn("ds", d2).withColumn("label", F.array_position("ds", F.array_min("ds")) - 1)
+        sums = near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("x")[d]) for d in range(len(centres[0])))).collect()
+        centres, weights = step_centres(centres, weights, {int(r["label"]): (r["n"], list(r[2:])) for r in sums})
+    return centres, cluster.assign(df, centres, id_col, x).select("id", "label")
+
+
+def streaming_agreement(df: DataFrame, k: int, rounds: int = 10, x: str = "x", batch: str = "batch", id_col: str = "id") -> DataFrame:
+    """(ami): how well labels learnt batch by batch agree with those of a fit on all rows at once."""
+    _, live = mini_batch_kmeans(df, k, x, batch, id_col)
+    whole = cluster.lloyd(df, k, rounds, id_col, x)
+    both = live.withColumnRenamed("label", "a").join(whole.withColumnRenamed("label", "b"), "id")
+    return evaluation.adjusted_mutual_information(evaluation.contingency(both, "a", "b"))
+
+
 def monitor(df: DataFrame, k: int, drift_column: int = 0, x: str = "x", batch: str = "batch", id_col: str = "id") -> DataFrame:
     """(batch, n_seen, centroid_shift, inertia, psi): a running k-means over batches in order, from the first k rows of batch 0.
 
@@ -60,8 +89,6 @@ def monitor(df: DataFrame, k: int, drift_column: int = 0, x: str = "x", batch: s
     The fold over batches is ordered by nature: each batch is one Spark
     aggregate, and k centres are the state.  Runs at once.
     """
-    from patternloom.operators.cluster import assign
-
     if k < 2:
         raise ValueError("k must be at least 2")
     spark, order = df.sparkSession, [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()]
@@ -71,13 +98,13 @@ def monitor(df: DataFrame, k: int, drift_column: int = 0, x: str = "x", batch: s
     weights, seen, rows = [0.0] * k, 0, []
     for b in order:
         now = df.where(F.col(batch) == b)
-        near = assign(now, centres, id_col, x).join(now.select(F.col(id_col).alias("id"), F.col(x).alias("x")), "id")
+        near = cluster.assign(now, centres, id_col, x).join(now.select(F.col(id_col).alias("id"), F.col(x).alias("x")), "id")
         sums = {r["label"]: (r["n"], list(r[2:])) for r in near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("x")[d]) for d in range(len(centres[0])))).collect()}
         new, weights = step_centres(centres, weights, sums)
         shift = sum(sum((p - q) ** 2 for p, q in zip(a, c, strict=True)) ** 0.5 for a, c in zip(new, centres, strict=True)) / k
         seen += sum(n for n, _ in sums.values())
         centres = new
-        rows.append((b, seen, None if b == order[0] else shift, assign(now, centres, id_col, x).agg(F.sum("d2")).first()[0]))
+        rows.append((b, seen, None if b == order[0] else shift, cluster.assign(now, centres, id_col, x).agg(F.sum("d2")).first()[0]))
     table = spark.createDataFrame(rows, f"{batch} int, n_seen long, centroid_shift double, inertia double")
     first = df.where(F.col(batch) == order[0]).withColumn("_v", F.col(x)[drift_column])
     psi = population_stability(first, df.where(F.col(batch) != order[0]).withColumn("_v", F.col(x)[drift_column]), "_v", batch)

@@ -19,12 +19,20 @@ def profile(df: DataFrame, columns: Sequence[str], label: str = "label") -> Data
     return df.groupBy(F.col(label).alias("cluster")).agg(*(F.avg(c).alias(c) for c in columns), F.count(F.lit(1)).alias("cluster_size"))
 
 
+def _clusters(df: DataFrame, label: str) -> DataFrame:
+    """`df` without noise; ValueError unless two clusters are left."""
+    kept = df.where(F.col(label) != NOISE) if dict(df.dtypes)[label] != "string" else df
+    if kept.select(label).where(F.col(label).isNotNull()).distinct().limit(2).count() < 2:
+        raise ValueError("at least two clusters are needed")
+    return kept
+
+
 def distinctive_features(df: DataFrame, columns: Sequence[str], label: str = "label", n_features: int = 3) -> DataFrame:
     """The features whose cluster mean lies furthest from the overall mean, in population deviations of the feature."""
     numeric(df, columns)
     if n_features < 1:
         raise ValueError("n_features must be positive")
-    kept = df.where(F.col(label) != NOISE) if dict(df.dtypes)[label] != "string" else df
+    kept = _clusters(df, label)
     facts = kept.agg(*(f for c in columns for f in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))))
     means = kept.groupBy(F.col(label).alias("cluster")).agg(*(F.avg(c).alias(c) for c in columns)).crossJoin(F.broadcast(facts))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("cluster_mean"), F.col(f"{c}__m").alias("overall_mean"), F.col(f"{c}__s").alias("sd")) for c in columns)))
@@ -43,7 +51,7 @@ def name_clusters(df: DataFrame, columns: Sequence[str], label: str = "label", n
 
 
 def _with_centres(df: DataFrame, columns: Sequence[str], label: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    kept = df.where(F.col(label) != NOISE) if dict(df.dtypes)[label] != "string" else df
+    kept = _clusters(df, label)
     scaled = scale(kept, columns).select(F.col(id_col).alias("id"), F.col(label).alias("cluster"), F.array(*columns).alias("x"))
     means = scale(kept, columns).groupBy(F.col(label).alias("c")).agg(F.array(*(F.avg(c) for c in columns)).alias("centre"))
     return scaled, means

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -86,3 +88,14 @@ def dirichlet_process(df: DataFrame, max_components: int = 10, rounds: int = 40,
     weight = np.array(p.agg(*(F.avg(F.col("p")[c]) for c in range(k))).first(), dtype=float)
     table = df.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(weight)], "component int, weight double")
     return p.select("id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), "p"), table
+
+
+def prior_sensitivity(df: DataFrame, priors: Sequence[float], max_components: int = 10, threshold: float = 0.01, **settings) -> DataFrame:
+    """One row: under the name of each of `priors` how many components a mixture with that prior puts to use."""
+    if not priors:
+        raise ValueError("no priors")
+    each = []
+    for p in priors:
+        weights = dirichlet_process(df, max_components, prior=p, **settings)[1]
+        each.append(effective_components(weights, threshold).select(F.lit(str(p)).alias("prior"), "effective"))
+    return reduce(DataFrame.unionByName, each).groupBy().pivot("prior", [str(p) for p in priors]).agg(F.first("effective"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from patternloom.functions import vectors as V
+from patternloom.operators.cluster import kmeans
+from patternloom.operators.iterate import settle
 
 
 def cells(df: DataFrame, user: str = "user_id", item: str = "item_id", value: str = "interaction_strength") -> DataFrame:
@@ -27,14 +33,63 @@ def similar_items(factors: DataFrame, item: int, k: int = 5, id_col: str = "id",
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("similarity", 9)), "id")))
 
 
-def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 5, block: int = 50_000) -> DataFrame:
-    """(user_id, item_id, score, rank): for each user of (user_id, u) the k unseen items of (item_id, v) with greatest dot product."""
-    scored = users.join(F.broadcast(items) if items.limit(block + 1).count() <= block else items).select("user_id", "item_id", V.dot(F.col("u"), F.col("v")).alias("score"))
-    fresh = scored.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+    """(user_id, item_id, score, rank): for each user of (user_id, u) the k unseen items of (item_id, v) with greatest dot product.
+
+    Users and items meet in pairs of blocks, one task each, along with what the
+    block of users has seen of the block of items; a task keeps k rows a user.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    n_u, n_i = (max(1, -(-side.count() // block)) for side in (users, items))
+    deal = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = seen.select("user_id", "item_id").distinct().groupBy(deal("user_id", n_u).alias("p"), deal("item_id", n_i).alias("q"), F.col("user_id").alias("id")).agg(F.collect_list("item_id").alias("seen"))
+    left = users.select(deal("user_id", n_u).alias("p"), every(n_i).alias("q"), F.col("user_id").cast("long").alias("id"), F.col("u").alias("x")).join(known, ["p", "q", "id"], "left")
+    right = items.select(every(n_u).alias("p"), deal("item_id", n_i).alias("q"), F.col("item_id").cast("long").alias("id"), F.col("v").alias("x"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
+        b = b.sort_values("id")
+        names, side, out = b["id"].to_numpy(), np.stack(b["x"]).astype(float), []
+        for user, x, gone in zip(a["id"], a["x"], a["seen"], strict=True):
+            score = side @ np.asarray(x, dtype=float)
+            if gone is not None and not isinstance(gone, float):
+                score[np.isin(names, gone)] = -np.inf
+            # all that tie with the k-th once rounded stay for the last ranking
+            rounded = np.round(score, 9)
+            best = np.flatnonzero((rounded >= np.partition(rounded, -min(k, len(rounded)))[-min(k, len(rounded))]) & np.isfinite(score))
+            best = best[np.argsort(-rounded[best], kind="stable")][:k]
+            out.append(pd.DataFrame({"user_id": user, "item_id": names[best], "score": score[best]}))
+        return pd.concat(out)
+
+    fresh = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "user_id long, item_id long, score double")
     rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "item_id"))
     return fresh.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def item_groups(factors: DataFrame, k: int, fit: Callable[[DataFrame, int], DataFrame] | None = None, id_col: str = "id", x: str = "x") -> DataFrame:
+    """(id, label): items in `k` groups by the direction of their factors, whatever their length."""
+    n = factors.count()
+    if not 2 <= k <= n:
+        raise ValueError("k must lie between 2 and the number of items")
+    return (fit or kmeans)(factors.select(F.col(id_col).alias("id"), V.unit(F.col(x)).alias("x")), k)
+
+
+def explained_variance(users: DataFrame, cells: DataFrame) -> list[float]:
+    """The share of the variance of all cells (user_id, item_id, value) that each direction of user factors (id, x) has.
+
+    Users are those with a cell; what they have no cell for counts as zero.
+    """
+    k = len(users.select("x").first()[0])
+    own = users.agg(*(F.var_pop(F.col("x")[i]) for i in range(k))).first()
+    n = F.lit(users.count())
+    per = cells.groupBy("item_id").agg((F.sum(F.col("value") * F.col("value")) / n - F.pow(F.sum("value") / n, 2)).alias("v"))
+    whole = per.agg(F.sum("v")).first()[0]
+    return [v / whole for v in own]
+
+
 def svd_factors(cells: DataFrame, k: int, rounds: int = 8, random_state: int = 0) -> tuple[DataFrame, DataFrame, list[float]]:
     """Truncated SVD of (user_id, item_id, value) by subspace iteration: user factors U S, item factors V, singular values.
 
@@ -42,10 +97,6 @@ def svd_factors(cells: DataFrame, k: int, rounds: int = 8, random_state: int = 0
     Gram matrices reach the driver.  Signs: the entry of greatest magnitude of
     an item direction is positive.  Runs at once.
     """
-    import numpy as np
-
-    from patternloom.operators.iterate import settle
-
     cells = settle(cells)
     items = settle(cells.select(F.col("item_id").alias("id")).distinct().select("id", F.array(*(V.uniform(random_state + i, F.col("id")) - 0.5 for i in range(k))).alias("x")))
 

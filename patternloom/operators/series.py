@@ -14,6 +14,10 @@ from patternloom.functions import vectors as V
 from patternloom.operators.iterate import settle
 
 
+#: Bytes of series up to which they are broadcast.
+MOST_BYTES = 64 << 20
+
+
 def gather(df: DataFrame, series: str = "series_id", pos: str = "pos", v: str = "v") -> DataFrame:
     """(series_id, values): each series as one array in order of position."""
     return df.groupBy(F.col(series).alias("series_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(v).cast("double").alias("v")))), lambda s: s["v"]).alias("values"))
@@ -39,18 +43,51 @@ def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float:
     return float(np.sqrt(row[-1]))
 
 
+def dtw_many(xs: list[np.ndarray], ys: list[np.ndarray], band: int | None = None) -> np.ndarray:
+    """`dtw` of many pairs at once: pairs of equal lengths share the table's rows and columns, one cell of all of them at a time."""
+    out, shapes = np.zeros(len(xs)), np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]).reshape(-1, 2)
+    for n, m in np.unique(shapes, axis=0):
+        own = np.flatnonzero((shapes == (n, m)).all(axis=1))
+        if not n or not m:
+            raise ValueError("a series is empty")
+        a, b = np.stack([np.asarray(xs[i], dtype=float) for i in own], axis=1), np.stack([np.asarray(ys[i], dtype=float) for i in own], axis=1)
+        row = np.full((m + 1, len(own)), np.inf)
+        row[0] = 0.0
+        for i in range(1, n + 1):
+            new = np.full_like(row, np.inf)
+            middle = round((i - 1) * m / n) + 1
+            low, high = (1, m) if band is None else (max(1, middle - band), min(m, middle + band))
+            gap, above = (a[i - 1] - b[low - 1 : high]) ** 2, np.minimum(row[low : high + 1], row[low - 1 : high])
+            for j in range(low, high + 1):
+                new[j] = gap[j - low] + np.minimum(above[j - low], new[j - 1])
+            row = new
+        if not np.isfinite(row[-1]).all():
+            raise ValueError("the band is too narrow to reach the end")
+        out[own] = np.sqrt(row[-1])
+    return out
+
+
 def dtw_pairs(series: DataFrame, band: int | None = None) -> DataFrame:
-    """(a, b, d) for every pair of series a < b, both of (series_id, values)."""
+    """(a, b, d) for every pair of series a < b, both of (series_id, values): quadratic in the number of series, by definition."""
+    if band is not None and band < 0:
+        raise ValueError("band must not be negative")
     left, right = series.toDF("a", "va"), series.toDF("b", "vb")
     kind = dict(series.dtypes)["series_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield pd.DataFrame({"a": p["a"], "b": p["b"], "d": [dtw(np.asarray(x), np.asarray(y), band) for x, y in zip(p["va"], p["vb"], strict=True)]})
+            yield pd.DataFrame({"a": p["a"], "b": p["b"], "d": dtw_many(list(p["va"]), list(p["vb"]), band)})
 
     return left.join(right, F.col("a") < F.col("b")).mapInPandas(run, f"a {kind}, b {kind}, d double")
 
 
+def cluster_series(series: DataFrame, k: int, band: int | None = None, linkage: str = "average") -> DataFrame:
+    """(id, label): series merged down to `k` clusters by warping distance; `cluster.merge_tree` says how many it takes."""
+    from patternloom.operators.cluster import merge_tree
+
+    return merge_tree(dtw_pairs(series, band), series.select(F.col("series_id").alias("id")), k, linkage)
+
+
 def dtw_expression(a: Column, b: Column) -> Column:
     """The unbanded warping distance of two short arrays inside the JVM, row by row of the table."""
     first = F.transform(b, lambda _: F.lit(float("inf")))
@@ -98,6 +135,8 @@ def matrix_profile(series: DataFrame, window: int, exclusion: float = 0.5, pos:
     """
     if window < 2 or not 0 <= exclusion < 1:
         raise ValueError("window must be at least 2, exclusion in [0, 1)")
+    if series.select(F.lit(1)).limit(2 * window).count() < 2 * window:
+        raise ValueError("the series is too short for two windows")
     gap = round(exclusion * window)
     z = windows(series, window, pos, v).withColumn("b", F.floor(F.col("pos") / block).cast("int"))
     blocks = z.select("b").distinct()
@@ -110,12 +149,14 @@ def matrix_profile(series: DataFrame, window: int, exclusion: float = 0.5, pos:
         b = b.sort_values("at")
         za, zb, pa, pb = np.stack(a["z"]), np.stack(b["y"]), a["pos"].to_numpy(), b["at"].to_numpy()
         d, near = np.full(len(a), np.nan), np.full(len(a), -1)
-        for i in range(len(a)):
-            x = np.round(np.sqrt(((zb - za[i]) ** 2).sum(axis=1)), 9)
-            x[np.abs(pb - pa[i]) <= gap] = np.inf
-            k = int(x.argmin())
-            if np.isfinite(x[k]):
-                d[i], near[i] = x[k], pb[k]
+        for first in range(0, len(a), 64):
+            part = slice(first, first + 64)
+            x = np.round(np.sqrt(((zb[None, :, :] - za[part, None, :]) ** 2).sum(axis=2)), 9)
+            x[np.abs(pb[None, :] - pa[part, None]) <= gap] = np.inf
+            k = x.argmin(axis=1)
+            least = x[np.arange(len(k)), k]
+            ok = np.isfinite(least)
+            d[part], near[part] = np.where(ok, least, np.nan), np.where(ok, pb[k], -1)
         out = pd.DataFrame({"pos": pa, "d": d, "nearest": near})
         return out[out["nearest"] >= 0]
 
@@ -175,9 +216,14 @@ def shapelet_candidates(series: DataFrame, window: int, stride: int = 1) -> Data
 
 
 def discover_shapelets(series: DataFrame, window: int, stride: int = 1, min_fraction: float = 0.2) -> DataFrame:
-    """(cand_series, start, gap, threshold) of every candidate against all series."""
+    """(cand_series, start, gap, threshold) of every candidate against all series.
+
+    Series are broadcast while their counted values stay under `MOST_BYTES`;
+    beyond, candidates and series meet in a shuffled nested join.
+    """
     cand = shapelet_candidates(series, window, stride)
-    met = cand.crossJoin(F.broadcast(series)).select("cand_series", "start", F.col("series_id").alias("id"), F.round(subsequence_distance(F.col("shapelet"), F.col("values"), window), 9).alias("d"))
+    size = series.agg(F.sum(F.size("values") * 8 + 64)).first()[0] or 0
+    met = cand.crossJoin(F.broadcast(series) if size <= MOST_BYTES else series).select("cand_series", "start", F.col("series_id").alias("id"), F.round(subsequence_distance(F.col("shapelet"), F.col("values"), window), 9).alias("d"))
     return shapelet_gap(met, min_fraction, ("cand_series", "start"))
 
 

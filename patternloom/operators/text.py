@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +11,15 @@ from patternloom.functions import vectors as V
 from patternloom.operators.iterate import settle
 
 
+#: Words that tell nothing about a topic.
+STOP_WORDS = tuple(
+    "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down "
+    "during each few for from further had has have having he her here hers him his how if in into is it its itself just me more most my no nor not now of "
+    "off on once only or other our ours out over own same she should so some such than that the their theirs them then there these they this those through "
+    "to too under until up very was we were what when where which while who whom why will with would you your yours".split()
+)
+
+
 def clean(text: Column) -> Column:
     """Lower case, everything but a-z and white space to a space, white space collapsed; null counts as empty."""
     spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s]+", " ")
@@ -20,9 +30,27 @@ def tokens(text: Column, least: int = 2) -> Column:
     return F.filter(F.split(clean(text), " "), lambda w: F.length(w) >= least)
 
 
-def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    """(doc, term, n) cells; with `vocabulary` (term), of its terms only."""
-    cells = docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
+def terms(text: Column, ngrams: int = 1, stop: tuple[str, ...] = ()) -> Column:
+    """The tokens of a text without those in `stop`, and runs of up to `ngrams` of what is left, joined by spaces."""
+    if ngrams < 1:
+        raise ValueError("ngrams must be positive")
+    kept = F.filter(tokens(text), lambda w: ~w.isin(*stop)) if stop else tokens(text)
+    if ngrams == 1:
+        return kept
+
+    def runs(t: Column) -> Column:
+        of = lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.concat(t, *(of(n) for n in range(2, ngrams + 1)))
+
+    # bound once, so that the text is not cut for every run
+    return F.element_at(F.transform(F.array(kept), runs), 1)
+
+
+def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None, ngrams: int = 1, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, term, n) cells; with `vocabulary` (term), of its terms only; terms as in `terms`."""
+    # an outer explode adds no filter that would cut the text a second time
+    each = docs.select(F.col(id_col).alias("doc"), F.explode_outer(terms(F.col(text_col), ngrams, stop)).alias("term")).where("term is not null")
+    cells = each.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
     return cells if vocabulary is None else cells.join(vocabulary.select("term").distinct(), "term", "left_semi").select("doc", "term", "n")
 
 
@@ -35,10 +63,11 @@ def vocabulary(cells: DataFrame, min_df: int = 2, max_df: float = 1.0, n_docs: i
 
 def tfidf(cells: DataFrame, min_df: int = 2, max_df: float = 1.0) -> DataFrame:
     """(doc, term, weight): n * (ln((1 + N) / (1 + df)) + 1), rows scaled to length one."""
+    cells = settle(cells)  # read by the total, the vocabulary and the weights
     total = cells.agg(F.countDistinct("doc").alias("n_docs"))
     weighed = cells.join(vocabulary(cells, min_df, max_df), "term").crossJoin(F.broadcast(total)).select("doc", "term", (F.col("n") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = weighed.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return weighed.join(length, "doc").select("doc", "term", (F.col("w") / F.col("l")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc")))
+    return weighed.select("doc", "term", (F.col("w") / length).alias("weight"))
 
 
 def topic_terms(components: DataFrame, n_terms: int = 10) -> DataFrame:
@@ -90,26 +119,68 @@ def truncated(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc"), F.array_join(F.slice(F.split(clean(F.col(text_col)), " "), 1, n), " ").alias("text"))
 
 
-def nmf(cells: DataFrame, k: int, rounds: int = 20, row: str = "doc", column: str = "term", value: str = "weight", random_state: int = 0) -> tuple[DataFrame, DataFrame]:
+def _factor_step(cells: DataFrame, k: int, mine: DataFrame, key: str, theirs: DataFrame, other: str) -> DataFrame:
+    """One multiplicative update of the vectors `mine` (key, x) given those of the other side; what meets no cell goes."""
+    gram = theirs.agg(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(k) for j in range(k))).first()
+    pull = cells.join(theirs.withColumnRenamed("x", "y"), other).groupBy(key).agg(F.array(*(F.sum(F.col("v") * F.col("y")[i]) for i in range(k))).alias("up"))
+    down = [sum((F.col("x")[j] * float(gram[j * k + i] or 0.0) for j in range(k)), F.lit(0.0)) for i in range(k)]
+    return mine.join(pull, key).select(key, F.array(*(F.col("x")[i] * F.col("up")[i] / (down[i] + 1e-12) for i in range(k))).alias("x"))
+
+
+def _draw(key: str, k: int, seed: int) -> Column:
+    return F.array(*(0.1 + V.uniform(seed + i, F.col(key)) for i in range(k)))
+
+
+def _squared_error(cells: DataFrame, w: DataFrame, h: DataFrame, k: int) -> float:
+    """||V - W H||^2 = ||V||^2 - 2 sum of v (w . h) + trace of both Gram matrices, so zeros of V are never stored."""
+    whole = cells.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
+    met = cells.join(w.withColumnRenamed("x", "y"), "r").join(h, "c")
+    cross = met.agg(F.sum(F.col("v") * V.dot(F.col("x"), F.col("y")))).first()[0]
+    gram = lambda side: np.array(side.agg(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(k) for j in range(k))).first(), dtype=float)
+    return float((whole or 0.0) - 2 * (cross or 0.0) + gram(w) @ gram(h))
+
+
+def nmf(
+    cells: DataFrame, k: int, rounds: int = 60, row: str = "doc", column: str = "term", value: str = "weight", random_state: int = 0, tolerance: float = 1e-3
+) -> tuple[DataFrame, DataFrame]:
     """Non-negative factors W (row, w array) and H (column, h array) by multiplicative updates on the stored cells.
 
     A round is two joins of cells with one side's vectors; k x k Gram matrices
-    reach the driver.  Runs at once.
+    reach the driver.  Ends after `rounds`, or when five rounds lower the error
+    by less than `tolerance` of it.  Negative values raise.  Runs at once.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    cells = settle(cells.select(F.col(row).alias("r"), F.col(column).alias("c"), F.col(value).alias("v")))
-    draw = lambda key, salt: F.array(*(0.1 + V.uniform(random_state + salt + i, F.col(key)) for i in range(k)))
-    w = settle(cells.select("r").distinct().select("r", draw("r", 0).alias("x")))
-    h = settle(cells.select("c").distinct().select("c", draw("c", 1000).alias("x")))
+    cells = settle(cells.select(F.col(row).alias("r"), F.col(column).alias("c"), F.col(value).cast("double").alias("v")))
+    if (cells.agg(F.min("v")).first()[0] or 0.0) < 0:
+        raise ValueError("values must not be negative")
+    w = settle(cells.select("r").distinct().select("r", _draw("r", k, random_state).alias("x")))
+    h = settle(cells.select("c").distinct().select("c", _draw("c", k, random_state + 1000).alias("x")))
+    error = None
+    for n in range(1, rounds + 1):
+        h = settle(_factor_step(cells, k, h, "c", w, "r"))
+        w = settle(_factor_step(cells, k, w, "r", h, "c"))
+        if n % 5 == 0:
+            now = _squared_error(cells, w, h, k)
+            if error is not None and error - now <= tolerance * error:
+                break
+            error = now
+    return w.select(F.col("r").alias(row), F.col("x").alias("w")), h.select(F.col("c").alias(column), F.col("x").alias("h"))
 
-    def update(mine: DataFrame, key: str, theirs: DataFrame, other: str) -> DataFrame:
-        gram = theirs.agg(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(k) for j in range(k))).first()
-        pull = cells.join(theirs.withColumnRenamed("x", "y"), other).groupBy(key).agg(F.array(*(F.sum(F.col("v") * F.col("y")[i]) for i in range(k))).alias("up"))
-        down = [sum((F.col("x")[j] * float(gram[j * k + i]) for j in range(k)), F.lit(0.0)) for i in range(k)]
-        return mine.join(pull, key).select(key, F.array(*(F.col("x")[i] * F.col("up")[i] / (down[i] + 1e-12) for i in range(k))).alias("x"))
 
+def nmf_transform(cells: DataFrame, h: DataFrame, rounds: int = 30, row: str = "doc", column: str = "term", value: str = "weight", random_state: int = 0) -> DataFrame:
+    """(row, w array): the weights of new rows over fixed factors (column, h array); columns that H does not know are left out."""
+    k = len(h.select("h").first()[0])
+    theirs = settle(h.select(F.col(column).alias("c"), F.col("h").alias("x")))
+    cells = settle(cells.select(F.col(row).alias("r"), F.col(column).alias("c"), F.col(value).cast("double").alias("v")).join(theirs.select("c"), "c", "left_semi"))
+    w = cells.select("r").distinct().select("r", _draw("r", k, random_state).alias("x"))
     for _ in range(rounds):
-        h = settle(update(h, "c", w, "r"))
-        w = settle(update(w, "r", h, "c"))
-    return w.select(F.col("r").alias(row), F.col("x").alias("w")), h.select(F.col("c").alias(column), F.col("x").alias("h"))
+        w = settle(_factor_step(cells, k, w, "r", theirs, "c"))
+    return w.select(F.col("r").alias(row), F.col("x").alias("w"))
+
+
+def reconstruction_error(cells: DataFrame, w: DataFrame, h: DataFrame, row: str = "doc", column: str = "term", value: str = "weight") -> float:
+    """The Frobenius norm of V - W H over all rows and columns, stored or not."""
+    k = len(h.select("h").first()[0])
+    named = cells.select(F.col(row).alias("r"), F.col(column).alias("c"), F.col(value).cast("double").alias("v"))
+    return max(0.0, _squared_error(named, w.select(F.col(row).alias("r"), F.col("w").alias("x")), h.select(F.col(column).alias("c"), F.col("h").alias("x")), k)) ** 0.5

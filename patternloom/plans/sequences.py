@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.functions import vectors as V
-from patternloom.operators import cluster, drift, graph, mixture, recsys, series, stability, text
+from patternloom.operators import cluster, drift, explain, graph, mixture, recsys, series, stability, text
+from patternloom.operators.iterate import scratch, settle
 from patternloom.plans.registry import DAILY, HOURLY, MATRIX, SCORES, query, rounded, rounded_sql
-from patternloom.plans.tables import EIGHT, NEAR, eight, flat
+from patternloom.plans.tables import COLS, NEAR, flat, lloyd_sql
 from patternloom.sources import features as S
+from patternloom.sources import generators
 from patternloom.streaming import live
 
 
@@ -31,11 +33,20 @@ TFIDF = f"""WITH c AS ({CELLS}), v AS ({VOCAB.format(2)}), t AS (SELECT count(DI
 w AS (SELECT doc, term, n * (ln((1e0 + t.total) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), t)
 SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM w"""
 query("N2_tfidf", lambda s, d: rounded(text.tfidf(text.counts(docs(s, d)))), rounded_sql(TFIDF, ["weight"]))
+STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+PAIRED = f"""SELECT doc, term, count(*) AS n FROM (
+  SELECT doc, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term
+  FROM (SELECT doc_id AS doc, list_filter(string_split({words()}, ' '), lambda w: length(w) >= 2 AND w NOT IN ({STOP})) AS t FROM documents)) GROUP BY 1, 2"""
+query(
+    "N2_tfidf_of_word_pairs",
+    lambda s, d: rounded(text.tfidf(text.counts(docs(s, d), ngrams=2, stop=text.STOP_WORDS), 2, 0.9)),
+    rounded_sql(TFIDF.replace(CELLS, PAIRED).replace(f"({VOCAB.format(2).replace(CELLS, PAIRED)})", f"({VOCAB.format(2).replace(CELLS, PAIRED)} AND count(*) <= 0.9e0 * (SELECT count(DISTINCT doc) FROM ({PAIRED})))"), ["weight"]),
+)
 
 
-def components(s, d) -> DataFrame:
+def components(s, d, cells: DataFrame | None = None) -> DataFrame:
     """Languages as topics: how often each has each term."""
-    c = text.counts(docs(s, d)).join(docs(s, d).select(F.col("doc_id").alias("doc"), F.col("lang").alias("topic")), "doc")
+    c = (cells or text.counts(docs(s, d))).join(docs(s, d).select(F.col("doc_id").alias("doc"), F.col("lang").alias("topic")), "doc")
     return c.groupBy("topic", "term").agg(F.sum("n").cast("double").alias("weight"))
 
 
@@ -59,7 +70,7 @@ SELECT doc, CAST(list_position(w, list_max(w)) - 1 AS INTEGER) AS topic, round(C
 )
 query(
     "N10_umass_coherence",
-    lambda s, d: rounded(text.umass_coherence(text.topic_terms(components(s, d), 8), text.counts(docs(s, d)))),
+    lambda s, d: (lambda c: rounded(text.umass_coherence(text.topic_terms(components(s, d, c), 8), c)))(settle(text.counts(docs(s, d)))),
     f"""WITH c AS ({CELLS}), t AS ({TOP.format(8)}), k AS (SELECT topic, rank, term, (SELECT count(*) FROM c WHERE c.term = t.term) AS d FROM t),
 p AS (SELECT a.topic, a.term AS ti, b.term AS tj, a.d FROM k a JOIN k b ON a.topic = b.topic AND a.rank < b.rank),
 x AS (SELECT a.term AS ti, b.term AS tj, count(*) AS dij FROM c a JOIN c b ON a.doc = b.doc AND a.term <> b.term WHERE a.term IN (SELECT term FROM t) AND b.term IN (SELECT term FROM t) GROUP BY 1, 2)
@@ -80,7 +91,22 @@ query(
     lambda s, d: (lambda c: text.vocabulary(c, 2).select("term").exceptAll(text.vocabulary(c, 10).select("term")))(text.counts(docs(s, d))),
     f"SELECT term FROM ({VOCAB.format(2)}) WHERE df < 10",
 )
-query("N4_nmf_topics", lambda s, d: text.topic_terms(text.nmf(text.tfidf(text.counts(docs(s, d)), 10), 3, 4)[1].select("term", F.posexplode("h").alias("topic", "weight")), 10), None)
+
+
+def topics(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The weighed corpus without stop words, and three topics: rows' and terms' factors."""
+    cells = settle(text.tfidf(text.counts(docs(s, d), stop=text.STOP_WORDS)))
+    return (cells, *text.nmf(cells, 3))
+
+
+def talk_topics(s, d) -> DataFrame:
+    """The topics of the corpus in the turns of conversations."""
+    turns = S.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return text.nmf_transform(text.counts(turns).withColumnRenamed("n", "weight"), topics(s, d)[2])
+
+
+query("N4_nmf_topics", lambda s, d: text.topic_terms(topics(s, d)[2].select("term", F.posexplode("h").alias("topic", "weight")), 10), None)
+query("N5_nmf_transform", talk_topics, None)
 
 BATCHES = f"SELECT *, CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) / 1000) AS INTEGER) AS batch FROM events"
 
@@ -104,6 +130,35 @@ def psi(s, d) -> DataFrame:
 
 query("S2_psi_by_batch", lambda s, d: rounded(psi(s, d)), rounded_sql(PSI, ["psi"]))
 query("S4_drift_points", lambda s, d: drift.drift_points(psi(s, d), 0.01), f"SELECT batch FROM ({PSI}) WHERE psi > 0.01")
+def flat_batches(s, d) -> DataFrame:
+    """Events as points in batches of 5000: (id, batch, x)."""
+    return drift.batches(S.table(s, d, "events"), 5000, "ts", "event_id").select(F.col("event_id").alias("id"), "batch", F.array(F.col("value"), F.lit(1.0)).alias("x"))
+
+
+query("C8_mini_batch_kmeans", lambda s, d: drift.mini_batch_kmeans(settle(flat_batches(s, d)), 3)[1], None)
+query("S5_streaming_agreement", lambda s, d: drift.streaming_agreement(settle(flat_batches(s, d)), 3), None)
+query(
+    "S6_distinct_events",
+    lambda s, d: live.distinct_events(S.table(s, d, "events"), ["user_id", "event_type"]),
+    "SELECT DISTINCT user_id, event_type FROM events",
+)
+
+
+def stream_scores(s, d) -> DataFrame:
+    """The events read as a stream, each put to the nearest of three given levels, and what the stream has written."""
+    out, schema = scratch(s, "stream"), S.table(s, d, "events").schema
+    stream = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    score = lambda e: cluster.assign(e.select(F.col("event_id").alias("id"), F.array("value").alias("x")), [[10.0], [200.0], [600.0]])
+    live.score_stream(stream, score, f"{out}/rows", f"{out}/state").awaitTermination()
+    return s.read.parquet(f"{out}/rows")
+
+
+LEVELS = ", ".join(f"round((value - {v}) ** 2, 9)" for v in ("10e0", "200e0", "600e0"))
+query(
+    "S7_stream_scores",
+    lambda s, d: rounded(stream_scores(s, d), 4),
+    f"SELECT event_id AS id, CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS label, round(list_min(ds), 4) AS d2 FROM (SELECT event_id, [{LEVELS}] AS ds FROM events)",
+)
 query("S3_monitor", lambda s, d: rounded(drift.monitor(drift.batches(S.table(s, d, "events"), 5000, "ts", "event_id").select(F.col("event_id").alias("id"), "batch", F.array(F.col("value"), F.lit(1.0)).alias("x")), 3), 4), None)
 WINDOWED = "SELECT {0} AS start, event_type, count(*) AS n, round(sum(CAST(round(value * 100) AS BIGINT)) / 100e0, 6) AS total FROM events{1} GROUP BY 1, 2"
 query("S6_tumbling_windows", lambda s, d: rounded(live.tumbling(S.table(s, d, "events"), "1 day")), WINDOWED.format("date_trunc('day', ts)", ""))
@@ -149,7 +204,23 @@ query(
     lambda s, d: rounded(stability.intra_cluster_stability(stability.coassociation(runs(s, d)), runs(s, d).where("run = 0").select("id", "label"))),
     f"SELECT round(avg(share), 6) AS stability FROM ({SHARES}) JOIN ({MATRIX}) a ON a.id = i JOIN ({MATRIX}) b ON b.id = j WHERE a.label = b.label",
 )
-query("B3_subsample_stability", lambda s, d: stability.subsample_stability(flat(s, d), lambda x, seed: cluster.lloyd(x, 3, 2), 3), None)
+query("B3_subsample_stability", lambda s, d: stability.subsample_stability(flat(s, d), lambda x, seed: cluster.lloyd(x, 3)), None)
+query(
+    "B1_repeated_runs",
+    lambda s, d: stability.repeated_runs(flat(s, d), lambda x, seed: cluster.lloyd(x, 2 + seed, 2), 3),
+    " UNION ALL ".join(f"SELECT {r} AS run, id, label FROM ({lloyd_sql(2 + r, 2)})" for r in range(3)),
+)
+query("B4_scaling_sensitivity", lambda s, d: stability.scaling_sensitivity(S.customer_features(s, d), COLS, lambda x: cluster.lloyd(x, 4)), None)
+query("B5_outlier_sensitivity", lambda s, d: stability.outlier_sensitivity(flat(s, d), lambda x: cluster.lloyd(x, 4)), None)
+
+
+def nation_runs(s, d) -> DataFrame:
+    """Labellings of the nations, one for each market segment: how many customers it has there, by thirds."""
+    n = S.table(s, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.col("c_mktsegment").alias("run"), F.col("c_nationkey").cast("long").alias("id"), (F.col("n") % 3).cast("int").alias("label"))
+
+
+query("B8_consensus", lambda s, d: stability.consensus(nation_runs(s, d), 3), None)
 
 SHARE = "SELECT c_nationkey AS component, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS weight FROM customer GROUP BY 1"
 
@@ -169,22 +240,27 @@ query(
     f"""WITH p AS (SELECT user_id AS id, [{PARTS}] AS p FROM events GROUP BY 1)
 SELECT id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS dominant_component, round(list_max(p), 6) AS max_responsibility, round(-list_sum(list_transform(p, lambda v: v * ln(greatest(least(v, 1e0), 1e-12)))), 6) AS entropy FROM p""",
 )
-query("M1_dirichlet_process", lambda s, d: mixture.dirichlet_process(flat(s, d), 6, 6)[1], None)
+query("M1_dirichlet_process", lambda s, d: mixture.dirichlet_process(settle(flat(s, d)))[1], None)
+query("M5_dirichlet_labels", lambda s, d: mixture.dirichlet_process(settle(flat(s, d)))[0].select("id", "label"), None)
+query("M6_prior_sensitivity", lambda s, d: mixture.prior_sensitivity(settle(flat(s, d)), [0.01, 1.0]), None)
 
-GRAPH = f"WITH m AS ({EIGHT}), {NEAR.format(k=8)}, g AS (SELECT id AS src, j AS dst FROM near UNION SELECT j, id FROM near)"
-query("R1_knn_graph", lambda s, d: graph.knn_graph(eight(s, d), 8), GRAPH + " SELECT src, dst, 1e0 AS w FROM g")
+GRAPH = f"WITH m AS ({MATRIX}), {NEAR.format(k=8)}, g AS (SELECT id AS src, j AS dst FROM near UNION SELECT j, id FROM near)"
+query("R1_knn_graph", lambda s, d: graph.knn_graph(S.matrix(s, d), 8), GRAPH + " SELECT src, dst, 1e0 AS w FROM g")
 query(
     "R2_modularity",
-    lambda s, d: rounded(graph.modularity(graph.knn_graph(eight(s, d), 8), eight(s, d).select("id", "label"))),
+    lambda s, d: rounded(graph.modularity(graph.knn_graph(S.matrix(s, d), 8), S.matrix(s, d).select("id", "label"))),
     GRAPH + ", p AS (SELECT a.label, count(*) AS deg, count(*) FILTER (a.label = b.label) AS i FROM g JOIN m a ON a.id = src JOIN m b ON b.id = dst GROUP BY 1) SELECT round(sum(i / CAST(t AS DOUBLE) - (deg / CAST(t AS DOUBLE)) ** 2), 6) AS modularity FROM p, (SELECT count(*) AS t FROM g)",
 )
 STRUCTURE = GRAPH + """, deg AS (SELECT src AS id, count(*) AS degree FROM g GROUP BY 1), tri AS (SELECT a.src AS id, count(*) AS tri FROM g a JOIN g b ON a.dst = b.src JOIN g c ON c.src = b.dst AND c.dst = a.src GROUP BY 1),
 near2 AS (SELECT src AS id, sum(degree) AS near FROM g JOIN deg ON deg.id = dst GROUP BY 1)
 SELECT m.id, CAST(coalesce(degree, 0) AS DOUBLE) AS degree, CASE WHEN degree * (degree - 1) > 0 THEN round(coalesce(tri, 0) / CAST(degree * (degree - 1) AS DOUBLE), 6) ELSE 0e0 END AS clustering_coefficient, CASE WHEN degree > 0 THEN round(near / CAST(degree AS DOUBLE), 6) ELSE 0e0 END AS avg_neighbor_degree
 FROM m LEFT JOIN deg USING (id) LEFT JOIN tri USING (id) LEFT JOIN near2 USING (id)"""
-query("R6_node_structural_features", lambda s, d: rounded(graph.structural_features(graph.knn_graph(eight(s, d), 8), eight(s, d))), STRUCTURE)
-query("R8_degree_ranking", lambda s, d: graph.structural_features(graph.knn_graph(eight(s, d), 8), eight(s, d)).orderBy(F.desc("degree"), "id").limit(20).select("id", "degree"), f"SELECT id, degree FROM ({STRUCTURE}) ORDER BY degree DESC, id LIMIT 20")
-query("R3_communities", lambda s, d: graph.detect_communities(graph.knn_graph(eight(s, d), 8), 3), None)
+query("R6_node_structural_features", lambda s, d: rounded(graph.structural_features(graph.knn_graph(S.matrix(s, d), 8), S.matrix(s, d))), STRUCTURE)
+query("R8_degree_ranking", lambda s, d: graph.structural_features(graph.knn_graph(S.matrix(s, d), 8), S.matrix(s, d)).orderBy(F.desc("degree"), "id").limit(20).select("id", "degree"), f"SELECT id, degree FROM ({STRUCTURE}) ORDER BY degree DESC, id LIMIT 20")
+query("R7_graph_anomaly_scores", lambda s, d: graph.graph_anomaly_scores(graph.knn_graph(S.matrix(s, d), 8), S.matrix(s, d)), None)
+query("D4_isomap", lambda s, d: graph.isomap(flat(s, d)), None)
+query("D7_laplacian_eigenmaps", lambda s, d: graph.spectral_embedding(graph.knn_graph(S.matrix(s, d), 8)), None)
+query("R3_communities", lambda s, d: graph.detect_communities(graph.knn_graph(S.matrix(s, d), 8), 3), None)
 
 DAYS = f"SELECT series_id, list(v ORDER BY pos) AS values FROM ({DAILY}) GROUP BY 1"
 
@@ -193,11 +269,13 @@ def days(s, d) -> DataFrame:
     return series.gather(S.daily_series(s, d))
 
 
-query("X2_dtw_matrix", lambda s, d: rounded(series.dtw_pairs(days(s, d), 8)), None)
 WARP = f"""WITH RECURSIVE s AS ({DAYS}), p AS (SELECT a.series_id AS a, b.series_id AS b, a.values AS x, b.values AS y FROM s a JOIN s b ON a.series_id < b.series_id),
 w(a, b, x, y, i, r) AS (SELECT a, b, x, y, 0, [0e0] || list_transform(y, lambda v: CAST('inf' AS DOUBLE)) FROM p UNION ALL
   SELECT a, b, x, y, i + 1, list_reduce(range(1, len(y) + 1), lambda acc, j: acc || [(x[i + 1] - y[j]) ** 2 + least(r[j + 1], acc[len(acc)], r[j])], [CAST('inf' AS DOUBLE)]) FROM w WHERE i < len(x))
 SELECT a, b, round(sqrt(r[len(r)]), 6) AS d FROM w WHERE i = len(x)"""
+BANDED = WARP.replace("(x[i + 1] - y[j]) ** 2", "CASE WHEN abs(j - 1 - round_even(i * len(y) / len(x), 0)) <= 8 THEN (x[i + 1] - y[j]) ** 2 ELSE CAST('inf' AS DOUBLE) END")
+query("X2_dtw_matrix", lambda s, d: rounded(series.dtw_pairs(days(s, d), 8)), BANDED)
+query("X3_series_clusters", lambda s, d: series.cluster_series(days(s, d), 2, 8), None)
 query(
     "X1_dtw_distance",
     lambda s, d: rounded((lambda t: t.toDF("a", "va").join(t.toDF("b", "vb"), F.col("a") < F.col("b")).select("a", "b", series.dtw_expression(F.col("va"), F.col("vb")).alias("d")))(days(s, d))),
@@ -220,8 +298,19 @@ st AS (SELECT pos, w[i] AS v, i FROM w, unnest(range(1, 9)) AS r(i)), z AS (SELE
 d AS (SELECT a.pos, b.pos AS j, round(list_distance(a.z, b.z), 9) AS d FROM z a JOIN z b ON abs(a.pos - b.pos) > 4)
 SELECT pos, min(d) AS d, arg_min(j, (d, j)) AS nearest FROM d GROUP BY 1"""
 query("X4_matrix_profile", lambda s, d: rounded(profile(s, d)), rounded_sql(PROFILE, ["d"]))
-query("X5_discords", lambda s, d: rounded(series.greedy(profile(s, d), 8, 3)), None)
-query("X5_motifs", lambda s, d: rounded(series.greedy(profile(s, d), 8, 3, largest=False)), None)
+
+
+def greedy_sql(largest: bool, k: int = 3, window: int = 8) -> str:
+    """The same picks one after another over the profile."""
+    order, out = "d DESC, pos" if largest else "d, pos", f"WITH prof AS ({PROFILE})"
+    for r in range(1, k + 1):
+        clear = " AND ".join([f"abs(pos - (SELECT pos FROM p{q})) >= {window}" for q in range(1, r)] or ["true"])
+        out += f", p{r} AS (SELECT {r} AS rank, pos, d FROM prof WHERE {clear} ORDER BY {order} LIMIT 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT rank, pos, round(d, 6) AS d FROM p{r}" for r in range(1, k + 1))
+
+
+query("X5_discords", lambda s, d: rounded(series.greedy(settle(profile(s, d)), 8, 3)), greedy_sql(True))
+query("X5_motifs", lambda s, d: rounded(series.greedy(settle(profile(s, d)), 8, 3, largest=False)), greedy_sql(False))
 
 
 def near_first(s, d) -> DataFrame:
@@ -255,7 +344,7 @@ query("I7_l2_normalise", lambda s, d: rounded(S.matrix(s, d).select("id", F.pose
 
 def factors(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every embedding as a user and as an item; what a customer of the same number bought is seen."""
-    m = eight(s, d)
+    m = S.matrix(s, d)
     users, items = m.select(F.col("id").alias("user_id"), F.col("x").alias("u")), m.select(F.col("id").alias("item_id"), F.col("x").alias("v"))
     return users, items, S.interactions(s, d)
 
@@ -263,12 +352,30 @@ def factors(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 query(
     "I6_recommend",
     lambda s, d: rounded(recsys.recommend(*factors(s, d), 5)),
-    f"""WITH m AS ({EIGHT}), c AS (SELECT a.id AS user_id, b.id AS item_id, list_dot_product(a.x, b.x) AS score FROM m a, m b WHERE NOT EXISTS (SELECT 1 FROM ({CELLS_I}) WHERE user_id = a.id AND item_id = b.id))
+    f"""WITH m AS ({MATRIX}), c AS (SELECT a.id AS user_id, b.id AS item_id, list_dot_product(a.x, b.x) AS score FROM m a, m b WHERE NOT EXISTS (SELECT 1 FROM ({CELLS_I}) WHERE user_id = a.id AND item_id = b.id))
 SELECT user_id, item_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 5""",
 )
-query("I2_svd", lambda s, d: recsys.svd_factors(recsys.cells(S.interactions(s, d)), 2, 3)[1], None)
+
+
+def explained(s, d) -> DataFrame:
+    """(direction, share): what each direction of the factors explains of the interactions."""
+    cells = settle(recsys.cells(S.interactions(s, d)))
+    shares = recsys.explained_variance(recsys.svd_factors(cells, 2)[0], cells)
+    return s.createDataFrame(list(enumerate(shares)), "direction int, share double")
+
+
+query("I2_svd", lambda s, d: recsys.svd_factors(recsys.cells(S.interactions(s, d)), 2)[1], None)
+query("D6_explained_variance", explained, None)
+query("I3_nmf_factors", lambda s, d: text.nmf(recsys.cells(S.interactions(s, d)), 3, row="user_id", column="item_id", value="value")[1], None)
+UNIT = f"SELECT id, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS x FROM ({MATRIX})"
+query("I5_item_groups", lambda s, d: recsys.item_groups(S.matrix(s, d), 4, lambda x, k: cluster.lloyd(x, k, 2)), lloyd_sql(4, 2, UNIT, 64))
 query(
     "L3_best_run",
     lambda s, d: rounded(S.scores(s, d).groupBy(F.col("event_type").alias("name")).agg((F.sum(S.cents(F.col("score"))) / 100.0 / F.count(F.lit(1))).alias("metric")).orderBy(F.desc(F.round("metric", 9)), "name").limit(1)),
     f"SELECT event_type AS name, round(sum(CAST(round(score * 100) AS BIGINT)) / 100e0 / count(*), 6) AS metric FROM ({SCORES}) GROUP BY 1 ORDER BY metric DESC, name LIMIT 1",
 )
+
+query("G3_corpus", lambda s, d: generators.corpus(s), None)
+query("G4_generated_interactions", lambda s, d: generators.user_items(s), None)
+query("G5_block_graph", lambda s, d: generators.block_graph(s, [40, 40, 40, 40], 0.4, 0.03)[0], None)
+query("K7_persona_cards", lambda s, d: s.createDataFrame([(explain.persona_cards(S.customer_features(s, d), COLS, "segment"),)], "cards string"), None)

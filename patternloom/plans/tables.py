@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.operators import anomaly, cluster, cuts, evaluation, explain, prep, reduce
+from patternloom.operators import anomaly, cluster, cuts, evaluation, explain, models, prep, reduce
+from patternloom.operators.iterate import scratch
 from patternloom.plans.registry import FEATURES, HOURS, MATRIX, RFM, SCORES, query, rounded, rounded_sql
 from patternloom.sources import features as S
 
 COLS = S.CUSTOMER_FEATURES
 CENTRES = [[30.0, 10.0], [200.0, 5.0], [600.0, 1.0]]
-EIGHT = f"SELECT id, x[1:8] AS x, label FROM ({MATRIX})"
-
-
-def eight(spark, d) -> DataFrame:
-    """The first eight dimensions of the embeddings."""
-    return S.matrix(spark, d).select("id", F.slice("x", 1, 8).alias("x"), "label")
-
-
 query("G1_customer_rfm_features", lambda s, d: rounded(S.customer_features(s, d)), rounded_sql(FEATURES, COLS))
 query("G2_event_sensor_features", lambda s, d: rounded(S.sensor_features(s, d)), rounded_sql(HOURS, ["value_mean", "value_max", "error_ratio"]))
 query("G4_interactions_long", S.interactions, "SELECT o_custkey AS user_id, l_partkey AS item_id, sum(l_quantity) AS interaction_strength FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
@@ -142,6 +135,11 @@ query(
     lambda s, d: rounded(cuts.compare_thresholds(S.scores(s, d))),
     f"SELECT strategy, round(threshold, 6) AS threshold, count(*) FILTER (score >= threshold) AS n_flagged, round(count(*) FILTER (score >= threshold) / CAST(count(*) AS DOUBLE), 6) AS flagged_fraction FROM ({ALL}), ({SCORES}) GROUP BY strategy, threshold",
 )
+query(
+    "T7_choice",
+    lambda s, d: rounded(cuts.choice(S.scores(s, d), cuts.quantile_threshold(S.scores(s, d)), "quantile")),
+    f"SELECT 'quantile' AS strategy, round(threshold, 6) AS threshold, count(*) FILTER (score >= threshold) AS n_flagged, round(count(*) FILTER (score >= threshold) / CAST(count(*) AS DOUBLE), 6) AS flagged_fraction FROM ({QUANTILE}), ({SCORES}) GROUP BY threshold",
+)
 query(
     "T6_evaluate_threshold",
     lambda s, d: rounded(cuts.evaluate_threshold(S.scores(s, d), 250.0)),
@@ -182,14 +180,24 @@ query("A5_robust_cov_csteps", lambda s, d: rounded(anomaly.robust_distances_2d(S
 NEAR = "near AS (SELECT a.id, b.id AS j, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.x, b.x), 9), b.id) AS rank FROM m a JOIN m b ON a.id <> b.id QUALIFY rank <= {k})"
 query(
     "A4_lof",
-    lambda s, d: rounded(anomaly.local_outlier_factor(eight(s, d), 20)),
-    f"""WITH m AS ({EIGHT}), {NEAR.format(k=20)}, kd AS (SELECT id AS j, max(d) AS kd FROM near GROUP BY 1), lrd AS (SELECT id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (j) GROUP BY 1)
+    lambda s, d: rounded(anomaly.local_outlier_factor(S.matrix(s, d), 20)),
+    f"""WITH m AS ({MATRIX}), {NEAR.format(k=20)}, kd AS (SELECT id AS j, max(d) AS kd FROM near GROUP BY 1), lrd AS (SELECT id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (j) GROUP BY 1)
 SELECT near.id, round(avg(l.lrd) / any_value(o.lrd), 6) AS lof FROM near JOIN lrd l ON l.id = near.j JOIN lrd o ON o.id = near.id GROUP BY 1""",
 )
 query(
     "C7_knn_eps",
-    lambda s, d: rounded(cluster.knn_eps(eight(s, d))),
-    f"WITH m AS ({EIGHT}), {NEAR.format(k=9)} SELECT round(quantile_cont(d, 0.85), 6) AS eps FROM (SELECT max(d) AS d FROM near GROUP BY id)",
+    lambda s, d: rounded(cluster.knn_eps(S.matrix(s, d))),
+    f"WITH m AS ({MATRIX}), {NEAR.format(k=9)} SELECT round(quantile_cont(d, 0.85), 6) AS eps FROM (SELECT max(d) AS d FROM near GROUP BY id)",
+)
+query("A2_train_anomaly_model", lambda s, d: models.train_anomaly_model(S.customer_features(s, d), COLS)[1], None)
+query("A6_one_class", lambda s, d: anomaly.one_class_scores(S.customer_features(s, d), COLS), None)
+query(
+    "A7_pca_reconstruction",
+    lambda s, d: rounded(anomaly.reconstruction_scores(S.customer_features(s, d), ["avg_order_value", "balance"], 1), 5),
+    # of two standardised columns the first direction is the diagonal their correlation points along
+    f"""WITH f AS (SELECT row_id, avg_order_value AS a, balance AS b FROM ({FEATURES})),
+z AS (SELECT row_id AS id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b, sign(corr(a, b) OVER ()) AS s FROM f)
+SELECT id, round((a - s * b) ** 2 / 4, 5) AS score FROM z""",
 )
 query("A1_isolation_forest", lambda s, d: anomaly.isolation_forest(S.customer_features(s, d), COLS), None)
 
@@ -207,18 +215,56 @@ query(
 )
 
 
-def lloyd_sql(k: int, rounds: int) -> str:
-    out = f"WITH m AS ({FLAT}), c0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS label, x AS c FROM m ORDER BY id LIMIT {k})"
+def lloyd_sql(k: int, rounds: int, source: str = FLAT, dims: int = 2, last: str = "SELECT id, label FROM l{0}") -> str:
+    """Lloyd's rounds from the rows of the lowest ids; `last` reads the labels l{0} and their means c{1}."""
+    out = f"WITH m AS ({source}), c0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS label, x AS c FROM m ORDER BY id LIMIT {k})"
+    means = ", ".join(f"avg(x[{i + 1}])" for i in range(dims))
     for r in range(rounds + 1):
-        out += f", l{r} AS (SELECT id, any_value(x) AS x, arg_min(label, (round((x[1] - c[1]) ** 2 + (x[2] - c[2]) ** 2, 9), label)) AS label FROM m, c{r} GROUP BY id)"
-        out += f", c{r + 1} AS (SELECT c{r}.label, coalesce(any_value(n.c), any_value(c{r}.c)) AS c FROM c{r} LEFT JOIN (SELECT label, [avg(x[1]), avg(x[2])] AS c FROM l{r} GROUP BY 1) n USING (label) GROUP BY 1)"
-    return out + f" SELECT id, label FROM l{rounds}"
+        gap = " + ".join(f"(x[{i + 1}] - c[{i + 1}]) ** 2" for i in range(dims))
+        out += f", l{r} AS (SELECT id, any_value(x) AS x, arg_min(label, (round({gap}, 9), label)) AS label FROM m, c{r} GROUP BY id)"
+        out += f", c{r + 1} AS (SELECT c{r}.label, coalesce(any_value(n.c), any_value(c{r}.c)) AS c FROM c{r} LEFT JOIN (SELECT label, [{means}] AS c FROM l{r} GROUP BY 1) n USING (label) GROUP BY 1)"
+    return f"{out} {last.format(rounds, rounds + 1)}"
 
 
 query("C1d_lloyd_kmeans", lambda s, d: cluster.lloyd(flat(s, d), 4, 3), lloyd_sql(4, 3))
-query("C1_kmeans", lambda s, d: cluster.kmeans(eight(s, d), 5), None)
+
+
+def model(spark, d) -> tuple[models.Clusters, DataFrame]:
+    """Four clusters of the standardised customers, by Lloyd's rounds."""
+    return models.fit_clusters(S.customer_features(spark, d), COLS, 4, fit=lambda rows, k: cluster.lloyd(rows, k, 3))
+
+
+def reloaded(spark, d) -> DataFrame:
+    """The same model, kept, loaded and applied to all customers."""
+    path = scratch(spark, "model")
+    models.save(spark, model(spark, d)[0], path, rows="customers")
+    return models.load(spark, path)[0].transform(S.customer_features(spark, d))
+
+
+Z = f"SELECT row_id AS id, [{SCALED}] AS x FROM ({FEATURES})"
+APPLIED = lloyd_sql(4, 3, Z, 6, "SELECT id, arg_min(c{1}.label, (round(list_distance(x, c) ** 2, 9), c{1}.label)) AS label, round(min(list_distance(x, c) ** 2), 4) AS d2 FROM m, c{1} GROUP BY id")
+query("C2_train_clustering", lambda s, d: rounded(model(s, d)[0].transform(S.customer_features(s, d)), 4), APPLIED)
+query("L2_saved_model", lambda s, d: rounded(reloaded(s, d), 4), APPLIED)
+
+
+def metrics_sql(matrix: str, dims: int) -> str:
+    """The three metrics of a labelled matrix (id, x, label)."""
+    of = lambda q: q.replace(MATRIX, matrix).replace("range(1, 65)", f"range(1, {dims + 1})")
+    return f"(SELECT count(DISTINCT label) FROM ({matrix})) AS n_clusters, ({of(SILHOUETTE)}) AS silhouette, ({of(BOULDIN)}) AS davies_bouldin, ({of(HARABASZ)}) AS calinski_harabasz"
+
+
+SWEEP = [2, 3, 4]
+query(
+    "E5_k_range",
+    lambda s, d: rounded(models.evaluate_k_range(flat(s, d), lambda rows, k: cluster.lloyd(rows, k, 3), SWEEP), 5),
+    rounded_sql(
+        " UNION ALL ".join(f"SELECT {k} AS k, {metrics_sql(lloyd_sql(k, 3, last='SELECT id, x, label FROM l{0}'), 2)}" for k in SWEEP), ["silhouette", "davies_bouldin", "calinski_harabasz"], 5
+    ),
+)
+query("C1_kmeans", lambda s, d: cluster.kmeans(S.matrix(s, d), 5), None)
 query("C4_gmm", lambda s, d: cluster.gaussian_mixture(flat(s, d), 3).select("id", "label"), None)
 query("C6_dbscan", lambda s, d: cluster.dbscan(flat(s, d), 8.0, 5), None)
+query("C5_merge_tree", lambda s, d: cluster.hierarchical(evaluation.centroids(S.matrix(s, d)).select(F.col("label").alias("id"), F.col("centre").alias("x")), 3), None)
 query("C5_single_linkage", lambda s, d: cluster.threshold_components(flat(s, d), 4.0), None)
 
 query(
@@ -226,19 +272,20 @@ query(
     lambda s, d: rounded(reduce.covariance(S.customer_features(s, d), COLS), 3),
     " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop({a}, {b}), 3) + 0e0 AS covariance FROM ({FEATURES})" for i, a in enumerate(COLS) for b in COLS[i:]),
 )
+query("D2_pca_reconstruction", lambda s, d: reduce.reconstruction_error(S.matrix(s, d), 2), None)
 query("D1_pca_embedding", lambda s, d: reduce.principal_components(S.matrix(s, d), 2)[0], None)
 query(
     "D3_kernel_double_centering",
-    lambda s, d: rounded(reduce.double_centred_kernel(eight(s, d), 0.2)),
-    f"""WITH m AS ({EIGHT}), k AS (SELECT a.id AS i, b.id AS j, exp(-0.2e0 * list_distance(a.x, b.x) ** 2) AS k FROM m a, m b)
+    lambda s, d: rounded(reduce.double_centred_kernel(S.matrix(s, d), 0.2)),
+    f"""WITH m AS ({MATRIX}), k AS (SELECT a.id AS i, b.id AS j, exp(-0.2e0 * list_distance(a.x, b.x) ** 2) AS k FROM m a, m b)
 SELECT i, j, round(k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER (), 6) + 0e0 AS k FROM k""",
 )
-UNITS = [[0.1 * ((i + j) % 3 - 1) for i in range(8)] for j in range(3)]
+UNITS = [[0.1 * ((i + j) % 3 - 1) for i in range(64)] for j in range(3)]
 Q = ", ".join(f"1 / (1 + list_distance(x, {[round(v, 6) for v in u]}) ** 2)" for u in UNITS)
 query(
     "H4_student_t_q_and_p",
-    lambda s, d: reduce.student_t_assignment(eight(s, d), [[round(v, 6) for v in u] for u in UNITS]).select("id", *(F.round(F.col(c)[i], 6).alias(f"{c}{i}") for c in "qp" for i in range(3))),
-    f"""WITH r AS (SELECT id, [{Q}] AS r FROM ({EIGHT})), q AS (SELECT id, list_transform(r, lambda v: v / list_sum(r)) AS q FROM r), f AS (SELECT [sum(q[1]), sum(q[2]), sum(q[3])] AS f FROM q),
+    lambda s, d: reduce.student_t_assignment(S.matrix(s, d), [[round(v, 6) for v in u] for u in UNITS]).select("id", *(F.round(F.col(c)[i], 6).alias(f"{c}{i}") for c in "qp" for i in range(3))),
+    f"""WITH r AS (SELECT id, [{Q}] AS r FROM ({MATRIX})), q AS (SELECT id, list_transform(r, lambda v: v / list_sum(r)) AS q FROM r), f AS (SELECT [sum(q[1]), sum(q[2]), sum(q[3])] AS f FROM q),
 s AS (SELECT id, q, [q[1] ** 2 / f[1], q[2] ** 2 / f[2], q[3] ** 2 / f[3]] AS s FROM q, f)
 SELECT id, {', '.join(f'round(q[{i + 1}], 6) AS q{i}' for i in range(3))}, {', '.join(f'round(s[{i + 1}] / list_sum(s), 6) AS p{i}' for i in range(3))} FROM s""",
 )

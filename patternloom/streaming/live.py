@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,13 @@ def sessions(events: DataFrame, gap_seconds: int, watermark: str | None = "1 hou
     return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def distinct_events(events: DataFrame, keys: Sequence[str], watermark: str = "1 hour") -> DataFrame:
+    """Each combination of `keys` once; on a stream, repeats within the watermark go and later ones come anew."""
+    if events.isStreaming:
+        return timed(events, watermark).dropDuplicatesWithinWatermark(list(keys)).select(*keys)
+    return events.select(*keys).distinct()
+
+
 def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Score a stream with any stateless operator and append Parquet, once for all that is there."""
     return score(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patternloom.operators import anomaly, cluster, cuts, drift, evaluation, graph, mixture, prep, recsys, reduce, series, stability, text
+from patternloom.operators import anomaly, cluster, cuts, drift, evaluation, explain, graph, mixture, models, order, prep, recsys, reduce, series, stability, text
 import __spark_entry__ as entry
 from patternloom.sources import generators
 from patternloom.streaming import live
@@ -68,7 +68,7 @@ def test_threshold_evaluation_by_hand(spark):
     low = cuts.evaluate_threshold(df, 1.0).first()
     assert abs(low.precision - 2 / 3) < 1e-12 and low.recall == 1.0
     assert cuts.evaluate_threshold(df, 9.0).first().precision is None
-    places = {r.id: r.rn for r in cuts.ranked(df.repartition(3)).collect()}
+    places = {r.id: r.rn for r in order.ranked(df.repartition(3), "score", "id").collect()}
     assert places == {0: 0, 1: 1, 2: 2, 3: 3}
 
 
@@ -177,3 +177,178 @@ def test_picked_shapelets_start_anywhere_and_do_not_overlap(spark):
     query = entry.queries()["X8_shapelets"](spark, "/root/testdata/sf0.001").collect()
     assert query and any(r.start % 4 for r in query)
     assert all(p.cand_series != q.cand_series or abs(p.start - q.start) >= 6 for p in query for q in query if p is not q)
+
+
+def test_places_of_wide_rows_over_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        wide = spark.range(100_000).select("id", (F.xxhash64("id") % 1000 / 8).alias("score"), F.repeat(F.lit("x"), 40).alias("pad"), F.xxhash64("id").alias("more"))
+        wide = wide.withColumn("score", F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("score")))  # one score fills a third
+        out = order.ranked(wide, "score", "id")
+        facts = out.agg(F.count(F.lit(1)), F.countDistinct("rn"), F.min("rn"), F.max("rn")).first()
+        assert tuple(facts) == (100_000, 100_000, 0, 99_999) and out.columns == [*wide.columns, "rn"]
+        got = [r.id for r in out.orderBy("rn").select("id").collect()]
+        assert got == [r.id for r in wide.select("id", "score").orderBy("score", "id").collect()]
+        batches = drift.batches(wide, 1000, "score", "more", "id")
+        assert batches.count() == 100_000 and {r["count"] for r in batches.groupBy("batch").count().collect()} == {1000}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_quantiles_and_weights_in_order(spark):
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=501), r.integers(0, 5, 501)
+    df = spark.createDataFrame([(float(x), int(y), None) for x, y in zip(a, b, strict=True)], "a double, b int, c double")
+    got, qs = order.quantiles(df, ["a", "b", "c"], [0.0, 0.1, 0.333, 0.5, 1.0]).first(), [0.0, 0.1, 0.333, 0.5, 1.0]
+    assert np.allclose(got.a, np.quantile(a, qs)) and np.allclose(got.b, np.quantile(b, qs)) and list(got.c) == [None] * 5
+    sums = order.ranked(spark.createDataFrame([(1, 5), (2, 3), (3, 2)], "k int, w int"), "k", weight="w", into="s")
+    assert {x.k: x.s for x in sums.collect()} == {1: 0, 2: 5, 3: 8}
+    assert order.ranked(df.limit(0), "a").count() == 0
+    ranks = anomaly.average_rank(spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 3.0)], "id int, v double"), "v", "r").collect()
+    assert {x.id: x.r for x in ranks} == {0: 0.5, 1: 0.5, 2: 1.0}
+
+
+def test_scores_are_checked(spark):
+    of = lambda *v: spark.createDataFrame([(x,) for x in v], "score double")
+    for bad in (of(1.0), of(1.0, None, 2.0), of(1.0, float("nan")), of(1.0, float("inf"))):
+        for rule in (cuts.quantile_threshold, cuts.mad_threshold, cuts.otsu_threshold):
+            with pytest.raises(ValueError):
+                rule(bad)
+
+
+def test_models_are_kept_loaded_and_applied(spark, tmp_path):
+    rows = generators.customers(spark, 300, 3)
+    model, labels = models.fit_clusters(rows, generators.FIELDS, 5)
+    models.save(spark, model, f"{tmp_path}/m", seed=3)
+    again, facts = models.load(spark, f"{tmp_path}/m")
+    assert again == model and facts == {"kind": "clusters", "seed": 3}
+    both = again.transform(rows).join(labels.withColumnRenamed("label", "was"), "id")
+    assert both.where("label != was").count() <= 6
+    assert evaluation.adjusted_rand(labels.join(rows, F.col("id") == F.col("row_id")), "label", "segment").first()[0] > 0.6
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, f"{tmp_path}/nothing")
+    forest, scores = models.train_anomaly_model(generators.sensors(spark, 300, 0.05), ["temperature", "power_usage"], 0.05)
+    models.save(spark, forest, f"{tmp_path}/f")
+    again = models.load(spark, f"{tmp_path}/f")[0].score(generators.sensors(spark, 300, 0.05)).withColumnRenamed("score", "s")
+    assert scores.join(again, "id").where("abs(score - s) > 1e-12").count() == 0 and 10 <= scores.where("is_anomaly").count() <= 20
+    with pytest.raises(ValueError):
+        models.evaluate_k_range(generators.blobs(spark, 9, [[0]], 1.0), cluster.lloyd, [1])
+
+
+def test_merge_trees(spark):
+    xs = np.concatenate([np.random.default_rng(1).normal(c, 0.2, (8, 2)) for c in ((0, 0), (5, 5), (0, 5))])
+    for linkage in ("ward", "average", "complete", "single"):
+        got = {x.id: x.label for x in cluster.hierarchical(points(spark, xs), 3, linkage).collect()}
+        assert [len({got[i] for i in range(k, k + 8)}) for k in (0, 8, 16)] == [1, 1, 1] and len(set(got.values())) == 3
+    with pytest.raises(ValueError):
+        cluster.hierarchical(points(spark, xs), 30)
+    with pytest.raises(ValueError):
+        cluster.merge_tree(spark.createDataFrame([(0, 1, 1.0)], "a long, b long, d double"), spark.range(2), 2, most=1)
+
+
+def test_consensus_and_series_clusters(spark):
+    runs = spark.createDataFrame([(r, i, (i // 4 + r) % 2 if i % 4 else (i // 4)) for r in range(3) for i in range(8)], "run int, id long, label int")
+    got = {x.id: x.label for x in stability.consensus(runs, 2).collect()}
+    assert got[1] == got[2] == got[3] != got[5] == got[6] == got[7]
+    t = np.linspace(0, 4 * np.pi, 40)
+    waves = [(i, np.sin(t + 0.2 * i).tolist()) for i in range(4)] + [(4 + i, np.sign(np.sin(2 * t + 0.2 * i)).tolist()) for i in range(4)]
+    table = spark.createDataFrame(waves, "series_id long, values array<double>")
+    got = {x.id: x.label for x in series.cluster_series(table, 2, 8).collect()}
+    assert len({got[i] for i in range(4)}) == 1 and got[0] != got[4] and len({got[i] for i in range(4, 8)}) == 1
+    r = np.random.default_rng(0)
+    xs, ys = [r.normal(size=n) for n in (5, 9, 9)], [r.normal(size=n) for n in (7, 9, 9)]
+    for band in (None, 4):
+        assert np.allclose(series.dtw_many(xs, ys, band), [series.dtw(x, y, band) for x, y in zip(xs, ys, strict=True)])
+
+
+def test_sensitivity_and_report(spark):
+    rows = generators.blobs(spark, 60, [[0, 0], [9, 9], [0, 900]], 0.5)
+    table = rows.select(F.col("id").alias("row_id"), F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+    fit = lambda d: cluster.lloyd(d, 3, 5)
+    scalings = stability.scaling_sensitivity(table, ["a", "b"], fit)
+    found = {x.scaling: x for x in scalings.collect()}
+    assert set(found) == {"none", "standard", "robust"} and abs(found["standard"].ami_vs_reference - 1) < 1e-9
+    outliers = stability.outlier_sensitivity(rows, fit, [0.0, 0.1])
+    found = {x.level: x for x in outliers.collect()}
+    assert found[0.0].n_outliers == 0 and abs(found[0.0].ami_vs_clean - 1) < 1e-9 and found[0.1].n_outliers == 6
+    runs = stability.repeated_runs(rows, lambda d, seed: cluster.lloyd(d, 3, 2), 2)
+    text_ = stability.report(stability.pairwise_ami(runs), stability.pairwise_ami(runs), scalings, outliers.withColumn("silhouette", F.lit(None).cast("double")))
+    assert text_.count("## ") == 4 and "n/a" in text_ and "| 1.000 |" in text_
+    with pytest.raises(ValueError):
+        stability.scaling_sensitivity(table, ["a"], fit, reference="other")
+    with pytest.raises(ValueError):
+        stability.outlier_sensitivity(rows, fit, [0.5])
+
+
+def test_factors_of_new_rows_and_their_error(spark):
+    r = np.random.default_rng(2)
+    m = r.random((9, 2)) @ r.random((2, 6))
+    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(9) for j in range(6)], "doc long, term long, weight double")
+    w, h = text.nmf(cells, 2, 100, tolerance=1e-9)
+    error = text.reconstruction_error(cells, w, h)
+    assert error < 0.05 * np.linalg.norm(m)
+    again = text.nmf_transform(cells.where("doc < 3"), h, 80)
+    assert text.reconstruction_error(cells.where("doc < 3"), again, h) < 0.08 * np.linalg.norm(m[:3])
+    with pytest.raises(ValueError):
+        text.nmf(cells.withColumn("weight", F.lit(-1.0)), 2)
+    one = spark.createDataFrame([("the big red fox a",)], "text string").select(text.terms(F.col("text"), 2, ("the",)).alias("t")).first().t
+    assert one == ["big", "red", "fox", "big red", "red fox"]
+    users, _, values = recsys.svd_factors(cells.toDF("user_id", "item_id", "value"), 2, 30)
+    shares = recsys.explained_variance(users, cells.toDF("user_id", "item_id", "value"))
+    assert abs(sum(shares) - 1) < 1e-6 and values[0] > values[1]
+
+
+def test_projection_loses_what_numpy_says(spark):
+    xs = np.random.default_rng(1).normal(size=(60, 4)) @ np.diag([3, 2, 0.5, 0.1])
+    got = {x.id: x.error for x in reduce.reconstruction_error(points(spark, xs), 2).collect()}
+    c = xs - xs.mean(0)
+    v = np.linalg.svd(c, full_matrices=False)[2][:2]
+    assert np.allclose([got[i] for i in range(60)], ((c - c @ v.T @ v) ** 2).mean(1))
+
+
+def test_odd_rows_lie_outside(spark):
+    rows = generators.sensors(spark, 300, 0.05, 7)
+    columns = ["temperature", "power_usage", "signal_strength", "missing_ratio"]
+    for scores in (anomaly.one_class_scores(rows, columns, rounds=12), anomaly.isolation_forest(rows, columns)):
+        top = scores.orderBy(F.desc("score")).limit(15).join(rows, F.col("id") == F.col("row_id"))
+        assert top.where("label = 'anomaly'").count() >= 12
+
+
+def test_isomap_unrolls_an_arc(spark):
+    t = np.linspace(0, 1.5 * np.pi, 60)
+    got = {x.id: x.x[0] for x in graph.isomap(points(spark, np.stack([np.cos(t), np.sin(t)], 1)), 1, 4, 12).collect()}
+    line = np.array([got[i] for i in range(60)])
+    assert abs(np.corrcoef(line, t)[0, 1]) > 0.999
+    edges, nodes = generators.block_graph(spark, [12, 12], 0.8, 0.05, 1)
+    found = graph.graph_anomaly_scores(edges, nodes, 0.1)
+    assert found.count() == 24 and 1 <= found.where("is_anomaly").count() <= 4
+
+
+def test_neighbours_of_equal_rows_go_by_id(spark):
+    xs = np.concatenate([np.zeros((50, 3)), np.random.default_rng(0).normal(size=(40, 3))])
+    got = {}
+    for x in graph.neighbours(points(spark, xs), 4, block=16).collect():
+        got.setdefault(x.id, []).append((x["rank"], x.j))
+    for i in range(90):
+        d = np.round(np.sqrt(((xs - xs[i]) ** 2).sum(1)), 9)
+        d[i] = np.inf
+        assert [j for _, j in sorted(got[i])] == np.lexsort((np.arange(90), d))[:4].tolist()
+
+
+def test_generators_follow_their_rules(spark):
+    rows = generators.sensors(spark, 4000, 0.04, 1)
+    calm = rows.where("label = 'normal'").agg(F.avg("temperature"), F.avg("missing_ratio"), F.avg("motion_count"), F.var_pop("motion_count")).first()
+    assert rows.where("label = 'anomaly'").count() == 160 and abs(calm[0] - 21) < 0.2 and abs(calm[1] - 1.5 / 19.5) < 0.01 and abs(calm[2] - 4.95) < 0.2 and 5 < calm[3] < 9
+    corpus = generators.corpus(spark).collect()
+    assert len(corpus) == 140 and all(len(r.text.split()) == 22 and sum(w in generators.TOPICS[r.topic] for w in r.text.split()) == 18 for r in corpus)
+    found = generators.user_items(spark, 200, 60).agg(F.count(F.lit(1)), F.avg("interaction_strength")).first()
+    assert 0.08 < found[0] / 12_000 < 0.13 and abs(found[1] - 3) < 0.2
+
+
+def test_cards_carry_evidence_and_no_invented_action(spark):
+    rows = generators.customers(spark, 200, 2)
+    cards = explain.persona_cards(rows, generators.FIELDS, "segment")
+    assert cards.count("## Cluster") == cards.count("- action: undecided") == 5 and " sd)" in cards and "example" in cards
+    with pytest.raises(ValueError):
+        explain.distinctive_features(rows.where("segment = 'discount_seekers'"), generators.FIELDS, "segment")

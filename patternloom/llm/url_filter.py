@@ -3,11 +3,12 @@
 The tree.  A path is a list of segments; digits, hexadecimal strings and file
 names become wildcards of their kind at once, so a host with millions of pages
 has few paths left.  Then the tree of each host is walked down, one level at a
-time: among the children of a node, one that is rare, or whose labelled
-purity cannot be told from that of its siblings, is merged into a wildcard
-branch `*`.  A template's purity is its share of blocked labels, smoothed by
-the host's share, which is itself smoothed by that of all hosts; templates at
-or over the threshold are rejected.
+time, to its deepest path.  A child of a node whose labelled purity cannot be
+told from that of its siblings is merged into a wildcard branch `*`; those that
+can are put in order of purity, and neighbours that cannot be told from each
+other are merged into branches `*1`, `*2`, ... by rank.  A template's purity is its
+share of blocked labels, smoothed by the host's share, which is itself smoothed
+by that of all hosts; templates at or over the threshold are rejected.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from patternloom.llm.common import UPPER, cut, require
 
@@ -27,7 +29,6 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH = 6
 
 
 def host_of(url: Column) -> Column:
@@ -53,7 +54,7 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
 
 
 def shape(path: Column) -> Column:
-    """The segments of a path with variable ones as wildcards of their kind; levels beyond DEPTH are joined in one."""
+    """The segments of a path with variable ones as wildcards of their kind."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def kind(s: Column) -> Column:
@@ -61,35 +62,46 @@ def shape(path: Column) -> Column:
         out = F.regexp_replace(out, r"^(?=[^/]*[0-9])[0-9a-fA-F-]{8,}$", "{x}")
         return F.regexp_replace(out, r"^[^{.][^.]*\.([A-Za-z0-9]{1,5})$", r"{f}.$1")
 
-    head = F.transform(F.slice(segments, 1, DEPTH), kind)
-    return F.when(F.size(segments) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(segments, kind)
 
 
-def templates(urls: DataFrame, min_count: int = 5, z: float = 1.96, prior: float = 4.0) -> DataFrame:
+def templates(urls: DataFrame, z: float = 1.96, prior: float = 4.0) -> DataFrame:
     """The template of every (host, shape) of `urls` (host, shape, label): (host, shape, template, purity).
 
     `label` is 1 for blocked, 0 for allowed, null for unknown.  All counts are
-    over whole groups, summed before any shuffle.
+    over whole groups, summed before any shuffle.  Two branches are alike when
+    their shares of blocked labels, each with one label of either kind added,
+    differ by less than `z` standard errors.
     """
     label = F.col("label").cast("double")
-    paths = urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("k"), F.coalesce(F.sum(label), F.lit(0.0)).alias("bad"))
+    paths = urls.groupBy("host", "shape").agg(F.count("label").alias("k"), F.coalesce(F.sum(label), F.lit(0.0)).alias("bad"))
     level = cut(paths.withColumn("template", F.lit("")))
     deepest = level.agg(F.max(F.size("shape"))).first()[0] or 0
+    share = lambda bad, k: (bad + 1) / (k + 2)
+
+    def differ(b1: Column, k1: Column, b2: Column, k2: Column) -> Column:
+        p = share(b1 + b2, k1 + k2)
+        return F.abs(share(b1, k1) - share(b2, k2)) >= z * F.sqrt(p * (1 - p) * (1 / (k1 + 2) + 1 / (k2 + 2)))
+
     for d in range(deepest):
         node = ["host", "template"]
-        child = F.coalesce(F.get("shape", F.lit(d)), F.lit(""))
-        each = level.withColumn("child", child)
-        sums = each.groupBy(*node, "child").agg(F.sum("n").alias("cn"), F.sum("k").alias("ck"), F.sum("bad").alias("cb"))
-        whole = sums.groupBy(*node).agg(F.sum("ck").alias("tk"), F.sum("cb").alias("tb"), F.count(F.lit(1)).alias("kinds"))
-        rest_k, rest_b = F.col("tk") - F.col("ck"), F.col("tb") - F.col("cb")
-        p = (F.col("tb") + 1) / (F.col("tk") + 2)
-        gap = (F.col("cb") + 1) / (F.col("ck") + 2) - (rest_b + 1) / (rest_k + 2)
-        noise = F.sqrt(p * (1 - p) * (1 / (F.col("ck") + 2) + 1 / (rest_k + 2)))
-        alike = F.abs(gap) < z * noise
-        wild = (F.col("kinds") > 1) & (F.col("child") != "") & (alike | (F.col("cn") < min_count))
-        names = sums.join(whole, node).select(*node, "child", F.when(wild, F.lit("*")).otherwise(F.col("child")).alias("seg"))
+        each = level.withColumn("child", F.coalesce(F.get("shape", F.lit(d)), F.lit("")))
+        sums = each.groupBy(*node, "child").agg(F.sum("k").alias("ck"), F.sum("bad").alias("cb"))
+        whole = sums.groupBy(*node).agg(F.sum("ck").alias("tk"), F.sum("cb").alias("tb"))
+        apart = differ(F.col("cb"), F.col("ck"), F.col("tb") - F.col("cb"), F.col("tk") - F.col("ck"))
+        told = cut(sums.join(whole, node).withColumn("apart", apart & (F.col("child") != "")))
+        # children of equal counts are one row, so a window holds as many rows as a node has kinds of counts
+        order = W.partitionBy(*node).orderBy(share(F.col("cb"), F.col("ck")), "ck")
+        kinds = told.where("apart").groupBy(*node, "ck", "cb").agg(F.count(F.lit(1)).alias("m"))
+        first = F.coalesce(differ(F.col("cb"), F.col("ck"), F.lag("cb").over(order), F.lag("ck").over(order)), F.lit(True))
+        runs = kinds.withColumn("first", first.cast("int")).withColumn("run", F.sum("first").over(order))
+        runs = runs.withColumn("m", F.sum("m").over(W.partitionBy(*node, "run"))).select(*node, "ck", "cb", "run", "m")
+        only = told.groupBy(*node).agg(F.count(F.lit(1)).alias("children"))
+        named = told.join(only, node).join(runs, [*node, "ck", "cb"], "left")
+        seg = F.when((F.col("children") == 1) | (F.col("child") == ""), F.col("child")).when(~F.col("apart"), "*").when(F.col("m") > 1, F.concat(F.lit("*"), "run")).otherwise(F.col("child"))
+        names = named.select(*node, "child", seg.alias("seg"))
         level = each.join(names, [*node, "child"]).select(
-            "host", "shape", "n", "k", "bad", F.when(F.col("child") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "seg")).alias("template")
+            "host", "shape", "k", "bad", F.when(F.col("child") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "seg")).alias("template")
         )
         level = cut(level)  # a level reads the one above it three times
     per = level.groupBy("host", "template").agg(F.sum("k").alias("k"), F.sum("bad").alias("bad"))

@@ -208,6 +208,74 @@ def test_url_rules_and_templates(spark):
     assert tree[("bad", "{n}")][1] > 0.9 > 0.1 > tree[("good", "{n}")][1] and tree[("rare",)][0] == "/*"
 
 
+def brute_templates(rows, z=1.96, prior=4.0):
+    """The tree of each host walked by hand: {(host, shape): (template, purity)}."""
+    counts = {}
+    for host, path, label in rows:
+        k, b = counts.get((host, tuple(path)), (0, 0))
+        counts[host, tuple(path)] = (k + (label is not None), b + (label or 0))
+    share = lambda b, k: (b + 1) / (k + 2)
+
+    def differ(x, y):
+        p = share(x[1] + y[1], x[0] + y[0])
+        return abs(share(x[1], x[0]) - share(y[1], y[0])) >= z * (p * (1 - p) * (1 / (x[0] + 2) + 1 / (y[0] + 2))) ** 0.5
+
+    template = dict.fromkeys(counts, "")
+    for d in range(max(len(p) for _, p in counts)):
+        nodes = {}
+        for (h, p), t in template.items():
+            c = nodes.setdefault((h, t), {}).setdefault(p[d] if d < len(p) else "", [0, 0])
+            c[0] += counts[h, p][0]
+            c[1] += counts[h, p][1]
+        seg = {}
+        for n, children in nodes.items():
+            total = [sum(c[i] for c in children.values()) for i in (0, 1)]
+            apart = [c for c, v in children.items() if c and differ(v, (total[0] - v[0], total[1] - v[1]))]
+            runs, last = [], None
+            for c in sorted(apart, key=lambda c: (share(children[c][1], children[c][0]), children[c][0])):
+                if last is None or differ(children[c], last):
+                    runs.append([])
+                runs[-1].append(c)
+                last = children[c]
+            for c in children:
+                run = next((i for i, r in enumerate(runs) if c in r), None)
+                alone = len(children) == 1 or not c
+                seg[n, c] = c if alone else "*" if run is None else f"*{run + 1}" if len(runs[run]) > 1 else c
+        template = {(h, p): t if d >= len(p) else f"{t}/{seg[(h, t), p[d]]}" for (h, p), t in template.items()}
+    per, hosts = {}, {}
+    for (h, p), t in template.items():
+        for table, key in ((per, (h, t)), (hosts, h)):
+            k, b = table.get(key, (0, 0))
+            table[key] = (k + counts[h, p][0], b + counts[h, p][1])
+    base = share(sum(b for _, b in hosts.values()), sum(k for k, _ in hosts.values()))
+    of = lambda h, t: (per[h, t][1] + prior * (hosts[h][1] + prior * base) / (hosts[h][0] + prior)) / (per[h, t][0] + prior)
+    return {(h, p): (t, of(h, t)) for (h, p), t in template.items()}
+
+
+def test_templates_equal_a_tree_walked_by_hand(spark):
+    r = random.Random(11)
+    rows = []
+    for host in "hg":
+        for _ in range(60):
+            path = [r.choice("abcdefg")] + [r.choice("xyz") for _ in range(r.randint(0, 9))]
+            bad = 0.95 if path[0] in "ab" else 0.05 if path[0] in "cd" else 0.5
+            rows += [(host, path, r.choice([None, int(r.random() < bad)]) if path[0] != "g" else None) for _ in range(r.randint(1, 12))]
+    deep = ["a"] * 8
+    rows += [("deep", [*deep, "bad"], 1)] * 30 + [("deep", [*deep, "good"], 0)] * 30 + [("deep", [*deep, "vile"], 1)] * 30 + [(None, [], None)]
+    table = spark.createDataFrame(rows, "host string, shape array<string>, label int")
+    got = {(x.host, tuple(x["shape"])): (x.template, round(x.purity, 9)) for x in url_filter.templates(table.where("host is not null")).collect()}
+    assert got == {k: (t, round(p, 9)) for k, (t, p) in brute_templates([x for x in rows if x[0] is not None]).items()}
+    assert got["deep", (*deep, "bad")][0] == got["deep", (*deep, "vile")][0] == "/a" * 8 + "/*2" and got["deep", (*deep, "good")][1] < 0.2
+
+
+def test_urls_of_odd_pages(spark):
+    rows = [(1, "http://n.net/a/1"), (1, "http://n.net/a/1"), (None, "http://n.net/a/2"), (2, None), (3, ""), (4, "http://n.net/" + "/".join("abcdefgh" * 40)), (5, "://"), (6, "http://n.net/" + "x" * 100_000)]
+    table = spark.createDataFrame(rows, "page_id long, url string").withColumns({"template": F.lit("t"), "verdict": F.lit("v"), "shape": F.lit(1)})
+    got = url_filter.judge(table).collect()
+    assert len(got) == len(rows) and sum(x.page_id == 1 for x in got) == 2 and all(x.verdict in ("allow", "block") for x in got)
+    assert {x.page_id: x.host for x in got}[5] == "" and url_filter.judge(table.limit(0)).count() == 0
+
+
 def test_licences_of_wrapped_texts_and_other_names(spark):
     wrap = lambda s: "\n * ".join(textwrap.wrap(s, 40))
     mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(wrap(s) for s in (

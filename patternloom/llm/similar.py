@@ -37,8 +37,8 @@ from patternloom.llm.components import connected_components
 SEED = 42
 #: One text in so many is sampled for common shingles; the most shingles that count as common.
 SAMPLE, COMMON = 8, 1_000_000
-#: Bytes of ids up to which they are broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of ids, and of bitmaps, up to which they are broadcast.
+BROADCAST_BYTES, BITMAP_BYTES = 64 << 20, 16 << 20
 #: Open pairs for each text up to which they are compared one by one, and the most rounds of hubs before that.
 OPEN_PAIRS, HUB_ROUNDS = 64, 6
 
@@ -132,7 +132,8 @@ def _bounded(ids: DataFrame, n: int) -> DataFrame:
 def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(src, dst) links that join the texts (v long, text) as all pairs of a similarity of `threshold` or more would."""
     facts, shared = cells(texts, n_words, threshold)
-    n_texts = facts.count()
+    n_texts, n_bytes = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("bits") + 32), F.lit(0))).first()
+    facts = F.broadcast(facts) if n_bytes <= BITMAP_BYTES else facts
 
     def likely(pairs: DataFrame) -> DataFrame:
         """The distinct unordered pairs (src, dst) whose sizes and bitmaps allow the similarity, with that bound."""
@@ -157,7 +158,7 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
         return cut(both.where(same >= F.lit(threshold) * (F.size("x") + F.size("y") - same) - 1e-9).select("src", "dst"))
 
     seen = cut(likely(near_prints(texts, n_words)).select("src", "dst"))
-    found = verified(seen)
+    found, before = verified(seen), 0
     for r in range(HUB_ROUNDS + 1):
         group = connected_components(found).toDF("v", "c")
         named = shared.join(group, "v", "left").select("t", "v", F.coalesce("c", "v").alias("c"))
@@ -166,8 +167,10 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
         open_ = cut(open_.select("t", ((F.col("k") * F.col("k") - F.col("q")) / 2).alias("pairs")))
         left = open_.agg(F.sum("pairs")).first()[0] or 0
         named = cut(named.join(open_.select("t"), "t"))
-        if left <= OPEN_PAIRS * n_texts or r == HUB_ROUNDS:
+        # hubs that close few pairs are not worth another round
+        if left <= OPEN_PAIRS * n_texts or r == HUB_ROUNDS or (r > 1 and left > 0.9 * before):
             break
+        before = left
         degree = found.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
         best = F.struct(F.coalesce("d", F.lit(0)) if r else F.lit(0), F.xxhash64(F.lit(r // 2), "v"))
         hubs = named.join(degree, "v", "left").groupBy("t").agg(F.max_by(F.struct("v", "c"), best).alias("h"))

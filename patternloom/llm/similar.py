@@ -10,13 +10,15 @@ Shingles that a sample of the texts repeats come last in that order, which
 keeps common passages out of the prefixes; the sample sways the cost, never
 the result.
 
-Texts that share a shingle of their prefixes are a cell.  While cells hold many
-pairs of texts that no link joins yet, every cell compares its texts with one
-hub only, in later rounds the text with most links; so a large group of copies
-is joined at a cost near its size.  What no link has joined then is compared
-pair by pair.  Pairs are compared by bitmaps of their shingles first, a
-sixteenth of the sets' size: a bit that one side alone has is a shingle that
-the other lacks, which bounds the similarity from above.
+Texts that share a shingle of their prefixes are a cell.  While cells hold more
+than a fixed number of pairs a text that no link joins yet, every cell compares
+its texts with one hub only, in later rounds the text with most links; so a
+large group of copies is joined at a cost near its size.  What no link has
+joined then is compared pair by pair, where the pairs arise: by sketches, the
+shingles' hashes folded to a thousand bits.  A bit that one side alone has is a
+shingle that the other lacks, which bounds the similarity from above, so only
+pairs that may reach it are moved.  Bitmaps as long as the sets ask, and then
+the sets themselves, decide on those.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.llm import simhash
@@ -40,7 +42,9 @@ SAMPLE, COMMON = 8, 1_000_000
 #: Bytes of ids, and of bitmaps, up to which they are broadcast.
 BROADCAST_BYTES, BITMAP_BYTES = 64 << 20, 16 << 20
 #: Open pairs for each text up to which they are compared one by one, and the most rounds of hubs before that.
-OPEN_PAIRS, HUB_ROUNDS = 64, 6
+OPEN_PAIRS, HUB_ROUNDS = 1024, 6
+#: 64-bit words of a sketch.
+WORDS = 16
 
 
 def shingles(text: str | None, n_words: int) -> np.ndarray:
@@ -62,6 +66,13 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Bits of the shingles' hashes modulo the bits of a sketch, as signed words."""
+    bits = np.zeros(64 * WORDS, dtype=np.uint8)
+    bits[(s >> np.uint64(32)) % np.uint64(64 * WORDS)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def bound(x: bytes, y: bytes, m: int, n: int) -> float:
     """An upper bound of the similarity of sets of `m` and `n` shingles by their bitmaps; the longer one is folded."""
     a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -74,16 +85,18 @@ def bound(x: bytes, y: bytes, m: int, n: int) -> float:
 
 
 def mapped(texts: DataFrame, n_words: int, pick, with_bits: bool = False) -> DataFrame:
-    """(v, n, s, bits): of every row (v, text) the number of its shingles, those that `pick` takes, and their bitmap or null."""
+    """(v, n, s, bits, w): of every row (v, text) the number of its shingles, those that `pick` takes, and their bitmap and sketch or nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, n_words) for t in b.column(1).to_pylist()]
             taken = pa.array([pick(s).view(np.int64) for s in sets], type=pa.list_(pa.int64()))
             bits = pa.array([bitmap(s) if with_bits else None for s in sets], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int32()), taken, bits], names=["v", "n", "s", "bits"])
+            words = pa.array([sketch(s) if with_bits else None for s in sets], type=pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], type=pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, taken, bits, words], names=["v", "n", "s", "bits", "w"])
 
-    return texts.select("v", "text").mapInArrow(run, "v long, n int, s array<long>, bits binary")
+    return texts.select("v", "text").mapInArrow(run, "v long, n int, s array<long>, bits binary, w array<long>")
 
 
 def common(texts: DataFrame, n_words: int) -> np.ndarray:
@@ -95,7 +108,7 @@ def common(texts: DataFrame, n_words: int) -> np.ndarray:
 
 
 def cells(texts: DataFrame, n_words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(v, n, bits) of the distinct texts, and (t, v) of them by the shingles t that several prefixes share."""
+    """(v, n, bits, w) of the distinct texts, and (t, v) of them by the shingles t that several prefixes share."""
     late = common(texts, n_words)
     by_value = np.argsort(late)
     late_sorted = late[by_value]
@@ -111,7 +124,7 @@ def cells(texts: DataFrame, n_words: int, threshold: float) -> tuple[DataFrame,
     rows = cut(mapped(texts, n_words, prefix, with_bits=True).dropDuplicates(["v"]))
     tokens = rows.select("v", F.explode("s").alias("t"))
     shared = cut(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"))
-    return rows.select("v", "n", "bits"), cut(tokens.join(_bounded(shared, shared.count()), "t", "left_semi").select("t", "v"))
+    return rows.select("v", "n", "bits", "w"), cut(tokens.join(_bounded(shared, shared.count()), "t", "left_semi").select("t", "v"))
 
 
 def near_prints(texts: DataFrame, n_words: int) -> DataFrame:
@@ -131,9 +144,35 @@ def _bounded(ids: DataFrame, n: int) -> DataFrame:
 
 def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(src, dst) links that join the texts (v long, text) as all pairs of a similarity of `threshold` or more would."""
-    facts, shared = cells(texts, n_words, threshold)
-    n_texts, n_bytes = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("bits") + 32), F.lit(0))).first()
+    known, shared = cells(texts, n_words, threshold)
+    n_texts, n_bytes = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("bits") + 32), F.lit(0))).first()
+    facts = known.select("v", "n", "bits")
     facts = F.broadcast(facts) if n_bytes <= BITMAP_BYTES else facts
+    sketches = known.select("v", "n", *(F.col("w")[i].alias(f"w{i}") for i in range(WORDS)))
+    small = n_texts * (8 * WORDS + 32) <= BITMAP_BYTES
+
+    def sketched(rows: DataFrame, v: str, mark: str) -> DataFrame:
+        """`rows` (t, ...), dealt by t, with the size and the sketch of their text `v`, named after `mark`."""
+        of = sketches.toDF(v, f"{mark}n", *(f"{mark}{i}" for i in range(WORDS)))
+        # a broadcast after the exchange keeps the sketches out of it
+        return rows.repartition("t").join(F.broadcast(of), v) if small else rows.join(of, v)
+
+    def alike(x: str, y: str) -> Column:
+        """Whether what x has in its sketch and y has not leaves x enough shingles to share."""
+        alone = sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(WORDS)), F.lit(0))
+        return F.col(f"{x}n") - alone >= F.lit(threshold / (1 + threshold)) * (F.col("xn") + F.col("yn")) - 1e-9
+
+    def likely_rest(named: DataFrame) -> DataFrame:
+        """The distinct pairs (src, dst) of `named` (t, v, c, main) that share t, are of two components, and are alike by their sketches.
+
+        One text of a pair lies outside its cell's largest component `main`, so
+        no more pairs are formed than twice those that are open.
+        """
+        a = sketched(named.where("c != main").select("t", F.col("v").alias("src"), "c"), "src", "x")
+        b = sketched(named.select("t", F.col("v").alias("dst"), F.col("c").alias("hc"), "main"), "dst", "y")
+        open_ = (F.col("c") != F.col("hc")) & ((F.col("hc") == F.col("main")) | (F.col("src") < F.col("dst")))
+        fit = F.least("xn", "yn") >= F.lit(threshold) * F.greatest("xn", "yn") - 1e-9
+        return a.join(b, "t").where(open_ & fit & alike("x", "y") & alike("y", "x")).select("src", "dst")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """The distinct unordered pairs (src, dst) whose sizes and bitmaps allow the similarity, with that bound."""
@@ -163,10 +202,13 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
         group = connected_components(found).toDF("v", "c")
         named = shared.join(group, "v", "left").select("t", "v", F.coalesce("c", "v").alias("c"))
         # a cell's open pairs are all of its pairs less those within a component
-        open_ = named.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("q")).where("k * k > q")
-        open_ = cut(open_.select("t", ((F.col("k") * F.col("k") - F.col("q")) / 2).alias("pairs")))
+        each = named.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("t")
+        open_ = each.agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("q"), F.max_by("c", F.struct("k", "c")).alias("main")).where("k * k > q")
+        open_ = cut(open_.select("t", "main", ((F.col("k") * F.col("k") - F.col("q")) / 2).alias("pairs")))
         left = open_.agg(F.sum("pairs")).first()[0] or 0
-        named = cut(named.join(open_.select("t"), "t"))
+        named = cut(named.join(open_.select("t", "main"), "t"))
+        # components only grow, so a cell without open pairs stays without
+        shared = named.select("t", "v")
         # hubs that close few pairs are not worth another round
         if left <= OPEN_PAIRS * n_texts or r == HUB_ROUNDS or (r > 1 and left > 0.9 * before):
             break
@@ -182,9 +224,8 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
         each = of.select("src", "dst", "most", F.explode(F.array("c", "hc")).alias("c")).groupBy("c").agg(F.max_by(F.struct("src", "dst"), F.struct("most", "src", "dst")).alias("p"))
         pairs = cut(each.select("p.*").distinct())
         found, seen = cut(found.union(verified(pairs))), cut(seen.union(pairs))
-    a, b = named.toDF("t", "src", "c"), named.toDF("t", "dst", "hc")
-    rest = a.join(b, "t").where((F.col("src") < F.col("dst")) & (F.col("c") != F.col("hc"))).select("src", "dst")
-    return found.union(verified(cut(likely(rest).select("src", "dst").join(seen, ["src", "dst"], "left_anti"))))
+    rest = likely(likely_rest(named)).select("src", "dst")
+    return found.union(verified(cut(rest.join(seen, ["src", "dst"], "left_anti"))))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -42,9 +42,10 @@ def test_bitmaps_bound_the_similarity_from_above():
     assert similar.bound(similar.bitmap(x), similar.bitmap(x), len(x), len(x)) == 1
 
 
-@pytest.mark.parametrize("open_pairs", [64, -1])
-def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark, monkeypatch, open_pairs):
+@pytest.mark.parametrize(("open_pairs", "most_bytes"), [(1024, similar.BITMAP_BYTES), (-1, similar.BITMAP_BYTES), (1024, 0)])
+def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark, monkeypatch, open_pairs, most_bytes):
     monkeypatch.setattr(similar, "OPEN_PAIRS", open_pairs)
+    monkeypatch.setattr(similar, "BITMAP_BYTES", most_bytes)
     r = random.Random(7)
     base = [[r.choice("abcdefghijklmnop") + str(r.randint(0, 40)) for _ in range(r.randint(8, 120))] for _ in range(40)]
     texts = [" ".join(w) for w in base]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm import bpe, chat, decontaminate, licenses, neighbours, quality, secrets, simhash, sql, suffixes, url_filter
+from patternloom.llm import bpe, chat, decontaminate, filter_audit, licenses, neighbours, quality, secrets, simhash, sql, suffixes, url_filter
 from patternloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -82,6 +82,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scans,
@@ -94,9 +98,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_chat_format,
         op9_suffix_dedup,
         op10_simhash,
+        op11_filter_audit,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": sql.decontamination(), "op6_license_scans": sql.license_scan(), "op8_chat_format": sql.chat_format()}
+    return {"op3_decontamination": sql.decontamination(), "op6_license_scans": sql.license_scan(), "op8_chat_format": sql.chat_format(), "op11_filter_audit": sql.filter_audit()}

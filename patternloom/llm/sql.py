@@ -72,3 +72,35 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST({marks} + sum(length({escaped('text')}) + {len(chat.TURN)} + CASE WHEN first THEN {head} + length({escaped('role')}) ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id"""
+
+
+def filter_audit() -> str:
+    """Every order is played through: a row goes at the first step whose filter it fails."""
+    return r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, k, o[k] AS own, o[1 : k - 1] AS earlier FROM o, unnest(range(1, 6)) AS r(k)),
+r AS (
+  SELECT part, o, k, own,
+    sum(n) FILTER (NOT regexp_matches(fails, '[' || earlier || own || ']')) AS kept,
+    sum(n) FILTER (contains(fails, own) AND NOT regexp_matches(fails, '[' || earlier || '_]')) AS removed,
+    sum(n) FILTER (contains(fails, own) AND regexp_matches(fails, '[' || earlier || '_]')) AS redundant,
+    sum(n) FILTER (fails = own) AS unique_fails,
+    sum(good) FILTER (contains(fails, own) AND NOT regexp_matches(fails, '[' || earlier || '_]')) AS good_lost,
+    sum(bad) FILTER (contains(fails, own) AND NOT regexp_matches(fails, '[' || earlier || '_]')) AS toxic_lost
+  FROM c, s GROUP BY part, o, k, own)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r"""

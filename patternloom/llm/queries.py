@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm import bpe, chat, decontaminate, filter_audit, licenses, neighbours, quality, secrets, simhash, sql, suffixes, url_filter
+from patternloom.llm import bpe, chat, decontaminate, filter_audit, licenses, neighbours, privacy, quality, secrets, simhash, sql, suffixes, url_filter, whitening
 from patternloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -86,6 +86,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.scan_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scans,
@@ -99,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_suffix_dedup,
         op10_simhash,
         op11_filter_audit,
+        op12_personal_data,
+        op13_whitening,
     )
     return {f.__name__: f for f in found}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,61 +127,3 @@ def knn_eps(df: DataFrame, k: int = 10, q: float = 0.85, id_col: str = "id", x:
 def threshold_components(df: DataFrame, height: float, id_col: str = "id", x: str = "x") -> DataFrame:
     """(id, component): single linkage cut at `height`, which is the components of all pairs within it."""
     return min_labels(within(df, height, id_col, x).where("id != j"), df.select(F.col(id_col).alias("id")))
-
-
-#: Rows that a merge tree takes; it needs all distances at once, so more rows want `threshold_components` or `kmeans`.
-MOST_MERGED = 2_000
-
-
-def agglomerate(distances: np.ndarray, k: int, linkage: str = "average") -> np.ndarray:
-    """Labels of the rows of a square distance matrix after merging down to `k` clusters, numbered by their first row."""
-    if linkage not in ("average", "complete", "single", "ward"):
-        raise ValueError("linkage must be average, complete, single or ward")
-    d = distances.astype(float) ** (2 if linkage == "ward" else 1)
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(len(d)), np.arange(len(d))
-    for _ in range(len(d) - k):
-        i, j = sorted(divmod(int(d.argmin()), len(d)))
-        if linkage == "average":
-            new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        elif linkage == "ward":
-            gap = np.where(np.isinf(d[i]) | np.isinf(d[j]), 0.0, d[i, j])
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * gap) / (size[i] + size[j] + size)
-        else:
-            new = (np.minimum if linkage == "single" else np.maximum)(d[i], d[j])
-        new[i] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def merge_tree(pairs: DataFrame, ids: DataFrame, k: int, linkage: str = "average", most: int = MOST_MERGED) -> DataFrame:
-    """(id, label) of `ids` (id) merged down to `k` clusters by `pairs` (a, b, d), every pair of ids once.
-
-    The distances are made by Spark; the merges follow each other, so they are
-    one group, and more than `most` ids are an error.
-    """
-    n = ids.count()
-    if not 2 <= k <= n:
-        raise ValueError("k must lie between 2 and the number of rows")
-    if n > most:
-        raise ValueError(f"{n} rows are more than a merge tree of {most} takes")
-    kind = ids.schema["id"].dataType.simpleString()
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        names, at = np.unique(np.concatenate([frame["a"], frame["b"]]), return_inverse=True)
-        a, b = at[: len(frame)], at[len(frame) :]
-        d = np.zeros((len(names), len(names)))
-        d[a, b] = d[b, a] = frame["d"]
-        return pd.DataFrame({"id": names, "label": agglomerate(d, k, linkage).astype(np.int32)})
-
-    return pairs.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, f"id {kind}, label int")
-
-
-def hierarchical(df: DataFrame, k: int, linkage: str = "ward", id_col: str = "id", x: str = "x") -> DataFrame:
-    """(id, label) of Euclidean merges down to `k` clusters; see `merge_tree` for how many rows it takes."""
-    a, b = df.select(F.col(id_col).alias("a"), F.col(x).alias("xa")), df.select(F.col(id_col).alias("b"), F.col(x).alias("xb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", V.distance(F.col("xa"), F.col("xb")).alias("d"))
-    return merge_tree(pairs, df.select(F.col(id_col).alias("id")), k, linkage)

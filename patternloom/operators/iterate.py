@@ -30,6 +30,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
+    """`df` as a table written to the shared folder and read again.
+
+    A plan over a checkpoint goes on with the sizes that the optimiser guessed
+    for what is below it, and every join of a loop multiplies them, until
+    planning takes longer than the work; a table has the size it has.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, which Spark may clear when nothing refers to it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from patternloom.functions import vectors as V
+from patternloom.operators.iterate import settle
+from patternloom.operators.passes import lists, matrix, summed
 
 
 def effective_components(weights: DataFrame, threshold: float = 0.01) -> DataFrame:
@@ -40,13 +44,91 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252)) - shift
 
 
-def dirichlet_process(df: DataFrame, max_components: int = 10, rounds: int = 40, prior: float | None = None, random_state: int = 0, id_col: str = "id", x: str = "x") -> tuple[DataFrame, DataFrame]:
-    """Diagonal Gaussian mixture with stick-breaking weights: (id, label, p array) and (component, weight).
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+KINDS = ("full", "tied", "diag", "spherical")
+#: Added to every variance of the prior.
+LEAST_VARIANCE = 1e-6
 
-    Each round is one pass that turns responsibilities into K sums of r, rx and
-    rx^2; the variational update uses those K-sized sums only.  Runs at once.
+
+@dataclass
+class DirichletMixture:
+    """A fitted mixture: variational posteriors of K components in d dimensions.
+
+    `precisions` are Cholesky factors of the expected precisions (K x d x d,
+    the same K times where tied), `sticks` the two parameters of each stick.
+    A precision has a Wishart posterior where it is full or tied, and one
+    gamma posterior for each place, or for all, where diagonal or spherical.
+    """
+
+    kind: str
+    sticks: np.ndarray
+    scale: np.ndarray
+    means: np.ndarray
+    freedom: np.ndarray
+    precisions: np.ndarray
+    bounds: list[float] = field(default_factory=list)
+    converged: bool = False
+
+    def weights(self) -> np.ndarray:
+        a, b = self.sticks
+        share = a / (a + b)
+        w = share * np.append(1.0, np.cumprod(1 - share)[:-1])
+        return w / w.sum()
+
+    def covariances(self) -> np.ndarray:
+        return np.array([np.linalg.inv(p @ p.T) for p in self.precisions])
+
+    def steps(self, d: int) -> np.ndarray:
+        """What the freedom loses from one place to the next: a Wishart's places share it, those of gammas do not."""
+        return np.arange(d) if self.kind in ("full", "tied") else np.zeros(d)
+
+    def half_log_det(self, d: int) -> np.ndarray:
+        """Half the log determinants of the inverse scales of the precisions."""
+        return np.array([np.log(np.diagonal(p)).sum() for p in self.precisions]) - 0.5 * d * np.log(self.freedom)
+
+    def log_shares(self, x: np.ndarray) -> np.ndarray:
+        """The log responsibilities of the components for each row."""
+        d = x.shape[1]
+        a, b = self.sticks
+        stick = _digamma(a) - _digamma(a + b)
+        log_weight = stick + np.append(0.0, np.cumsum(_digamma(b) - _digamma(a + b))[:-1])
+        spread = 0.5 * (d * math.log(2) + _digamma(0.5 * (self.freedom[:, None] - self.steps(d))).sum(axis=1) - d / self.scale)
+        far = np.stack([(((x - m) @ p) ** 2).sum(axis=1) for m, p in zip(self.means, self.precisions, strict=True)], axis=1)
+        logs = log_weight + spread + self.half_log_det(d) - 0.5 * (d * math.log(2 * math.pi) + far)
+        top = logs.max(axis=1, keepdims=True)
+        return logs - top - np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+
+    def transform(self, df: DataFrame, id_col: str = "id", x: str = "x") -> DataFrame:
+        """(id, label, p) with the responsibilities `p`; no shuffle, on streams too."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    logs = shared.value.log_shares(matrix(b.column(1)))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logs.argmax(axis=1).astype(np.int32)), lists(np.exp(logs))], names=["id", "label", "p"])
+
+        rows = df.select(F.col(id_col).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x"))
+        return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, p array<double>")
+
+
+def fit_dirichlet_mixture(
+    df: DataFrame, max_components: int = 10, prior: float | None = None, covariance: str = "full", max_iter: int = 200, tolerance: float = 1e-3, random_state: int = 0, id_col: str = "id", x: str = "x"
+) -> DirichletMixture:
+    """A Gaussian mixture of at most `max_components` under a stick-breaking prior, by variational updates.
+
+    `covariance` is `full`, `tied` (one for all), `diag` or `spherical`;
+    `prior` the concentration, by default one over the components.  Each update
+    is one pass in which every task turns its rows into responsibilities and
+    those into K counts, K x d sums and K x d x d sums of products; the driver
+    holds those sums only.  It ends when the lower bound of the evidence rises
+    by less than `tolerance`.  Runs at once.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"))
+    if covariance not in KINDS:
+        raise ValueError(f"covariance must be one of {', '.join(KINDS)}")
+    if max_components < 1 or max_iter < 1 or (prior is not None and prior <= 0):
+        raise ValueError("max_components, max_iter and prior must be positive")
+    rows = settle(df.select(F.col(id_col).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x")))
     # the starting centres lie far apart among a bounded pool of rows
     pool = np.array([r["x"] for r in rows.orderBy(F.xxhash64(F.lit(random_state), "id"), "id").limit(max(256, max_components)).collect()], dtype=float)
     if not len(pool):
@@ -55,39 +137,87 @@ def dirichlet_process(df: DataFrame, max_components: int = 10, rounds: int = 40,
     while len(chosen) < min(max_components, len(pool)):
         gap = ((pool[:, None, :] - pool[None, chosen, :]) ** 2).sum(axis=2).min(axis=1)
         chosen.append(int(gap.argmax()))
-    first = pool[chosen]
-    k, d = first.shape
-    concentration = prior or 1.0 / max_components
-    facts = rows.agg(*(F.var_pop(F.col("x")[i]) for i in range(d))).first()
-    spread = np.maximum(np.array(facts, dtype=float), 1e-9)
-    mean, var, log_weight = first.copy(), np.tile(spread, (k, 1)), np.full(k, -math.log(k))
-
-    def responsibilities() -> DataFrame:
-        parts = []
-        for c in range(k):
-            const = float(log_weight[c] - 0.5 * np.log(2 * math.pi * var[c]).sum())
-            parts.append(F.lit(const) - sum(((F.col("x")[i] - float(mean[c, i])) * (F.col("x")[i] - float(mean[c, i])) * float(0.5 / var[c, i]) for i in range(d)), F.lit(0.0)))
-        logs = rows.withColumn("l", F.array(*parts))
-        raised = logs.withColumn("e", F.transform("l", lambda v: F.exp(v - F.array_max("l"))))
-        return raised.select("id", "x", F.transform("e", lambda v: v / V.total(F.col("e"))).alias("p"))
-
-    for _ in range(rounds):
-        p = responsibilities()
-        sums = np.array(p.agg(*(f for c in range(k) for f in (F.sum(F.col("p")[c]), *(F.sum(F.col("p")[c] * F.col("x")[i]) for i in range(d)), *(F.sum(F.col("p")[c] * F.col("x")[i] * F.col("x")[i]) for i in range(d))))).first(), dtype=float).reshape(k, 1 + 2 * d)
-        n = sums[:, 0]
-        order = np.argsort(-n, kind="stable")
-        sums, n = sums[order], n[order]
-        after = np.append(np.cumsum(n[::-1])[::-1][1:], 0.0)
-        a, b = 1 + n, concentration + after
-        stick = _digamma(a) - _digamma(a + b)
-        log_weight = stick + np.append(0.0, np.cumsum(_digamma(b) - _digamma(a + b))[:-1])
-        mean = (sums[:, 1 : 1 + d] + 1e-3 * mean.mean(0)) / (n + 1e-3)[:, None]
-        var = (sums[:, 1 + d :] - n[:, None] * mean**2 + spread) / (n + 1)[:, None]
-        var = np.maximum(var, 1e-6 * spread)
-    p = responsibilities()
-    weight = np.array(p.agg(*(F.avg(F.col("p")[c]) for c in range(k))).first(), dtype=float)
-    table = df.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(weight)], "component int, weight double")
-    return p.select("id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("label"), "p"), table
+    first, (k, d) = pool[chosen], pool[chosen].shape
+    size = k * (1 + d + d * d)
+    middle = pool.mean(axis=0)  # products are of rows less this, which keeps their digits
+
+    def sums(share: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Counts, sums and sums of products by component, and the entropy of the responsibilities; rows less `middle`."""
+
+        def add(b: pa.RecordBatch) -> np.ndarray:
+            m = matrix(b.column(1))
+            r = share(m)
+            c = m - middle
+            second = np.stack([(c * r[:, i : i + 1]).T @ c for i in range(k)])
+            return np.concatenate([r.sum(axis=0), (r.T @ c).ravel(), second.ravel(), [-(r * np.log(np.maximum(r, 1e-300))).sum()]])
+
+        found = summed(rows, add, size + 1)
+        return found[:k], found[k : k + k * d].reshape(k, d), found[k + k * d : size].reshape(k, d, d), float(found[-1])
+
+    def nearest(m: np.ndarray) -> np.ndarray:
+        return np.eye(k)[((m[:, None, :] - first[None]) ** 2).sum(axis=2).argmin(axis=1)]
+
+    stats = sums(nearest)
+    n, whole = stats[0].sum(), stats[1].sum(axis=0)
+    centre = whole / n
+    empirical = (stats[2].sum(axis=0) - n * np.outer(centre, centre)) / max(n - 1, 1)
+    shape = {"full": empirical, "tied": empirical, "diag": np.diag(np.diagonal(empirical)), "spherical": np.eye(d) * np.diagonal(empirical).mean()}[covariance]
+    shape = shape + LEAST_VARIANCE * np.eye(d)
+    gamma = prior or 1.0 / max_components
+    model = _updated(stats, middle, centre, shape, gamma, covariance)
+    for _ in range(max_iter):
+        stats = sums(lambda m, model=model: np.exp(model.log_shares(m)))
+        bounds, model = model.bounds, _updated(stats, middle, centre, shape, gamma, covariance)
+        model.bounds = [*bounds, _bound(model, stats[3], d)]
+        if bounds and abs(model.bounds[-1] - bounds[-1]) < tolerance:
+            model.converged = True
+            break
+    return model
+
+
+def _updated(stats: tuple, middle: np.ndarray, centre: np.ndarray, shape: np.ndarray, gamma: float, kind: str) -> DirichletMixture:
+    """The posteriors that sums of responsibilities give: Dirichlet sticks, Gaussian means, Wishart precisions."""
+    n, sx, sxx, _ = stats
+    k, d = sx.shape
+    n = n + 10 * np.finfo(float).eps
+    mean = sx / n[:, None]
+    within = sxx - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    scale = 1.0 + n
+    means = (centre + n[:, None] * mean) / scale[:, None]
+    gap = mean - centre
+    spread = within + (n / scale)[:, None, None] * gap[:, :, None] * gap[:, None, :]
+    freedom = d + n
+    if kind == "full":
+        wishart = shape + spread
+    elif kind == "tied":
+        freedom, wishart = np.full(k, d + n.sum()), np.repeat((shape + spread.sum(axis=0))[None], k, axis=0)
+    elif kind == "diag":
+        wishart = np.eye(d) * np.diagonal(shape + spread, axis1=1, axis2=2)[:, :, None]
+    else:
+        freedom, wishart = d + d * n, np.eye(d) * (shape[0, 0] + np.trace(spread, axis1=1, axis2=2))[:, None, None]
+    lower = np.linalg.cholesky(wishart / freedom[:, None, None])
+    precisions = np.array([np.linalg.inv(c).T for c in lower])
+    sticks = np.stack([1 + n, gamma + np.append(np.cumsum(n[::-1])[-2::-1], 0.0)])
+    return DirichletMixture(kind, sticks, scale, means + middle, freedom, precisions)
+
+
+def _bound(model: DirichletMixture, entropy: float, d: int) -> float:
+    """The lower bound of the evidence up to a constant, for the responsibilities whose entropy is given."""
+    a, b = model.sticks
+    places = 1 if model.kind == "spherical" else d
+    det = model.half_log_det(d) * places / d
+    norm = -(model.freedom * det + 0.5 * model.freedom * places * math.log(2) + _lgamma(0.5 * (model.freedom[:, None] - model.steps(places))).sum(axis=1))
+    beta = (_lgamma(a) + _lgamma(b) - _lgamma(a + b)).sum()
+    return float(entropy - (norm[0] if model.kind == "tied" else norm.sum()) + beta - 0.5 * d * np.log(model.scale).sum())
+
+
+def dirichlet_process(
+    df: DataFrame, max_components: int = 10, rounds: int = 200, prior: float | None = None, random_state: int = 0, id_col: str = "id", x: str = "x", covariance: str = "full", tolerance: float = 1e-3
+) -> tuple[DataFrame, DataFrame]:
+    """(id, label, p array) and (component, weight) of a `fit_dirichlet_mixture`.  Runs at once."""
+    model = fit_dirichlet_mixture(df, max_components, prior, covariance, rounds, tolerance, random_state, id_col, x)
+    table = df.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights())], "component int, weight double")
+    return model.transform(df, id_col, x), table
 
 
 def prior_sensitivity(df: DataFrame, priors: Sequence[float], max_components: int = 10, threshold: float = 0.01, **settings) -> DataFrame:

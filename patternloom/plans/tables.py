@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.operators import anomaly, cluster, cuts, evaluation, explain, models, prep, reduce
+from patternloom.operators import anomaly, cluster, cuts, evaluation, explain, hierarchy, models, prep, reduce
 from patternloom.operators.iterate import scratch
 from patternloom.plans.registry import FEATURES, HOURS, MATRIX, RFM, SCORES, query, rounded, rounded_sql
 from patternloom.sources import features as S
@@ -264,7 +264,7 @@ query(
 query("C1_kmeans", lambda s, d: cluster.kmeans(S.matrix(s, d), 5), None)
 query("C4_gmm", lambda s, d: cluster.gaussian_mixture(flat(s, d), 3).select("id", "label"), None)
 query("C6_dbscan", lambda s, d: cluster.dbscan(flat(s, d), 8.0, 5), None)
-query("C5_merge_tree", lambda s, d: cluster.hierarchical(evaluation.centroids(S.matrix(s, d)).select(F.col("label").alias("id"), F.col("centre").alias("x")), 3), None)
+query("C5_merge_tree", lambda s, d: hierarchy.hierarchical(evaluation.centroids(S.matrix(s, d)).select(F.col("label").alias("id"), F.col("centre").alias("x")), 3), None)
 query("C5_single_linkage", lambda s, d: cluster.threshold_components(flat(s, d), 4.0), None)
 
 query(

@@ -236,17 +236,6 @@ def test_models_are_kept_loaded_and_applied(spark, tmp_path):
         models.evaluate_k_range(generators.blobs(spark, 9, [[0]], 1.0), cluster.lloyd, [1])
 
 
-def test_merge_trees(spark):
-    xs = np.concatenate([np.random.default_rng(1).normal(c, 0.2, (8, 2)) for c in ((0, 0), (5, 5), (0, 5))])
-    for linkage in ("ward", "average", "complete", "single"):
-        got = {x.id: x.label for x in cluster.hierarchical(points(spark, xs), 3, linkage).collect()}
-        assert [len({got[i] for i in range(k, k + 8)}) for k in (0, 8, 16)] == [1, 1, 1] and len(set(got.values())) == 3
-    with pytest.raises(ValueError):
-        cluster.hierarchical(points(spark, xs), 30)
-    with pytest.raises(ValueError):
-        cluster.merge_tree(spark.createDataFrame([(0, 1, 1.0)], "a long, b long, d double"), spark.range(2), 2, most=1)
-
-
 def test_consensus_and_series_clusters(spark):
     runs = spark.createDataFrame([(r, i, (i // 4 + r) % 2 if i % 4 else (i // 4)) for r in range(3) for i in range(8)], "run int, id long, label int")
     got = {x.id: x.label for x in stability.consensus(runs, 2).collect()}

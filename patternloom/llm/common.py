@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.operators.iterate import settle
+from patternloom.operators.iterate import checkpointed
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,7 +25,7 @@ def ascii_lower(text: Column) -> Column:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint in the shared folder that the session names."""
-    return settle(df)
+    return checkpointed(df)
 
 
 def set_aside(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -258,8 +258,12 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, text_
     is_class = F.col("term").startswith(CLASS)
     judged = pairs.where("term != ''").where(is_class | (F.col("n") >= support))
     counts = document_counts(docs, judged.where(~is_class).select("term").distinct(), text_col).withColumnRenamed("n", "nt")
+    counts = cut(counts)
     share = F.log(F.col("n") * float(total) / F.col("ne") / F.col("nt")) / F.log(float(max(total, 1)) / F.col("ne"))
-    joined = judged.join(whole, "entity").join(counts, "term").where(F.col("ne") < total)
+    # the classes, a handful of terms that stand beside nearly every entity, are no keys to shuffle by
+    of_words = judged.where(~is_class).join(counts.where(~is_class), "term")
+    of_classes = judged.where(is_class).join(F.broadcast(counts.where(is_class)), "term")
+    joined = of_words.unionByName(of_classes).join(whole, "entity").where(F.col("ne") < total)
     return joined.select("entity", "term", is_class.alias("class"), "n", share.alias("disclosure"))
 
 

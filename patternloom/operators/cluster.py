@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.functions import vectors as V
 from patternloom.operators.iterate import settle
 from patternloom.operators.order import quantiles, ranked
+from patternloom.operators.passes import matrix, summed
 
 
 def centre_array(centres: list[list[float]]) -> Column:
@@ -65,28 +71,84 @@ def gaussian_mixture(df: DataFrame, k: int, random_state: int = 0, id_col: str =
     return model.transform(rows).select("id", F.col("prediction").cast("int").alias("label"), vector_to_array("probability").alias("probability"))
 
 
-def within(df: DataFrame, eps: float, id_col: str = "id", x: str = "x") -> DataFrame:
-    """(id, j) for all rows within `eps`, itself included, by a grid over the first two dimensions.
+#: Rows of one side that meet in one key of `within`.
+CROWD = 4_096
 
-    Cells are `eps` wide, so a row meets the rows of nine cells only.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"))
-    cell = lambda d: F.floor(F.coalesce(F.get("x", F.lit(d)), F.lit(0.0)) / eps)
-    own = rows.select("id", "x", cell(0).alias("c0"), cell(1).alias("c1"))
-    step = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
-    near = own.withColumn("s0", step).withColumn("s1", step).select("id", "x", (F.col("c0") + F.col("s0")).alias("c0"), (F.col("c1") + F.col("s1")).alias("c1"))
-    other = own.select(F.col("id").alias("j"), F.col("x").alias("y"), "c0", "c1")
-    return near.join(other, ["c0", "c1"]).where(V.distance(F.col("x"), F.col("y")) <= eps).select("id", "j")
 
+def _axes(rows: DataFrame, d: int) -> np.ndarray:
+    """Up to three unit directions, as columns, along which rows of `d` numbers spread most."""
+    if d <= 3:
+        return np.eye(d)
+    middle = np.array(rows.first()["x"], dtype=float)
+
+    def moments(b: pa.RecordBatch) -> np.ndarray:
+        x = matrix(b.column(0)) - middle
+        return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
 
-def min_labels(edges: DataFrame, vertices: DataFrame, max_rounds: int = 60) -> DataFrame:
+    found = summed(rows.select("x"), moments, 1 + d + d * d)
+    n, mean = found[0], found[1 : 1 + d] / found[0]
+    return np.linalg.eigh(found[1 + d :].reshape(d, d) / n - np.outer(mean, mean))[1][:, ::-1][:, :3]
+
+
+def within(df: DataFrame, eps: float, id_col: str = "id", x: str = "x", crowd: int = CROWD) -> DataFrame:
+    """(id, j) for all rows within `eps`, itself included.
+
+    Rows are put in cells a little over `eps` wide along the three directions
+    of greatest spread.  No direction makes two rows further apart than they
+    are, so rows within `eps` lie in neighbouring cells, and distances are then
+    taken in full.  A cell of more than `crowd` rows, and the rows around it,
+    meet in parts.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x"))
+    d = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    axes, width = _axes(rows, d), eps * (1 + 1e-9)
+    along = [sum((F.col("x")[i] * float(v) for i, v in enumerate(a) if v), F.lit(0.0)) for a in axes.T] or [F.lit(0.0)]
+    own = rows.select("id", "x", F.array(*(F.floor(a / width) for a in along)).alias("cell"))
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(along))))
+    around = F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda c, k: c + k)))
+    counts = settle(own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    near = counts.select(around.alias("to"), "n").withColumnRenamed("to", "cell").groupBy("cell").agg(F.sum("n").alias("m"))
+    parts = settle(counts.join(near, "cell").select("cell", F.ceil(F.col("n") / crowd).cast("int").alias("nq"), F.ceil(F.col("m") / crowd).cast("int").alias("np")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = own.select("id", "x", around.alias("to")).withColumnRenamed("to", "cell").join(parts, "cell").select("id", "x", "cell", dealt("np").alias("p"), each("nq").alias("q"))
+    right = own.join(parts, "cell").select(F.col("id").alias("j"), F.col("x").alias("y"), "cell", dealt("nq").alias("q"), each("np").alias("p"))
+    return left.join(right, ["cell", "p", "q"]).where(V.distance(F.col("x"), F.col("y")) <= eps).select("id", "j")
+
+
+#: Edges that one task may join up by itself.
+FEW_EDGES = 200_000
+
+
+def _joined_up(edges: pd.DataFrame) -> pd.DataFrame:
+    """(hi, lo): every end of the edges with another least id that it reaches."""
+    up: dict = {}
+
+    def top(v):
+        while (u := up.get(v, v)) != v:
+            up[v] = v = up.get(u, u)
+        return v
+
+    for a, b in zip(edges["hi"].tolist(), edges["lo"].tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return pd.DataFrame([(v, top(v)) for v in list(up)], columns=["hi", "lo"])
+
+
+def min_labels(edges: DataFrame, vertices: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(id, component): the least id each vertex reaches over edges (id, j), given in both directions.
 
-    Every vertex hands its larger neighbours to its least one, then its
+    Up to `few` edges are joined up in one task.  Of more,
+    every vertex hands its larger neighbours to its least one, then its
     smaller neighbours too, until the edges are stars; the rounds grow with the
     logarithm of the longest chain.  Only a change count reaches the driver.
     """
     now, before = settle(edges.where("id > j").select(F.col("id").alias("hi"), F.col("j").alias("lo")).distinct()), None
+    named = lambda stars: vertices.select("id").join(stars.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    if now.count() <= few:
+        kind = now.schema["hi"].dataType.simpleString()
+        return named(now.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_joined_up, f"hi {kind}, lo {kind}"))
     for _ in range(max_rounds):
         both = now.union(now.select("lo", "hi").toDF("hi", "lo"))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
@@ -96,7 +158,7 @@ def min_labels(edges: DataFrame, vertices: DataFrame, max_rounds: int = 60) -> D
         now = settle(rest.union(low.toDF("hi", "lo")).distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if seen == before:
-            return vertices.select("id").join(now.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+            return named(now)
         before = seen
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 

@@ -54,12 +54,15 @@ def ranked(df: DataFrame, *order: str, weight: str | None = None, into: str = "r
 def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """One row: under the name of each of `columns` the array of its quantiles `qs`, interpolated between neighbours.
 
-    Nulls are left out; a column without values has nulls.  Exact: all columns
-    are put in order in one go, and a quantile is a lookup of two places.
+    Nulls are left out; a column without values has nulls.  Exact: equal values
+    are counted before anything is shuffled or put in order, so neither many
+    rows nor a value that most of them share meet in one task, and a quantile
+    is a lookup of two places among the counts.
     """
     each = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))
-    long = settle(df.select(F.explode(each).alias("s")).select("s.*").where("v is not null"))
-    count = {r["c"]: r["n"] for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    long = df.select(F.explode(each).alias("s")).select("s.*").where("v is not null")
+    counts = settle(long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    count = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}
     first, found, wanted = 0, [], set()
     for i, c in enumerate(columns):
         n, values = count.get(i, 0), []
@@ -71,5 +74,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> Dat
             values.append(value(low) + (value(high) - value(low)) * (at - math.floor(at)) if n else F.lit(None).cast("double"))
         found.append(F.array(*values).alias(c))
         first += n
-    picked = ranked(long, "c", "v").where(F.col("rn").isin(sorted(wanted)))
+    places = F.array(*(F.lit(w).cast("long") for w in sorted(wanted)))
+    inside = F.filter(places, lambda w: (w >= F.col("rn")) & (w < F.col("rn") + F.col("n")))
+    picked = ranked(counts, "c", "v", weight="n").select(F.explode(inside).alias("rn"), "v")
     return picked.agg(F.map_from_entries(F.collect_list(F.struct("rn", "v"))).alias("m")).select(*found)

@@ -23,26 +23,6 @@ def gather(df: DataFrame, series: str = "series_id", pos: str = "pos", v: str =
     return df.groupBy(F.col(series).alias("series_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(v).cast("double").alias("v")))), lambda s: s["v"]).alias("values"))
 
 
-def dtw(a: np.ndarray, b: np.ndarray, band: int | None = None) -> float:
-    """Dynamic time warping distance: squared cost, root at the end; the band runs along the diagonal, half-way places rounded to even."""
-    if not len(a) or not len(b):
-        raise ValueError("a series is empty")
-    if band is not None and band < 0:
-        raise ValueError("band must not be negative")
-    row = np.full(len(b) + 1, np.inf)
-    row[0] = 0.0
-    for i in range(1, len(a) + 1):
-        new = np.full(len(b) + 1, np.inf)
-        middle = round((i - 1) * len(b) / len(a)) + 1
-        low, high = (1, len(b)) if band is None else (max(1, middle - band), min(len(b), middle + band))
-        for j in range(low, high + 1):
-            new[j] = (a[i - 1] - b[j - 1]) ** 2 + min(row[j], new[j - 1], row[j - 1])
-        row = new
-    if not np.isfinite(row[-1]):
-        raise ValueError("the band is too narrow to reach the end")
-    return float(np.sqrt(row[-1]))
-
-
 def dtw_many(xs: list[np.ndarray], ys: list[np.ndarray], band: int | None = None) -> np.ndarray:
     """`dtw` of many pairs at once: pairs of equal lengths share the table's rows and columns, one cell of all of them at a time."""
     out, shapes = np.zeros(len(xs)), np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]).reshape(-1, 2)

@@ -240,9 +240,10 @@ query(
     f"""WITH p AS (SELECT user_id AS id, [{PARTS}] AS p FROM events GROUP BY 1)
 SELECT id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS dominant_component, round(list_max(p), 6) AS max_responsibility, round(-list_sum(list_transform(p, lambda v: v * ln(greatest(least(v, 1e0), 1e-12)))), 6) AS entropy FROM p""",
 )
-query("M1_dirichlet_process", lambda s, d: mixture.dirichlet_process(settle(flat(s, d)))[1], None)
-query("M5_dirichlet_labels", lambda s, d: mixture.dirichlet_process(settle(flat(s, d)))[0].select("id", "label"), None)
-query("M6_prior_sensitivity", lambda s, d: mixture.prior_sensitivity(settle(flat(s, d)), [0.01, 1.0]), None)
+query("M1_dirichlet_process", lambda s, d: mixture.dirichlet_process(flat(s, d))[1], None)
+query("M5_dirichlet_labels", lambda s, d: mixture.dirichlet_process(flat(s, d))[0].select("id", "label"), None)
+query("M1_dirichlet_spherical", lambda s, d: mixture.dirichlet_process(flat(s, d), covariance="spherical")[1], None)
+query("M6_prior_sensitivity", lambda s, d: mixture.prior_sensitivity(flat(s, d), [0.01, 1.0]), None)
 
 GRAPH = f"WITH m AS ({MATRIX}), {NEAR.format(k=8)}, g AS (SELECT id AS src, j AS dst FROM near UNION SELECT j, id FROM near)"
 query("R1_knn_graph", lambda s, d: graph.knn_graph(S.matrix(s, d), 8), GRAPH + " SELECT src, dst, 1e0 AS w FROM g")
@@ -375,7 +376,19 @@ query(
     f"SELECT event_type AS name, round(sum(CAST(round(score * 100) AS BIGINT)) / 100e0 / count(*), 6) AS metric FROM ({SCORES}) GROUP BY 1 ORDER BY metric DESC, name LIMIT 1",
 )
 
-query("G3_corpus", lambda s, d: generators.corpus(s), None)
-query("G4_generated_interactions", lambda s, d: generators.user_items(s), None)
-query("G5_block_graph", lambda s, d: generators.block_graph(s, [40, 40, 40, 40], 0.4, 0.03)[0], None)
+
+
+def n_rows(s, d, name: str) -> int:
+    return S.table(s, d, name).count()
+
+
+def nation_sizes(s, d) -> list[int]:
+    """The suppliers of each nation, as sizes of blocks."""
+    return [r["count"] for r in S.table(s, d, "supplier").groupBy("s_nationkey").count().orderBy("s_nationkey").collect()]
+
+
+# generated tables as large as the given ones
+query("G3_corpus", lambda s, d: generators.corpus(s, per_topic=-(-n_rows(s, d, "documents") // 4)), None)
+query("G4_generated_interactions", lambda s, d: generators.user_items(s, n_rows(s, d, "customer"), n_rows(s, d, "supplier")), None)
+query("G5_block_graph", lambda s, d: generators.block_graph(s, nation_sizes(s, d), 0.4, 0.03)[0], None)
 query("K7_persona_cards", lambda s, d: s.createDataFrame([(explain.persona_cards(S.customer_features(s, d), COLS, "segment"),)], "cards string"), None)

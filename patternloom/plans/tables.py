@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.operators import anomaly, cluster, cuts, evaluation, explain, hierarchy, models, prep, reduce
+from patternloom.operators import anomaly, cluster, cuts, deep, evaluation, explain, hierarchy, models, prep, reduce
 from patternloom.operators.iterate import scratch
 from patternloom.plans.registry import FEATURES, HOURS, MATRIX, RFM, SCORES, query, rounded, rounded_sql
 from patternloom.sources import features as S
@@ -176,6 +176,7 @@ query(
     lambda s, d: rounded(anomaly.mahalanobis_2d(S.customer_features(s, d), "avg_order_value", "balance").select("row_id", "distance")),
     rounded_sql(MAHALANOBIS, ["distance"]),
 )
+query("A5_robust_covariance", lambda s, d: anomaly.robust_distances(S.customer_features(s, d), COLS), None)
 query("A5_robust_cov_csteps", lambda s, d: rounded(anomaly.robust_distances_2d(S.customer_features(s, d), "avg_order_value", "balance", "row_id").select("row_id", "distance")), None)
 NEAR = "near AS (SELECT a.id, b.id AS j, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.x, b.x), 9), b.id) AS rank FROM m a JOIN m b ON a.id <> b.id QUALIFY rank <= {k})"
 query(
@@ -206,6 +207,11 @@ def flat(spark, d) -> DataFrame:
     return S.customer_features(spark, d).select(F.col("row_id").alias("id"), F.array("recency_days", "purchase_frequency").alias("x"))
 
 
+def scaled(spark, d) -> DataFrame:
+    """The standardised customers as (id, x)."""
+    return prep.scale(S.customer_features(spark, d), COLS).select(F.col("row_id").alias("id"), F.array(*COLS).alias("x"))
+
+
 FLAT = f"SELECT row_id AS id, [recency_days, purchase_frequency] AS x FROM ({FEATURES})"
 LISTED = ", ".join(f"round(list_distance(x, {c}) ** 2, 9)" for c in CENTRES)
 query(
@@ -263,9 +269,41 @@ query(
 )
 query("C1_kmeans", lambda s, d: cluster.kmeans(S.matrix(s, d), 5), None)
 query("C4_gmm", lambda s, d: cluster.gaussian_mixture(flat(s, d), 3).select("id", "label"), None)
-query("C6_dbscan", lambda s, d: cluster.dbscan(flat(s, d), 8.0, 5), None)
+
+
+def parts_sql(edges: str, nodes: str) -> str:
+    """A recursive part `part(id, c)`: the least id that each of `nodes` reaches over `edges` (id, j)."""
+    return f"""part(id, c) USING KEY (id) AS (SELECT id, id FROM {nodes} UNION
+  SELECT e.j, min(p.c) FROM part p JOIN {edges} e ON e.id = p.id JOIN recurring.part o ON o.id = e.j WHERE p.c < o.c GROUP BY e.j)"""
+
+
+query(
+    "C6_dbscan",
+    lambda s, d: cluster.dbscan(flat(s, d), 8.0, 5),
+    f"""WITH RECURSIVE m AS MATERIALIZED ({FLAT}), pairs AS MATERIALIZED (SELECT a.id, b.id AS j FROM m a JOIN m b ON list_distance(a.x, b.x) <= 8),
+core AS MATERIALIZED (SELECT id FROM pairs GROUP BY id HAVING count(*) >= 5), inner_ AS MATERIALIZED (SELECT id, j FROM pairs WHERE id IN (FROM core) AND j IN (FROM core)),
+{parts_sql('inner_', 'core')},
+named AS (SELECT id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS label FROM part),
+edge AS (SELECT pairs.id, min(label) AS label FROM pairs JOIN named ON named.id = j GROUP BY 1)
+SELECT m.id, coalesce(named.label, edge.label, -1) AS label FROM m LEFT JOIN named ON named.id = m.id LEFT JOIN edge ON edge.id = m.id""",
+)
 query("C5_merge_tree", lambda s, d: hierarchy.hierarchical(evaluation.centroids(S.matrix(s, d)).select(F.col("label").alias("id"), F.col("centre").alias("x")), 3), None)
-query("C5_single_linkage", lambda s, d: cluster.threshold_components(flat(s, d), 4.0), None)
+query(
+    "C5_single_linkage",
+    lambda s, d: cluster.threshold_components(flat(s, d), 4.0),
+    f"""WITH RECURSIVE m AS MATERIALIZED ({FLAT}), pairs AS MATERIALIZED (SELECT a.id, b.id AS j FROM m a JOIN m b ON a.id <> b.id AND list_distance(a.x, b.x) <= 4),
+{parts_sql('pairs', 'm')} SELECT id, c AS component FROM part""",
+)
+# a tree that is cut at a height leaves the components of all pairs within it
+query(
+    "C5_spanning_tree_cut",
+    lambda s, d: hierarchy.cut_tree(hierarchy.tree(flat(s, d), "single"), flat(s, d).select("id"), height=6.0),
+    f"""WITH RECURSIVE m AS MATERIALIZED ({FLAT}), pairs AS MATERIALIZED (SELECT a.id, b.id AS j FROM m a JOIN m b ON a.id <> b.id AND list_distance(a.x, b.x) <= 6),
+{parts_sql('pairs', 'm')} SELECT id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS label FROM part""",
+)
+query("C5_ward", lambda s, d: hierarchy.hierarchical(scaled(s, d), 5, "ward"), None)
+query("C5_average", lambda s, d: hierarchy.hierarchical(scaled(s, d), 5, "average"), None)
+query("C5_complete", lambda s, d: hierarchy.hierarchical(scaled(s, d), 5, "complete"), None)
 
 query(
     "D1_pca_covariance",
@@ -280,6 +318,8 @@ query(
     f"""WITH m AS ({MATRIX}), k AS (SELECT a.id AS i, b.id AS j, exp(-0.2e0 * list_distance(a.x, b.x) ** 2) AS k FROM m a, m b)
 SELECT i, j, round(k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER (), 6) + 0e0 AS k FROM k""",
 )
+query("D5_locally_linear", lambda s, d: reduce.locally_linear(scaled(s, d)), None)
+query("D3_kernel_components", lambda s, d: reduce.kernel_components(scaled(s, d), 2, 0.2)[0], None)
 UNITS = [[0.1 * ((i + j) % 3 - 1) for i in range(64)] for j in range(3)]
 Q = ", ".join(f"1 / (1 + list_distance(x, {[round(v, 6) for v in u]}) ** 2)" for u in UNITS)
 query(
@@ -289,3 +329,8 @@ query(
 s AS (SELECT id, q, [q[1] ** 2 / f[1], q[2] ** 2 / f[2], q[3] ** 2 / f[3]] AS s FROM q, f)
 SELECT id, {', '.join(f'round(q[{i + 1}], 6) AS q{i}' for i in range(3))}, {', '.join(f'round(s[{i + 1}] / list_sum(s), 6) AS p{i}' for i in range(3))} FROM s""",
 )
+query("H1_autoencoder", lambda s, d: (lambda rows: deep.train_autoencoder(rows, epochs=60)[0].transform(rows))(scaled(s, d)), None)
+query("H3_deep_cluster", lambda s, d: deep.deep_cluster(scaled(s, d), 4, epochs=60)[0].select("id", "label"), None)
+query("H4_deep_embedded_clustering", lambda s, d: deep.deep_embedded_clustering(scaled(s, d), 4, 3, 32, pretrain_epochs=60, cluster_epochs=20)[0].select("id", "label"), None)
+query("H5_contrastive", lambda s, d: (lambda rows: deep.train_contrastive(rows, 3, 32, epochs=40)[0].transform(rows))(scaled(s, d)), None)
+query("H6_contrastive_cluster", lambda s, d: deep.contrastive_cluster(scaled(s, d), 4, latent_dim=3, hidden_dim=32, epochs=40)[0].select("id", "label"), None)

@@ -112,6 +112,29 @@ def test_kernel_components_equal_dense_ones(spark):
         reduce.kernel_components(points(spark, xs), 3, 0.0)
 
 
+def test_locally_linear_unrolls_an_arc_and_equals_numpy(spark):
+    t = np.sort(np.random.default_rng(4).uniform(0, 1.5 * np.pi, 150))
+    xs = np.stack([np.cos(t), np.sin(t), 0.1 * t], 1)
+    got = {r.id: r.x for r in reduce.locally_linear(points(spark, xs), 1, 8).collect()}
+    d = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(-1))
+    gap = np.eye(150)
+    for i in range(150):
+        near = np.argsort(np.where(np.arange(150) == i, np.inf, d[i]), kind="stable")[:8]
+        z = xs[near] - xs[i]
+        g = z @ z.T
+        w = np.linalg.solve(g + 1e-3 * np.trace(g) * np.eye(8), np.ones(8))
+        gap[i, near] -= w / w.sum()
+    want = np.linalg.eigh(gap.T @ gap)[1][:, 1]
+    have = np.array([got[i][0] for i in range(150)])
+    assert min(np.abs(have - want).max(), np.abs(have + want).max()) < 1e-6 and abs(np.corrcoef(have, t)[0, 1]) > 0.98
+    few = {r.id: r.x[0] for r in reduce.locally_linear(points(spark, xs), 1, 8, landmarks=70).collect()}
+    assert len(few) == 150 and abs(np.corrcoef([few[i] for i in range(150)], t)[0, 1]) > 0.95
+    with pytest.raises(ValueError):
+        reduce.locally_linear(points(spark, xs), 8, 8)
+    with pytest.raises(ValueError):
+        reduce.locally_linear(points(spark, xs[:5]), 1, 8)
+
+
 def test_robust_distances_in_six_columns(spark):
     r = np.random.default_rng(3)
     n, d = 300, 6

@@ -1,5 +1,6 @@
 """Operators without SQL against brute force or planted structure, and validation errors."""
 
+import functools
 import math
 
 import numpy as np
@@ -33,8 +34,9 @@ def test_dbscan_equals_brute_force(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(i + 1, i) for i in range(200)], "id long, j long")
-    got = cluster.min_labels(edges, spark.range(205)).collect()
-    assert {r.id: r.component for r in got} == {i: 0 if i <= 200 else i for i in range(205)}
+    for few in (0, 1_000):
+        got = cluster.min_labels(edges, spark.range(205), few=few).collect()
+        assert {r.id: r.component for r in got} == {i: 0 if i <= 200 else i for i in range(205)}
 
 
 def test_metrics_by_hand(spark):
@@ -107,15 +109,31 @@ def test_spectral_communities(spark):
     assert abs(graph.modularity(edges, nodes.select("id", F.lit(0).alias("label"))).first()[0]) < 1e-9
 
 
+def warp(a, b, band=None):
+    """The warping distance by its recursion."""
+
+    @functools.cache
+    def cost(i, j):
+        if i < 0 or j < 0:
+            return 0.0 if i == j == -1 else math.inf
+        if band is not None and abs(j - round(i * len(b) / len(a))) > band:
+            return math.inf
+        return (a[i] - b[j]) ** 2 + min(cost(i - 1, j), cost(i, j - 1), cost(i - 1, j - 1))
+
+    return math.sqrt(cost(len(a) - 1, len(b) - 1))
+
+
 def test_warping(spark):
     a, b = np.array([0.0, 1, 2, 1, 0]), np.array([0.0, 0, 1, 2, 1])
-    assert series.dtw(a, a) == 0 and series.dtw(a, b) == series.dtw(b, a) <= float(np.sqrt(((a - b) ** 2).sum()))
-    rows = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>")
-    assert abs(rows.select(series.dtw_expression(F.col("a"), F.col("b"))).first()[0] - series.dtw(a, b)) < 1e-12
+    rows = spark.createDataFrame([(0, a.tolist()), (1, b.tolist()), (2, a.tolist())], "series_id long, values array<double>")
+    found = {(x.a, x.b): x.d for x in series.dtw_pairs(rows).collect()}
+    assert found[0, 2] == 0 and found[0, 1] == found[1, 2] <= float(np.sqrt(((a - b) ** 2).sum())) and abs(found[0, 1] - warp(a, b)) < 1e-12
+    pair = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>")
+    assert abs(pair.select(series.dtw_expression(F.col("a"), F.col("b"))).first()[0] - warp(a, b)) < 1e-12
     with pytest.raises(ValueError):
-        series.dtw(a, b, -1)
+        series.dtw_pairs(rows, -1)
     with pytest.raises(ValueError):
-        series.dtw(np.zeros(2), np.zeros(9), 0)
+        series.dtw_many([np.zeros(2)], [np.zeros(9)], 0)
 
 
 def test_matrix_profile_finds_the_flat_stretch(spark):
@@ -248,7 +266,7 @@ def test_consensus_and_series_clusters(spark):
     r = np.random.default_rng(0)
     xs, ys = [r.normal(size=n) for n in (5, 9, 9)], [r.normal(size=n) for n in (7, 9, 9)]
     for band in (None, 4):
-        assert np.allclose(series.dtw_many(xs, ys, band), [series.dtw(x, y, band) for x, y in zip(xs, ys, strict=True)])
+        assert np.allclose(series.dtw_many(xs, ys, band), [warp(x, y, band) for x, y in zip(xs, ys, strict=True)])
 
 
 def test_sensitivity_and_report(spark):
@@ -344,3 +362,28 @@ def test_cards_carry_evidence_and_no_invented_action(spark):
     assert cards.count("## Cluster") == cards.count("- action: undecided") == 5 and " sd)" in cards and "example" in cards
     with pytest.raises(ValueError):
         explain.distinctive_features(rows.where("segment = 'discount_seekers'"), generators.FIELDS, "segment")
+
+
+def test_triangles_beside_a_hub(spark):
+    r = np.random.default_rng(6)
+    m = np.triu(r.random((30, 30)) < 0.3, 1)
+    weights = np.where(m, r.integers(1, 4, (30, 30)), 0).astype(float)
+    weights = weights + weights.T
+    small = [(i, j, float(weights[i, j])) for i in range(30) for j in range(30) if weights[i, j]]
+    leaves = spark.range(30, 100_030).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    edges = spark.createDataFrame(small, "src long, dst long, w double").union(leaves).union(leaves.select("dst", "src", "w"))
+    found = {x.id: x for x in graph.structural_features(edges, spark.range(31)).collect()}
+    for i in range(1, 30):
+        d = weights[i].sum()
+        tri = (weights @ weights @ weights)[i, i]
+        assert abs(found[i].degree - d) < 1e-9 and abs(found[i].clustering_coefficient - (tri / (d * (d - 1)) if d > 1 else 0.0)) < 1e-9
+    assert found[0].degree == weights[0].sum() + 100_000 and found[30].clustering_coefficient == 0.0
+
+
+def test_rows_within_a_distance_in_many_dimensions(spark):
+    r = np.random.default_rng(8)
+    xs = np.concatenate([np.repeat(r.normal(size=(1, 8)), 60, axis=0) + r.normal(0, 0.01, (60, 8)), r.normal(size=(70, 8)) * np.linspace(2, 0.1, 8), 50 + r.normal(size=(5, 8))])
+    got = {(x.id, x.j) for x in cluster.within(points(spark, xs), 0.9, crowd=16).collect()}
+    near = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(-1)) <= 0.9
+    assert got == set(zip(*map(lambda v: v.tolist(), np.nonzero(near)), strict=True)) and len(got) > 3600
+    assert cluster.within(points(spark, xs), 0.9, crowd=16).count() == len(got)  # each pair once

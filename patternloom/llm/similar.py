@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,26 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
     return found.union(verified(cut(rest.join(seen, ["src", "dst"], "left_anti"))))
 
 
+def key(text: Column, salt: int) -> Column:
+    """A hash of `text` that stands for it; another one for every `salt`."""
+    return F.xxhash64(F.lit(salt), text)
+
+
+def keyed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct (id, v, copies) of `rows` (id, text), and a salt by which no two different texts have one key v.
+
+    Texts count as different where their lengths or a second hash differ.
+    """
+    marks = {"length": F.length("text"), "other": F.xxhash64(F.lit("other"), "text")}
+    ends = [f(m).alias(f"{e}_{m}") for m in marks for f, e in ((F.min, "least"), (F.max, "most"))]
+    for salt in count():
+        named = rows.select("id", key(F.col("text"), salt).alias("v"), *(c.alias(m) for m, c in marks.items()))
+        counted = cut(named.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"), *ends))
+        of = counted.groupBy("v").agg(*(f(f"{e}_{m}").alias(f"{e}_{m}") for m in marks for f, e in ((F.min, "least"), (F.max, "most"))))
+        if of.where(" or ".join(f"least_{m} != most_{m}" for m in marks)).isEmpty():
+            return counted.select("id", "v", "copies"), salt
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row of every group of linked texts: that of the least id, null after all others.
 
@@ -236,14 +257,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     require(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("v"))
-    counted = cut(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies")))
+    counted, salt = keyed(docs.select(F.col(id_col).alias("id"), text.alias("text")))
     n_rows, most = counted.agg(F.count(F.lit(1)), F.max("copies")).first()
-    groups = connected_components(links(docs.select(F.xxhash64(text).alias("v"), text.alias("text")), n_words, threshold))
+    groups = connected_components(links(docs.select(key(text, salt).alias("v"), text.alias("text")), n_words, threshold))
     named = counted.join(groups.withColumnRenamed("vertex", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.v").alias("_first"))
     bare, back = set_aside(docs, id_col, text_col)
     same = (F.col("_v") == F.col("_first")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    kept = bare.withColumn("_v", F.xxhash64(text)).join(_bounded(cut(first), n_rows), same, "left_semi")
+    kept = bare.withColumn("_v", key(text, salt)).join(_bounded(cut(first), n_rows), same, "left_semi")
     # without repeated rows there is nothing left to drop, and no need to move the texts
     return back(kept.dropDuplicates([id_col, "_v"]) if (most or 0) > 1 else kept)

@@ -74,6 +74,13 @@ def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark, monkeyp
     assert all((i is None, i or 0) == least[where[i, t]] for i, t in got)
 
 
+def test_texts_of_one_key_get_others(spark, monkeypatch):
+    hashed = similar.key
+    monkeypatch.setattr(similar, "key", lambda text, salt: hashed(text, salt) if salt > 1 else F.ascii(text).cast("long"))
+    docs = spark.createDataFrame([(1, "one text"), (2, "other text"), (3, "one text"), (4, None)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in similar.one_of_each(docs).collect()) == [1, 2, 4]
+
+
 def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text

@@ -14,7 +14,7 @@ import hashlib
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from patternloom.llm.common import require
 
 CACHE = 1_000_000
+#: Ids or bytes that gather before they leave a task, so that no batch of texts is held with all that it becomes.
+FLUSH = 1 << 18
 #: Letters and numbers of Unicode 16.0 that Python's own tables of 15.1 lack.
 NEWER = {
     "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0",
@@ -215,6 +217,19 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _runs(column: pa.Array, f: Callable) -> Iterator[tuple[int, list]]:
+    """(first row, results) of `f` over the values of `column`, a run ending once its results have FLUSH items."""
+    first, out, n = 0, [], 0
+    for i, value in enumerate(column):
+        out.append(f(value.as_py()))
+        n += len(out[-1])
+        if n >= FLUSH:
+            yield first, out
+            first, out, n = i + 1, [], 0
+    if out:
+        yield first, out
+
+
 def _codec(spark: SparkSession, path: str, pattern: str):
     """The codec of a rank file, broadcast; its size is that of the vocabulary."""
     return spark.sparkContext.broadcast(Codec(read_ranks(path), pattern))
@@ -231,10 +246,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [codec.value.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "token_ids"]
-            )
+            for at, ids in _runs(b.column(1), codec.value.encode):
+                own = b.column(0).slice(at, len(ids))
+                yield pa.RecordBatch.from_arrays([own, pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "token_ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>")
@@ -247,8 +261,8 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [codec.value.decode(ids or []) for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
+            for at, out in _runs(b.column(1), lambda ids: codec.value.decode(ids or [])):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(out)), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
     rows = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("token_ids"))
     return rows.mapInArrow(run, f"doc_id {kind}, decoded binary")

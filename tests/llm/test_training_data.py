@@ -13,6 +13,7 @@ import typing
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -41,6 +42,16 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.encode(table.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_texts_leaves_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "FLUSH", 3)
+    column = pa.array(["a b", None, "", "a b c d", "e"])
+    assert list(bpe._runs(column, lambda t: (t or "").split())) == [(0, [["a", "b"], [], [], ["a", "b", "c", "d"]]), (4, [["e"]])]
+    texts = ["one two three " * 200_000, None, "", "four", "one two three " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    back = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+    assert {r.doc_id: r.decoded.decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_bpe_of_random_texts():
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
     codec, r = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN), random.Random(1)

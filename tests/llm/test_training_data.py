@@ -12,6 +12,7 @@ import textwrap
 import typing
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -360,6 +361,20 @@ def test_repeats_equal_brute_force(spark, monkeypatch, shard_bytes):
     assert suffixes.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_a_short_common_string_holds_no_window_open():
+    r = random.Random(3)
+    noise = lambda n: "".join(chr(r.randint(33, 126)) for _ in range(n))
+    common, long_ = noise(25), noise(60)
+    texts = [noise(100) + common + noise(100) + long_ * (i < 2) + noise(100) for i in range(4)]
+    shard = suffixes._Shard(pd.DataFrame({"doc_id": range(4), "text": texts}), 50, 20)
+    hashes, twice = shard.distinct()
+    first, last = shard.segments(hashes[twice])
+    assert set(shard.row[first].tolist()) == {0, 1}
+    inside = [range(225, 236), range(225, 236)]  # the windows that lie in the long string
+    opened = [{w - shard.start[k] for a, z in zip(first, last, strict=True) for w in range(a, z) if shard.row[w] == k} for k in (0, 1)]
+    assert all(set(want) <= got for want, got in zip(inside, opened, strict=True))
+
+
 def test_suffix_array_and_common_prefixes():
     r = np.random.default_rng(1)
     for k in range(40):

@@ -50,6 +50,25 @@ def test_metrics_by_hand(spark):
     assert abs(evaluation.adjusted_mutual_information(evaluation.contingency(same, "label", "again")).first()[0] - 1) < 1e-9
 
 
+def test_silhouettes_of_equal_rows_over_blocks(spark):
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(60, 3)), 1)
+    x, label = np.concatenate([x, x[:30], x[:10]]), np.concatenate([np.arange(60) % 3, np.arange(30) % 3, np.arange(10) % 2])
+    label[7] = 9  # a cluster of one
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(len(x)):
+        mean = lambda m: d[i][(label == m) & (np.arange(len(x)) != i)].mean()  # noqa: B023, E731
+        a, b = (mean(label[i]) if (label == label[i]).sum() > 1 else None), min(mean(m) for m in set(label) - {label[i]})
+        want.append(0.0 if a is None else (b - a) / max(a, b))
+    df = spark.createDataFrame([(i, v.tolist(), int(m)) for i, (v, m) in enumerate(zip(x, label, strict=True))], "id long, x array<double>, label int")
+    got = {row.id: row.s for row in evaluation.silhouette_rows(df, block=16).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-12)
+    assert abs(evaluation.silhouette(df, block=16).first().silhouette - np.mean(want)) < 1e-12
+    plan = evaluation.silhouette(df)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_scaling_and_errors(spark):
     df = spark.createDataFrame([(1.0, 5), (3.0, 5)], "a double, b int")
     assert [tuple(r) for r in prep.scale(df, ["a", "b"]).orderBy("a").collect()] == [(-1.0, 0.0), (1.0, 0.0)]

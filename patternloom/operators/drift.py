@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from patternloom.functions import vectors as V
 from patternloom.operators import cluster, evaluation
+from patternloom.operators.iterate import scratch, settle
 from patternloom.operators.order import quantiles, ranked
+from patternloom.operators.passes import matrix
 
 
 def batches(df: DataFrame, batch_size: int, *order: str) -> DataFrame:
@@ -53,6 +59,30 @@ def step_centres(centres: list[list[float]], weights: list[float], sums: dict[in
     return new, total
 
 
+def _apart(df: DataFrame, x: str, batch: str, id_col: str) -> tuple[DataFrame, Callable[[object], DataFrame]]:
+    """`df` as (batch, id, x), and a function that reads one batch of it from a folder of its own, so that a pass over a batch reads no other."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "batches")
+    rows = df.select(F.col(batch).alias("batch"), F.col(id_col).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x"))
+    rows.repartition("batch").withColumn("of", F.col("batch")).write.partitionBy("of").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), lambda b: spark.read.schema(rows.schema).parquet(f"{path}/of={b}")
+
+
+def _batch_sums(now: DataFrame, centres: list[list[float]]) -> dict[int, tuple[int, list[float]]]:
+    """Rows and sums of every label in one batch, by the nearest of `centres`, the lowest on ties."""
+    c = np.array(centres, dtype=float)
+
+    def run(found):
+        total = np.zeros((len(c), 1 + c.shape[1]))
+        for b in found:
+            v = matrix(b.column(0))
+            label = np.round(((v[:, None, :] - c[None]) ** 2).sum(axis=2), 9).argmin(axis=1)
+            np.add.at(total, label, np.column_stack([np.ones(len(v)), v]))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    total = sum(np.frombuffer(r["v"]).reshape(len(c), -1) for r in now.select("x").mapInArrow(run, "v binary").collect())
+    return {i: (int(t[0]), t[1:].tolist()) for i, t in enumerate(total) if t[0]}
+
+
 def mini_batch_kmeans(df: DataFrame, k: int, x: str = "x", batch: str = "batch", id_col: str = "id") -> tuple[list[list[float]], DataFrame]:
     """The centres after all batches in order, from the first k rows of the first, and (id, label) of every row by them.
 
@@ -60,18 +90,15 @@ def mini_batch_kmeans(df: DataFrame, k: int, x: str = "x", batch: str = "batch",
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    order = [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()]
+    rows, read = _apart(df, x, batch, id_col)
+    order = [r[0] for r in rows.select("batch").distinct().orderBy("batch").collect()]
     if not order:
         raise ValueError("there are no batches")
-    centres = [list(r[x]) for r in df.where(F.col(batch) == order[0]).orderBy(id_col).limit(k).collect()]
+    centres = [list(r["x"]) for r in read(order[0]).orderBy("id").limit(k).collect()]
     weights = [0.0] * len(centres)
     for b in order:
-        now = df.where(F.col(batch) == b).select(F.col(id_col).alias("id"), F.col(x).alias("x"))
-        d2 = F.transform(cluster.centre_array(centres), lambda c: F.round(V.squared_distance(F.col("x"), c), 9))
-        near = now.withColumn("ds", d2).withColumn("label", F.array_position("ds", F.array_min("ds")) - 1)
-        sums = near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("x")[d]) for d in range(len(centres[0])))).collect()
-        centres, weights = step_centres(centres, weights, {int(r["label"]): (r["n"], list(r[2:])) for r in sums})
-    return centres, cluster.assign(df, centres, id_col, x).select("id", "label")
+        centres, weights = step_centres(centres, weights, _batch_sums(read(b), centres))
+    return centres, cluster.assign(rows, centres).select("id", "label")
 
 
 def streaming_agreement(df: DataFrame, k: int, rounds: int = 10, x: str = "x", batch: str = "batch", id_col: str = "id") -> DataFrame:
@@ -86,28 +113,32 @@ def monitor(df: DataFrame, k: int, drift_column: int = 0, x: str = "x", batch: s
     """(batch, n_seen, centroid_shift, inertia, psi): a running k-means over batches in order, from the first k rows of batch 0.
 
     Inertia is by the updated centres; the first batch has no shift and no psi.
-    The fold over batches is ordered by nature: each batch is one Spark
-    aggregate, and k centres are the state.  Runs at once.
+    The fold over batches is ordered by nature: each batch is one pass over its
+    own rows, and k centres are the state.  Runs at once.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
-    spark, order = df.sparkSession, [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()]
+    spark, (rows, read) = df.sparkSession, _apart(df, x, batch, id_col)
+    order = [r[0] for r in rows.select("batch").distinct().orderBy("batch").collect()]
     if len(order) < 2:
         raise ValueError("at least two batches are needed")
-    centres = [r[x] for r in df.where(F.col(batch) == order[0]).orderBy(id_col).limit(k).collect()]
-    weights, seen, rows = [0.0] * k, 0, []
+    centres = [list(r["x"]) for r in read(order[0]).orderBy("id").limit(k).collect()]
+    weights, seen, found = [0.0] * k, 0, []
     for b in order:
-        now = df.where(F.col(batch) == b)
-        near = cluster.assign(now, centres, id_col, x).join(now.select(F.col(id_col).alias("id"), F.col(x).alias("x")), "id")
-        sums = {r["label"]: (r["n"], list(r[2:])) for r in near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("x")[d]) for d in range(len(centres[0])))).collect()}
+        sums = _batch_sums(read(b), centres)
         new, weights = step_centres(centres, weights, sums)
         shift = sum(sum((p - q) ** 2 for p, q in zip(a, c, strict=True)) ** 0.5 for a, c in zip(new, centres, strict=True)) / k
         seen += sum(n for n, _ in sums.values())
-        centres = new
-        rows.append((b, seen, None if b == order[0] else shift, cluster.assign(now, centres, id_col, x).agg(F.sum("d2")).first()[0]))
-    table = spark.createDataFrame(rows, f"{batch} int, n_seen long, centroid_shift double, inertia double")
-    first = df.where(F.col(batch) == order[0]).withColumn("_v", F.col(x)[drift_column])
-    psi = population_stability(first, df.where(F.col(batch) != order[0]).withColumn("_v", F.col(x)[drift_column]), "_v", batch)
+        centres = [list(map(float, c)) for c in new]
+        found.append((b, seen, None if b == order[0] else float(shift), centres))
+    # the centres after every batch are known, so all inertias are one pass
+    table = settle(spark.createDataFrame(found, f"{batch} int, n_seen long, centroid_shift double, centres array<array<double>>"))
+    near = rows.join(F.broadcast(table.select(F.col(batch).alias("batch"), "centres")), "batch")
+    d2 = F.array_min(F.transform("centres", lambda c: F.round(V.squared_distance(F.col("x"), c), 9)))
+    inertia = near.groupBy(F.col("batch").alias(batch)).agg(F.sum(d2).alias("inertia"))
+    table = table.select(batch, "n_seen", "centroid_shift").join(inertia, batch, "left").select(batch, "n_seen", "centroid_shift", "inertia")
+    values = rows.select(F.col("batch").alias(batch), F.col("x")[drift_column].alias("_v"))
+    psi = population_stability(values.where(F.col(batch) == order[0]), values.where(F.col(batch) != order[0]), "_v", batch)
     return table.join(psi, batch, "left")
 
 

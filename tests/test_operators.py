@@ -69,6 +69,38 @@ def test_silhouettes_of_equal_rows_over_blocks(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_equal_rows_meet_once_within_a_distance(spark, monkeypatch):
+    xs = [(0.0, 0.0)] * 300 + [(1.0, 0.0)] * 4 + [(9.0, 9.0)] * 3 + [(20.0, 0.0)]
+    df, met, real = points(spark, np.array(xs)), [], cluster.within
+    monkeypatch.setattr(cluster, "within", lambda rows, *a, **k: met.append(rows.count()) or real(rows, *a, **k))
+    got = {r.id: r.label for r in cluster.dbscan(df, 2.0, 4).collect()}
+    assert [got[i] for i in range(308)] == [0] * 304 + [-1] * 4
+    parts = {r.id: r.component for r in cluster.threshold_components(df, 2.0).collect()}
+    assert [parts[i] for i in range(308)] == [0] * 304 + [304] * 3 + [307]
+    assert met == [4, 4]
+
+
+def test_a_row_is_sent_to_few_blocks(spark):
+    from patternloom.operators import graph, passes
+
+    assert [passes.blocks(n) for n in (0, 1, 5_000, 100_000, 1_000_000)] == [1, 1, 3, 4, 31]
+    xs = np.random.default_rng(2).normal(size=(90, 3))
+    d = np.linalg.norm(xs[:, None] - xs[None], axis=2) + 1e9 * np.eye(90)
+    for block in (16, 1_000):
+        got = {(r.id, r["rank"]): r.j for r in graph.neighbours(points(spark, xs), 4, block=block).collect()}
+        assert [[got[i, k] for k in range(1, 5)] for i in range(90)] == np.argsort(d, axis=1)[:, :4].tolist()
+
+
+def test_a_batch_is_read_from_its_own_files(spark):
+    from patternloom.operators import drift
+
+    df = spark.range(1000).select("id", (F.col("id") % 5).cast("int").alias("batch"), F.array(F.col("id").cast("double")).alias("x"))
+    rows, read = drift._apart(df, "x", "batch", "id")
+    assert rows.count() == 1000 and all(f"of={b}/" in name for b in range(5) for name in read(b).inputFiles())
+    assert [read(b).agg(F.sum("id")).first()[0] for b in range(5)] == [sum(range(b, 1000, 5)) for b in range(5)]
+    assert drift._batch_sums(read(2), [[0.0], [1000.0]]) == {0: (100, [float(sum(range(2, 501, 5)))]), 1: (100, [float(sum(range(502, 1000, 5)))])}
+
+
 def test_scaling_and_errors(spark):
     df = spark.createDataFrame([(1.0, 5), (3.0, 5)], "a double, b int")
     assert [tuple(r) for r in prep.scale(df, ["a", "b"]).orderBy("a").collect()] == [(-1.0, 0.0), (1.0, 0.0)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from patternloom.functions import vectors as V
+from patternloom.operators.cells import Blocks, gram
 from patternloom.operators.cluster import kmeans
 from patternloom.operators.iterate import settle
 
@@ -93,35 +94,29 @@ def explained_variance(users: DataFrame, cells: DataFrame) -> list[float]:
 def svd_factors(cells: DataFrame, k: int, rounds: int = 8, random_state: int = 0) -> tuple[DataFrame, DataFrame, list[float]]:
     """Truncated SVD of (user_id, item_id, value) by subspace iteration: user factors U S, item factors V, singular values.
 
-    Each half round is a join of cells with one side's vectors and a sum; k x k
-    Gram matrices reach the driver.  Signs: the entry of greatest magnitude of
-    an item direction is positive.  Runs at once.
+    Each half round is a pass over blocks of cells, which stay where they are
+    (see `Blocks`); k x k Gram matrices reach the driver.  Signs: the entry of
+    greatest magnitude of an item direction is positive.  Runs at once.
     """
-    cells = settle(cells)
-    items = settle(cells.select(F.col("item_id").alias("id")).distinct().select("id", F.array(*(V.uniform(random_state + i, F.col("id")) - 0.5 for i in range(k))).alias("x")))
+    blocks = Blocks(settle(cells.select(F.col("user_id").alias("r"), F.col("item_id").alias("c"), F.col("value").cast("double").alias("v"))))
+    items = blocks.vectors("c", [V.uniform(random_state + i, F.col("key")) - 0.5 for i in range(k)])
 
-    def multiply(side: DataFrame, of: str, to: str) -> DataFrame:
-        met = cells.join(side.withColumnRenamed("id", of), of)
-        return met.groupBy(F.col(to).alias("id")).agg(F.array(*(F.sum(F.col("value") * F.col("x")[i]) for i in range(k))).alias("x"))
-
-    def gram(side: DataFrame) -> np.ndarray:
-        return np.array(side.agg(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(k) for j in range(k))).first(), dtype=float).reshape(k, k)
+    def upright(side: DataFrame) -> np.ndarray:
+        return np.linalg.inv(np.linalg.cholesky(gram(side, k) + 1e-12 * np.eye(k)).T)
 
     def turn(side: DataFrame, m: np.ndarray) -> DataFrame:
         return side.select("id", F.array(*(sum((F.col("x")[i] * float(m[i, c]) for i in range(k)), F.lit(0.0)) for c in range(k))).alias("x"))
 
     for _ in range(rounds):
-        upper = np.linalg.cholesky(gram(items) + 1e-12 * np.eye(k)).T
-        items = settle(turn(items, np.linalg.inv(upper)))
-        users = settle(multiply(items, "item_id", "user_id"))
-        items = settle(multiply(users, "user_id", "item_id"))
-    upper = np.linalg.cholesky(gram(items) + 1e-12 * np.eye(k)).T
-    items = settle(turn(items, np.linalg.inv(upper)))
-    users = settle(multiply(items, "item_id", "user_id"))
-    values, rotation = np.linalg.eigh(gram(users))
+        users = blocks.multiply(items, k, "r", turn=upright(items))
+        items = blocks.multiply(users, k, "c")
+    last = upright(items)
+    users = blocks.multiply(items, k, "r", turn=last)
+    blocks.release()
+    values, rotation = np.linalg.eigh(gram(users, k))
     order = np.argsort(-values)
     rotation = rotation[:, order]
-    items = turn(items, rotation)
-    peaks = items.agg(*(F.max_by(F.col("x")[i], F.struct(F.abs(F.col("x")[i]), -F.col("id"))) for i in range(k))).first()
+    found = settle(blocks.unpacked(items, k, "c", last @ rotation).toDF("id", "x"))
+    peaks = found.agg(*(F.max_by(F.col("x")[i], F.struct(F.abs(F.col("x")[i]), -F.col("id"))) for i in range(k))).first()
     sign = np.diag([1.0 if p >= 0 else -1.0 for p in peaks])
-    return turn(users, rotation @ sign), turn(items, sign), [float(max(v, 0.0)) ** 0.5 for v in values[order]]
+    return blocks.unpacked(users, k, "r", rotation @ sign).toDF("id", "x"), turn(found, sign), [float(max(v, 0.0)) ** 0.5 for v in values[order]]

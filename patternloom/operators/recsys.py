@@ -14,6 +14,10 @@ from patternloom.functions import vectors as V
 from patternloom.operators.cells import Blocks, gram
 from patternloom.operators.cluster import kmeans
 from patternloom.operators.iterate import settle
+from patternloom.operators.passes import BLOCK, blocks
+
+#: Scores that a task holds at once.
+BATCH = 1 << 23
 
 
 def cells(df: DataFrame, user: str = "user_id", item: str = "item_id", value: str = "interaction_strength") -> DataFrame:
@@ -34,7 +38,7 @@ def similar_items(factors: DataFrame, item: int, k: int = 5, id_col: str = "id",
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("similarity", 9)), "id")))
 
 
-def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(user_id, item_id, score, rank): for each user of (user_id, u) the k unseen items of (item_id, v) with greatest dot product.
 
     Users and items meet in pairs of blocks, one task each, along with what the
@@ -42,7 +46,7 @@ def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 5, b
     """
     if k < 1:
         raise ValueError("k must be positive")
-    n_u, n_i = (max(1, -(-side.count() // block)) for side in (users, items))
+    n_u, n_i = (blocks(side.count(), block) for side in (users, items))
     deal = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     known = seen.select("user_id", "item_id").distinct().groupBy(deal("user_id", n_u).alias("p"), deal("item_id", n_i).alias("q"), F.col("user_id").alias("id")).agg(F.collect_list("item_id").alias("seen"))
@@ -53,16 +57,25 @@ def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 5, b
         if a.empty or b.empty:
             return pd.DataFrame({"user_id": [], "item_id": [], "score": []})
         b = b.sort_values("id")
-        names, side, out = b["id"].to_numpy(), np.stack(b["x"]).astype(float), []
-        for user, x, gone in zip(a["id"], a["x"], a["seen"], strict=True):
-            score = side @ np.asarray(x, dtype=float)
-            if gone is not None and not isinstance(gone, float):
-                score[np.isin(names, gone)] = -np.inf
+        names, side, out = b["id"].to_numpy(), np.stack(b["x"]).astype(float).T, []
+        size = max(1, BATCH // len(names))
+        for start in range(0, len(a), size):
+            some = a.iloc[start : start + size]
+            score = np.stack(some["x"]).astype(float) @ side
+            for row, gone in enumerate(some["seen"]):
+                if gone is not None and not isinstance(gone, float):
+                    gone = np.asarray(gone)
+                    at = np.minimum(np.searchsorted(names, gone), len(names) - 1)
+                    score[row, at[names[at] == gone]] = -np.inf
             # all that tie with the k-th once rounded stay for the last ranking
-            rounded = np.round(score, 9)
-            best = np.flatnonzero((rounded >= np.partition(rounded, -min(k, len(rounded)))[-min(k, len(rounded))]) & np.isfinite(score))
-            best = best[np.argsort(-rounded[best], kind="stable")][:k]
-            out.append(pd.DataFrame({"user_id": user, "item_id": names[best], "score": score[best]}))
+            least = np.partition(score, -min(k, len(names)), axis=1)[:, -min(k, len(names))]
+            rows, best = np.nonzero((score >= least[:, None] - 2e-9) & np.isfinite(score))
+            found = score[rows, best]
+            rounded = np.round(found, 9)
+            order = np.lexsort((best, -rounded, rows))
+            rows, best, found = rows[order], best[order], found[order]
+            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            out.append(pd.DataFrame({"user_id": some["id"].to_numpy()[rows[kept]], "item_id": names[best[kept]], "score": found[kept]}))
         return pd.concat(out)
 
     fresh = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "user_id long, item_id long, score double")
@@ -98,8 +111,8 @@ def svd_factors(cells: DataFrame, k: int, rounds: int = 8, random_state: int = 0
     (see `Blocks`); k x k Gram matrices reach the driver.  Signs: the entry of
     greatest magnitude of an item direction is positive.  Runs at once.
     """
-    blocks = Blocks(settle(cells.select(F.col("user_id").alias("r"), F.col("item_id").alias("c"), F.col("value").cast("double").alias("v"))))
-    items = blocks.vectors("c", [V.uniform(random_state + i, F.col("key")) - 0.5 for i in range(k)])
+    packed = Blocks(settle(cells.select(F.col("user_id").alias("r"), F.col("item_id").alias("c"), F.col("value").cast("double").alias("v"))))
+    items = packed.vectors("c", [V.uniform(random_state + i, F.col("key")) - 0.5 for i in range(k)])
 
     def upright(side: DataFrame) -> np.ndarray:
         return np.linalg.inv(np.linalg.cholesky(gram(side, k) + 1e-12 * np.eye(k)).T)
@@ -108,15 +121,15 @@ def svd_factors(cells: DataFrame, k: int, rounds: int = 8, random_state: int = 0
         return side.select("id", F.array(*(sum((F.col("x")[i] * float(m[i, c]) for i in range(k)), F.lit(0.0)) for c in range(k))).alias("x"))
 
     for _ in range(rounds):
-        users = blocks.multiply(items, k, "r", turn=upright(items))
-        items = blocks.multiply(users, k, "c")
+        users = packed.multiply(items, k, "r", turn=upright(items))
+        items = packed.multiply(users, k, "c")
     last = upright(items)
-    users = blocks.multiply(items, k, "r", turn=last)
-    blocks.release()
+    users = packed.multiply(items, k, "r", turn=last)
+    packed.release()
     values, rotation = np.linalg.eigh(gram(users, k))
     order = np.argsort(-values)
     rotation = rotation[:, order]
-    found = settle(blocks.unpacked(items, k, "c", last @ rotation).toDF("id", "x"))
+    found = settle(packed.unpacked(items, k, "c", last @ rotation).toDF("id", "x"))
     peaks = found.agg(*(F.max_by(F.col("x")[i], F.struct(F.abs(F.col("x")[i]), -F.col("id"))) for i in range(k))).first()
     sign = np.diag([1.0 if p >= 0 else -1.0 for p in peaks])
-    return blocks.unpacked(users, k, "r", rotation @ sign).toDF("id", "x"), turn(found, sign), [float(max(v, 0.0)) ** 0.5 for v in values[order]]
+    return packed.unpacked(users, k, "r", rotation @ sign).toDF("id", "x"), turn(found, sign), [float(max(v, 0.0)) ** 0.5 for v in values[order]]

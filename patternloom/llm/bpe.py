@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from patternloom.llm.common import require
 
 CACHE = 1_000_000
+#: Pre-tokens that a codec keeps in each of two generations where memory counts more than time: 15 MB of them in all.
+SMALL = 1 << 15
 #: Ids or bytes that gather before they leave a task, so that no batch of texts is held with all that it becomes.
 FLUSH = 1 << 18
 #: Letters and numbers of Unicode 16.0 that Python's own tables of 15.1 lack.
@@ -185,28 +187,37 @@ ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
 class Codec:
-    """Encodes texts to ids and ids to bytes; holds a bounded cache of pre-tokens."""
+    """Encodes texts to ids and ids to bytes; holds a bounded cache of pre-tokens.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    The cache has two generations of `most` each: a full one grows old, and the
+    one before it goes but for what has been met again since, so that common
+    pre-tokens stay and memory does not grow with the texts seen.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = CACHE // 2) -> None:
+        self.most = most
         self.ranks = ranks
         self.pattern = pattern
         self.table = PerfectHash(list(ranks))
         self.id_at = list(ranks.values())
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "old": {}}
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; null counts as empty."""
         text = text or ""
         tokens = splitter(self.pattern, sys.maxunicode if ASTRAL.search(text) else 0xFFFF).findall(text)
-        cache = self.cache
+        if len(self.cache) > self.most:
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old
         if new := set(tokens).difference(cache):
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = set(tokens)
+            if again := new.intersection(old):
+                cache.update((t, old[t]) for t in again)
+                new -= again
             raw = [t.encode("utf-8", "surrogatepass") for t in new]
             for t, piece, k in zip(new, raw, self.table.find(raw), strict=True):
                 cache[t] = (self.id_at[k],) if k >= 0 else tuple(merge(piece, self.ranks))
@@ -230,9 +241,9 @@ def _runs(column: pa.Array, f: Callable) -> Iterator[tuple[int, list]]:
         yield first, out
 
 
-def _codec(spark: SparkSession, path: str, pattern: str):
+def _codec(spark: SparkSession, path: str, pattern: str, most: int = CACHE // 2):
     """The codec of a rank file, broadcast; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(Codec(read_ranks(path), pattern))
+    return spark.sparkContext.broadcast(Codec(read_ranks(path), pattern, most))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     table an empty one; other columns are left out.
     """
     require(docs, id_col, text_col)
-    codec, kind = _codec(docs.sparkSession, path, pattern), docs.schema[id_col].dataType.simpleString()
+    codec, kind = _codec(docs.sparkSession, path, pattern, SMALL), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -43,6 +43,14 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.encode(table.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_cache_stays_bounded():
+    small, large = (bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN, most) for most in (50, 10**6))
+    for i in range(60):
+        text = " ".join(f"word{j}x common{j % 7}" for j in range(i, i + 20))
+        assert small.encode(text) == large.encode(text)
+        assert len(small.cache) <= 50 + 2 * len(text.split()) and len(small.old) <= 50 + 2 * len(text.split())
+
+
 def test_bpe_of_long_texts_leaves_in_runs(spark, monkeypatch):
     monkeypatch.setattr(bpe, "FLUSH", 3)
     column = pa.array(["a b", None, "", "a b c d", "e"])

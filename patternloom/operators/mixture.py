@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +123,14 @@ def fit_dirichlet_mixture(
     holds those sums only.  It ends when the lower bound of the evidence rises
     by less than `tolerance`.  Runs at once.
     """
+    return _fits(df, max_components, [prior], covariance, max_iter, tolerance, random_state, id_col, x)[0]
+
+
+def _fits(df: DataFrame, max_components: int, priors: Sequence[float | None], covariance: str, max_iter: int, tolerance: float, random_state: int, id_col: str, x: str) -> list[DirichletMixture]:
+    """A fit for each of `priors`; they share every pass until they end.  Equal rows take part once and count as many."""
     if covariance not in KINDS:
         raise ValueError(f"covariance must be one of {', '.join(KINDS)}")
-    if max_components < 1 or max_iter < 1 or (prior is not None and prior <= 0):
+    if max_components < 1 or max_iter < 1 or any(p is not None and p <= 0 for p in priors):
         raise ValueError("max_components, max_iter and prior must be positive")
     rows = settle(df.select(F.col(id_col).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x")))
     # the starting centres lie far apart among a bounded pool of rows
@@ -140,39 +144,45 @@ def fit_dirichlet_mixture(
     first, (k, d) = pool[chosen], pool[chosen].shape
     size = k * (1 + d + d * d)
     middle = pool.mean(axis=0)  # products are of rows less this, which keeps their digits
+    points = settle(rows.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("n")))
 
-    def sums(share: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Counts, sums and sums of products by component, and the entropy of the responsibilities; rows less `middle`."""
+    def sums(shares: list[Callable[[np.ndarray], np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+        """For each of `shares` counts, sums and sums of products by component, and the entropy of the responsibilities; rows less `middle`."""
 
         def add(b: pa.RecordBatch) -> np.ndarray:
-            m = matrix(b.column(1))
-            r = share(m)
+            m, n, out = matrix(b.column(0)), b.column(1).to_numpy()[:, None], []
             c = m - middle
-            second = np.stack([(c * r[:, i : i + 1]).T @ c for i in range(k)])
-            return np.concatenate([r.sum(axis=0), (r.T @ c).ravel(), second.ravel(), [-(r * np.log(np.maximum(r, 1e-300))).sum()]])
+            for share in shares:
+                r = share(m)
+                entropy = -(n * r * np.log(np.maximum(r, 1e-300))).sum()
+                r = n * r
+                second = np.stack([(c * r[:, i : i + 1]).T @ c for i in range(k)])
+                out += [r.sum(axis=0), (r.T @ c).ravel(), second.ravel(), [entropy]]
+            return np.concatenate(out)
 
-        found = summed(rows, add, size + 1)
-        return found[:k], found[k : k + k * d].reshape(k, d), found[k + k * d : size].reshape(k, d, d), float(found[-1])
+        found = summed(points, add, (size + 1) * len(shares)).reshape(len(shares), -1)
+        return [(f[:k], f[k : k + k * d].reshape(k, d), f[k + k * d : size].reshape(k, d, d), float(f[-1])) for f in found]
 
     def nearest(m: np.ndarray) -> np.ndarray:
         return np.eye(k)[((m[:, None, :] - first[None]) ** 2).sum(axis=2).argmin(axis=1)]
 
-    stats = sums(nearest)
+    stats = sums([nearest])[0]
     n, whole = stats[0].sum(), stats[1].sum(axis=0)
     centre = whole / n
     empirical = (stats[2].sum(axis=0) - n * np.outer(centre, centre)) / max(n - 1, 1)
     shape = {"full": empirical, "tied": empirical, "diag": np.diag(np.diagonal(empirical)), "spherical": np.eye(d) * np.diagonal(empirical).mean()}[covariance]
     shape = shape + LEAST_VARIANCE * np.eye(d)
-    gamma = prior or 1.0 / max_components
-    model = _updated(stats, middle, centre, shape, gamma, covariance)
+    gammas = [p or 1.0 / max_components for p in priors]
+    models = [_updated(stats, middle, centre, shape, g, covariance) for g in gammas]
     for _ in range(max_iter):
-        stats = sums(lambda m, model=model: np.exp(model.log_shares(m)))
-        bounds, model = model.bounds, _updated(stats, middle, centre, shape, gamma, covariance)
-        model.bounds = [*bounds, _bound(model, stats[3], d)]
-        if bounds and abs(model.bounds[-1] - bounds[-1]) < tolerance:
-            model.converged = True
+        going = [i for i, m in enumerate(models) if not m.converged]
+        if not going:
             break
-    return model
+        for i, found in zip(going, sums([lambda m, model=models[i]: np.exp(model.log_shares(m)) for i in going]), strict=True):
+            bounds, models[i] = models[i].bounds, _updated(found, middle, centre, shape, gammas[i], covariance)
+            models[i].bounds = [*bounds, _bound(models[i], found[3], d)]
+            models[i].converged = bool(bounds) and abs(models[i].bounds[-1] - bounds[-1]) < tolerance
+    return models
 
 
 def _updated(stats: tuple, middle: np.ndarray, centre: np.ndarray, shape: np.ndarray, gamma: float, kind: str) -> DirichletMixture:
@@ -220,12 +230,17 @@ def dirichlet_process(
     return model.transform(df, id_col, x), table
 
 
-def prior_sensitivity(df: DataFrame, priors: Sequence[float], max_components: int = 10, threshold: float = 0.01, **settings) -> DataFrame:
-    """One row: under the name of each of `priors` how many components a mixture with that prior puts to use."""
+def prior_sensitivity(
+    df: DataFrame, priors: Sequence[float], max_components: int = 10, threshold: float = 0.01, rounds: int = 200, random_state: int = 0, id_col: str = "id", x: str = "x", covariance: str = "full", tolerance: float = 1e-3
+) -> DataFrame:
+    """One row: under the name of each of `priors` how many components a mixture with that prior puts to use.
+
+    The mixtures are fitted in the same passes.  Runs at once.
+    """
     if not priors:
         raise ValueError("no priors")
-    each = []
-    for p in priors:
-        weights = dirichlet_process(df, max_components, prior=p, **settings)[1]
-        each.append(effective_components(weights, threshold).select(F.lit(str(p)).alias("prior"), "effective"))
-    return reduce(DataFrame.unionByName, each).groupBy().pivot("prior", [str(p) for p in priors]).agg(F.first("effective"))
+    if not 0 <= threshold < 1:
+        raise ValueError("threshold must lie in [0, 1)")
+    models = _fits(df, max_components, priors, covariance, rounds, tolerance, random_state, id_col, x)
+    table = df.sparkSession.createDataFrame([(str(p), float(w)) for p, m in zip(priors, models, strict=True) for w in m.weights()], "prior string, weight double")
+    return table.groupBy().pivot("prior", [str(p) for p in priors]).agg(F.count_if(F.col("weight") > threshold))

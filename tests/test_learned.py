@@ -196,3 +196,14 @@ def test_mixture_arguments(spark):
     for bad in (lambda: mixture.fit_dirichlet_mixture(df, covariance="other"), lambda: mixture.fit_dirichlet_mixture(df, 0), lambda: mixture.fit_dirichlet_mixture(df, prior=-1.0), lambda: mixture.fit_dirichlet_mixture(df.limit(0))):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_priors_share_passes_and_equal_rows_count_once(spark, monkeypatch):
+    xs = np.round(np.random.default_rng(2).normal(0, 2, (40, 2)) + np.repeat([[0, 0], [9, 9]], 20, axis=0), 1)
+    df = points(spark, np.repeat(xs, 3, axis=0))
+    want = [mixture.fit_dirichlet_mixture(df, 4, p, max_iter=25) for p in (0.01, 1.0)]
+    seen, old = [], mixture.summed
+    monkeypatch.setattr(mixture, "summed", lambda rows, add, size: seen.append(rows.count()) or old(rows, add, size))
+    found = mixture.prior_sensitivity(df, [0.01, 1.0], 4, rounds=25).first()
+    assert [found["0.01"], found["1.0"]] == [int((m.weights() > 0.01).sum()) for m in want]
+    assert set(seen) == {len(np.unique(xs, axis=0))} and len(seen) == 1 + max(len(m.bounds) for m in want)

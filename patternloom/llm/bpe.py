@@ -215,7 +215,8 @@ class Codec:
             self.cache, self.old = {}, self.cache
         cache, old = self.cache, self.old
         if new := set(tokens).difference(cache):
-            if again := new.intersection(old):
+            # not new.intersection(old), which would walk all of a dict
+            if again := {t for t in new if t in old}:
                 cache.update((t, old[t]) for t in again)
                 new -= again
             raw = [t.encode("utf-8", "surrogatepass") for t in new]

@@ -51,6 +51,18 @@ def test_bpe_cache_stays_bounded():
         assert len(small.cache) <= 50 + 2 * len(text.split()) and len(small.old) <= 50 + 2 * len(text.split())
 
 
+def test_bpe_cache_is_not_walked_for_a_text():
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("all old pre-tokens are walked")
+
+    codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    ids = codec.encode("common words in old texts")
+    codec.cache, codec.old = {}, Old(codec.cache)
+    assert codec.encode("common words in old texts") == ids and "common" in codec.cache
+    assert codec.decode(codec.encode("common words in newer texts")) == b"common words in newer texts"
+
+
 def test_bpe_of_long_texts_leaves_in_runs(spark, monkeypatch):
     monkeypatch.setattr(bpe, "FLUSH", 3)
     column = pa.array(["a b", None, "", "a b c d", "e"])

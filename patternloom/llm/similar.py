@@ -10,8 +10,9 @@ Shingles that a sample of the texts repeats come last in that order, which
 keeps common passages out of the prefixes; the sample sways the cost, never
 the result.
 
-Texts that share a shingle of their prefixes are a cell.  While cells hold more
-than a fixed number of pairs a text that no link joins yet, every cell compares
+Texts that share a shingle of their prefixes are a cell, and shingles shared by
+the same texts are one cell.  While cells hold more than a fixed number of pairs
+a text that no link joins yet, every cell compares
 its texts with one hub only, in later rounds the text with most links; so a
 large group of copies is joined at a cost near its size.  What no link has
 joined then is compared pair by pair, where the pairs arise: by sketches, the
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from patternloom.llm import simhash
 from patternloom.llm.common import cut, require, set_aside
@@ -43,9 +45,11 @@ SAMPLE, COMMON = 8, 1_000_000
 #: Bytes of ids, and of bitmaps, up to which they are broadcast.
 BROADCAST_BYTES, BITMAP_BYTES = 64 << 20, 16 << 20
 #: Open pairs for each text up to which they are compared one by one, and the most rounds of hubs before that.
-OPEN_PAIRS, HUB_ROUNDS = 1024, 6
+OPEN_PAIRS, HUB_ROUNDS = 64, 6
 #: 64-bit words of a sketch.
 WORDS = 16
+#: Texts up to which a cell is compared with the others as a whole; least cells of a text by which its pairs are told to be known.
+MEMBERS, LEAST = 64, 12
 
 
 def shingles(text: str | None, n_words: int) -> np.ndarray:
@@ -125,7 +129,15 @@ def cells(texts: DataFrame, n_words: int, threshold: float) -> tuple[DataFrame,
     rows = cut(mapped(texts, n_words, prefix, with_bits=True).dropDuplicates(["v"]))
     tokens = rows.select("v", F.explode("s").alias("t"))
     shared = cut(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"))
-    return rows.select("v", "n", "bits", "w"), cut(tokens.join(_bounded(shared, shared.count()), "t", "left_semi").select("t", "v"))
+    held = tokens.join(_bounded(shared, shared.count()), "t", "left_semi").select("t", "v")
+    return rows.select("v", "n", "bits", "w"), cut(_different(held))
+
+
+def _different(cells: DataFrame) -> DataFrame:
+    """`cells` (t, v) with one cell, of least t, for all that hold the same texts; cells of more than MEMBERS texts stay as they are."""
+    sized = cells.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("t")))
+    whole = sized.where(F.col("m") <= MEMBERS).groupBy("t").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    return whole.groupBy("vs").agg(F.min("t").alias("t")).select("t", F.explode("vs").alias("v")).unionByName(sized.where(F.col("m") > MEMBERS).select("t", "v"))
 
 
 def near_prints(texts: DataFrame, n_words: int) -> DataFrame:
@@ -167,13 +179,18 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
         """The distinct pairs (src, dst) of `named` (t, v, c, main) that share t, are of two components, and are alike by their sketches.
 
         One text of a pair lies outside its cell's largest component `main`, so
-        no more pairs are formed than twice those that are open.
+        no more pairs are formed than twice those that are open.  A pair is left
+        to the least cell that both texts share, where that is among the first
+        LEAST cells of both: copies with changes share nearly all of their cells.
         """
-        a = sketched(named.where("c != main").select("t", F.col("v").alias("src"), "c"), "src", "x")
-        b = sketched(named.select("t", F.col("v").alias("dst"), F.col("c").alias("hc"), "main"), "dst", "y")
+        ranked = named.withColumn("at", F.row_number().over(W.partitionBy("v").orderBy("t"))).where(F.col("at") <= LEAST)
+        first = cut(ranked.groupBy("v").agg(F.collect_list("t").alias("ts")))
+        a = sketched(named.where("c != main").select("t", F.col("v").alias("src"), "c").join(first.toDF("src", "xt"), "src"), "src", "x")
+        b = sketched(named.select("t", F.col("v").alias("dst"), F.col("c").alias("hc"), "main").join(first.toDF("dst", "yt"), "dst"), "dst", "y")
+        new = F.coalesce(F.array_min(F.array_intersect("xt", "yt")) >= F.col("t"), F.lit(True))
         open_ = (F.col("c") != F.col("hc")) & ((F.col("hc") == F.col("main")) | (F.col("src") < F.col("dst")))
         fit = F.least("xn", "yn") >= F.lit(threshold) * F.greatest("xn", "yn") - 1e-9
-        return a.join(b, "t").where(open_ & fit & alike("x", "y") & alike("y", "x")).select("src", "dst")
+        return a.join(b, "t").where(open_ & fit & alike("x", "y") & alike("y", "x") & new).select("src", "dst")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """The distinct unordered pairs (src, dst) whose sizes and bitmaps allow the similarity, with that bound."""

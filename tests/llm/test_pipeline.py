@@ -74,6 +74,22 @@ def test_near_dedup_keeps_one_row_of_every_group_of_similar_texts(spark, monkeyp
     assert all((i is None, i or 0) == least[where[i, t]] for i, t in got)
 
 
+def test_pairs_of_near_copies_are_met_few_times(spark, monkeypatch):
+    r = random.Random(3)
+    base = [[f"w{r.randint(0, 10**6)}" for _ in range(100)] for _ in range(12)]
+    texts = [(i * 5 + k, " ".join([*w[: 20 * k], f"changed{k}", *w[20 * k + 1 :]])) for i, w in enumerate(base) for k in range(5)]
+    rows = spark.createDataFrame(texts, "v long, text string")
+    held = {}
+    for c in similar.cells(rows, 5, 0.8)[1].collect():
+        held.setdefault(c.t, set()).add(c.v)
+    assert len({frozenset(m) for m in held.values()}) == len(held) and min(map(len, held.values())) > 1
+    for members, least in ((1, 1), (1, 100), (64, 2)):
+        monkeypatch.setattr(similar, "MEMBERS", members)
+        monkeypatch.setattr(similar, "LEAST", least)
+        got = similar.one_of_each(rows.withColumnRenamed("v", "doc_id"))
+        assert sorted(x.doc_id for x in got.collect()) == [i * 5 for i in range(12)]
+
+
 def test_texts_of_one_key_get_others(spark, monkeypatch):
     hashed = similar.key
     monkeypatch.setattr(similar, "key", lambda text, salt: hashed(text, salt) if salt > 1 else F.ascii(text).cast("long"))

@@ -201,7 +201,12 @@ def links(texts: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFra
                 yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(map(bound, x, y, m, n), pa.float64())], names=["src", "dst", "most"])
 
         once = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        sized = once.join(facts.toDF("src", "m", "x"), "src").join(facts.toDF("dst", "n", "y"), "dst")
+        some = facts
+        if n_bytes > BITMAP_BYTES:  # the bitmaps are moved of those texts only that are an end of a pair
+            once = cut(once)
+            ends = once.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+            some = facts.join(_bounded(ends, n_texts), "v", "left_semi")
+        sized = once.join(some.toDF("src", "m", "x"), "src").join(some.toDF("dst", "n", "y"), "dst")
         fit = F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9
         return sized.where(fit).mapInArrow(run, "src long, dst long, most double").where(F.col("most") >= threshold - 1e-9)
 
